@@ -72,12 +72,17 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each run of bytes other than ASCII white space."""
+#: Bytes of words without punctuation: ASCII letters and digits, and all of longer characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray = ~_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each run of `kept` bytes; these are all but ASCII white space unless given."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_WHITE[data]
+    solid = kept[data]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
@@ -138,3 +143,30 @@ def listed(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def byte_grams(data: np.ndarray, offsets: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket of 2**bits) of each run of `length` bytes, A-Z as a-z."""
+    full = len(data) - length + 1
+    if full <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = FOLDED[data].astype(np.uint64)
+    acc = np.full(full, np.uint64(length))
+    for j in range(length):
+        acc = acc * np.uint64(257) + low[j : j + full]
+    docs = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - length + 1, 0))
+    begins = np.ones(len(data), bool)
+    for j in range(1, length):
+        at = offsets[1:] - j
+        begins[at[at >= offsets[:-1]]] = False
+    code = (acc * _MULT) >> np.uint64(64 - bits)
+    return docs, code[begins[:full]].astype(np.int64)
+
+
+#: Each byte, A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+
+
+def row_sums(values: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.bincount(docs, values, n_docs)
