@@ -46,6 +46,14 @@ _WORDS = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _ODD = (*range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _ODD_SPACE = "[" + "".join(map(chr, _ODD)) + "]"
 
+#: Before a word that has other white space than one space before it, or none.
+_BARE = chr(0x10FFFF)
+_NOT_BEHIND = " \n\t" + _BARE
+#: Marks that the library's pattern splits from the letters before them.
+_MARKS = ",.;:!?"
+#: Letters below this are letters in every version of Unicode.
+_LATIN = chr(0x250)
+
 
 class WordEncoder:
     """Byte-level BPE through the tokenizers library, asking it once for each distinct word.
@@ -60,6 +68,7 @@ class WordEncoder:
     def __init__(self, tokenizer_file: str, end_id: int | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -71,12 +80,19 @@ class WordEncoder:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.model = self.tokenizer.model
+        shown = ByteLevel.alphabet()  # the characters that stand for bytes: visible Latin-1 for itself, the others from U+0100 on
+        own = [b for b in range(256) if chr(b) in shown]
+        others = iter(sorted(set(shown) - {chr(b) for b in own}))
+        self.letters = {b: chr(b) if chr(b) in shown else next(others) for b in range(256)}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.id_bytes = [np.array([i], self.dtype).tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes, with the end id."""
@@ -84,20 +100,49 @@ class WordEncoder:
             return [b + self.end for b in self._raw(texts)]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        split = [_WORDS.findall(text) for text in texts]
-        fresh = {w for parts in split for w in parts if w not in known}
-        known.update((w, older[w]) for w in fresh if w in older)
-        new = [w for w in fresh if w not in known and not self.odd(w)]
-        known.update(zip(new, self._raw(new), strict=True))
+        get, split, found, missing = self.known.get, [], [], []
+        for text in texts:
+            split.append(parts := self._parts(text))
+            found.append(got := list(map(get, parts)))
+            if None in got:
+                missing.append(parts)
+        self._learn(set().union(*missing).difference(self.known))
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(known.__getitem__, parts)) + self.end)
-            except KeyError:  # a word that doesn't stand alone
-                out.append(self._raw([text])[0] + self.end)
+        for text, parts, got in zip(texts, split, found, strict=True):
+            if None in got:
+                got = list(map(get, parts))
+            # A word that doesn't stand alone is still unknown.
+            out.append((self._raw([text])[0] if None in got else b"".join(got)) + self.end)
         return out
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """The words, without the space where that is all the white space before them, and with it where it is more."""
+        if not text:
+            return []
+        if text[0] in " \n" or text[-1] == " " or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or _BARE in text:
+            return [w[1:] if len(w) > 1 and w[0] == " " and w[1] not in _NOT_BEHIND else _BARE + w for w in _WORDS.findall(text)]
+        return (_BARE + text.replace("\n", " " + _BARE + "\n")).split(" ")
+
+    def _learn(self, words: set[str]) -> None:
+        known, older, tokens, raw, letters = self.known, self.older, self.model.tokenize, self.id_bytes, self.letters
+        rest = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            core, tail = (w[:-1], self.marks[w[-1]]) if w[-1:] in self.marks else (w, b"")
+            # A space and letters, and a mark behind them, are what the library's pattern leaves in one piece each.
+            if core.isalpha() and (core.isascii() or max(core) < _LATIN):
+                got = known.get(core) if tail else None
+                if got is None:
+                    got = b"".join([raw[t.id] for t in tokens((" " + core).encode().decode("latin-1").translate(letters))])
+                known[w] = got + tail
+            elif not self.odd(w):
+                rest.append(w)
+        whole = [w[1:] if w[:1] == _BARE else " " + w for w in rest]
+        known.update(zip(rest, self._raw(whole), strict=True))
+
 
 @lru_cache(maxsize=2)
 def encoder(tokenizer_file: str, end_id: int | None) -> WordEncoder:
