@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op8", "op10")
+MODULES = tuple(f"op{n}" for n in range(1, 11))
 
 
 def _loaded() -> list:
