@@ -172,8 +172,8 @@ def _origin(text: str) -> np.ndarray:
     return np.array([*at, at[-1] + 1 if at else 0])
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep`, item_id, n_edits and the characters begin to end, for each item in each row of `docs` (text)."""
+def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items in blocks of about ITEM_CHARS characters."""
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
     for row in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
@@ -182,11 +182,16 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tupl
             size = 0
         blocks[-1].append((row.item_id, row.text or ""))
         size += len(row.text or "")
+    return blocks
+
+
+def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in `keep`, item_id, n_edits and the characters begin to end, for each item in each row of `docs` (text)."""
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     names = rows.columns[:-1]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     found = None
-    for block in blocks:
+    for block in _blocks(items):
         part = rows.mapInArrow(_matching(block, rate, names), f"{kinds}, item_id long, n_edits int, begin long, end long")
         found = part if found is None else found.union(part)
     return found.withColumnsRenamed(dict(zip(names, keep, strict=True)))
@@ -208,3 +213,23 @@ def _matching(block: list[tuple[int, str]], rate: float, names: list[str]):
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds))], [*names, "item_id", "n_edits", "begin", "end"])
 
     return run
+
+
+def count_items(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in `keep` and n_items, how many items each row of `docs` (text) holds."""
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.lit(0).cast("long").alias("n_items"), F.col("text").cast("string").alias("text"))
+    names = rows.columns[:-2]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    for block in _blocks(items):
+        rows = rows.mapInArrow(_counting(block, rate, rows.columns), kinds)
+    return rows.drop("text").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
+def _counting(block: list[tuple[int, str]], rate: float, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block, rate)
+        for batch in batches:
+            found = [before + len(matcher.hits(folded(text or ""))) for before, text in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.int64()), batch.columns[-1]], names)
+
+    return run
