@@ -1,14 +1,78 @@
-"""The corpus pipeline: STAGES over `documents`."""
+"""The corpus pipeline: STAGES over `documents`, each written as Parquet and read again by the next.
+
+    run(spark, sf_dir)   the rows of the last stage
+
+Every stage works on all rows that its predecessor kept.  All but the last
+return the columns of `documents`; the last returns the token ids with the
+byte span of each.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quadrille.llm import quality, toxicity
+from quadrille.llm.decontaminate import count_items
+from quadrille.llm.jaccard import JaccardJoin, near_components
+from quadrille.llm.learning import held_out
+from quadrille.llm.pieces import encode_documents
 from quadrille.llm.workspace import stored
 
-STAGES: list = []
+#: Near duplicates share 80 of 100 of their five-word shingles.
+NEAR = JaccardJoin(width=5, percent=80)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the classifier, which learns from the labelled of them."""
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.usable_labels())
+    return quality.score(docs, model, keep=(*docs.columns,)).filter("kept").select(*docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted clean."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+    return toxicity.score(docs, model, keep=(*docs.columns,)).filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the smallest id."""
+    found = near_components(docs, NEAR)
+    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return _one_each(docs.join(others, "doc_id", "left_anti").select(*docs.columns))
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """Where a doc_id still repeats, the row with the smallest text; rows without doc_id stay."""
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return docs.filter("doc_id IS NULL").unionByName(first.select("doc_id", "row.*"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    counted = count_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(*docs.columns,))
+    return counted.filter("n_items = 0").select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, begins, ends."""
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
-#: SQL can't express the first stage.
+#: SQL can't express the trained classifiers of the first two stages.
 ORACLE_SQL = None
 
 
