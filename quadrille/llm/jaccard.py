@@ -12,11 +12,14 @@ the smaller of the two L.
 Data flow, linear in the text: shingle hashes are packed into binary columns
 and dealt once by hash range, where document frequencies are counted; only
 shingles of two documents or more go on, dealt by document.  Exact copies (equal
-sets) collapse into one representative.  Candidates are then looked for in two
-rounds: first each posting list against one central document of it, which
-joins groups of near copies in a linear number of pairs; then all pairs of a
-posting list that lie in different components so far.  Components are
-therefore those of the full join, without enumerating pairs inside a group.
+sets) collapse into one representative.  Candidates are then found in two
+ways.  Each document is compared with the central document (star) of the
+posting lists it shares most of; documents of one star are compared through
+their differences to it, which are small among near copies and mostly their
+own, so groups of near copies meet in few pairs; documents of different stars
+meet in the prefix postings.  Pairs that lie in one component already are never
+formed.  Components are therefore those of the full join, without enumerating
+the pairs inside a group.
 
 Shingle ids keep 32 bits and the hash range's bits (8 at least, and four times
 as many ranges as shuffle partitions): that two different shingles of one pair
@@ -46,6 +49,8 @@ from quadrille.llm.workspace import stored
 
 #: Text bytes whose shingles are packed together.
 BLOCK_BYTES = 12 << 20
+#: Sizes of differences in one class.
+CLASS = 6
 #: Largest L that a document considers; postings so few that none is sought.
 MAX_MATCHES, FEW = 12, 16
 
@@ -290,22 +295,123 @@ def _near_size(na, nb, percent: int):
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _central_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each document with the central document that shares most of its posting lists: at most one pair a document."""
+def _assigned(postings: DataFrame, percent: int) -> DataFrame:
+    """doc, star: each document with the central document of the posting lists it shares most of.
+
+    The central document of a list has the smallest share of shingles of its
+    own.  A central document that is itself assigned hands its documents on,
+    twice, so that one group of near copies has one star.
+    """
     heads = postings.groupBy("token").agg(F.min(F.struct("rarity", "doc", "n")).alias("head"), F.count("*").alias("held")).filter("held > 1")
     met = postings.join(heads, "token").filter((F.col("doc") != F.col("head.doc")) & _near_size(F.col("n"), F.col("head.n"), percent))
-    counted = met.groupBy(F.col("head.doc").alias("a"), F.col("doc").alias("b")).count()
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a").alias("first"))).alias("a")).select("a", "b")
-
-
-def _other_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs whose documents lie in different components so far."""
-    placed = postings.join(roots, postings.doc == roots.node, "left").withColumn("root", F.coalesce("root", "doc")).select("token", "doc", "n", "least", "root")
-    placed = stored(placed, "postings")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    open_ = placed.join(mixed, "token", "left_semi")
-    a, b = (open_.select("token", *[F.col(c).alias(c + side) for c in ("doc", "n", "least", "root")]) for side in "ab")
-    met = a.join(b, "token").filter((F.col("doca") < F.col("docb")) & (F.col("roota") != F.col("rootb")) & _near_size(F.col("na"), F.col("nb"), percent))
+    counted = met.groupBy("doc", F.col("head.doc").alias("star")).count()
+    one = stored(counted.groupBy("doc").agg(F.max_by("star", F.struct("count", F.negative("star").alias("first"))).alias("star")), "stars")
+    for _ in range(2):
+        above = one.select(F.col("doc").alias("star"), F.col("star").alias("top"))
+        one = stored(one.join(above, "star", "left").select("doc", F.coalesce("top", "star").alias("star")), "stars")
+    return one
+
+
+_DIFFERENCES = "doc long, star long, n int, linked boolean, rare int, size int, own array<bigint>"
+
+
+def _differences_to(stars: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """What each document's set has and its star's has not, or the reverse, for documents at least half alike.
+
+    size counts these shingles; rare of them are the document's alone; own
+    lists the others (a shingle that only the star holds as -1, -2, ...).
+    """
+    left = candidates.select(*[F.col(c).alias(c + "a") for c in ("doc", "n", "shared")])
+    right = candidates.select(*[F.col(c).alias(c + "b") for c in ("doc", "n", "shared")])
+    wide = stars.join(left, stars.star == left.doca).join(right, stars.doc == right.docb).select("doc", "star", "na", "nb", "shareda", "sharedb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, star, na, nb, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = _ids(sa), _ids(sb)
+                own = np.setxor1d(a, b, assume_unique=True)
+                both = (len(a) + len(b) - len(own)) // 2
+                if 2 * both >= na + nb - both:
+                    rare, others = nb - len(b), na - len(a)
+                    out.append((doc, star, nb, 100 * both >= percent * (na + nb - both), rare, rare + others + len(own), [*own.tolist(), *range(-others, 0)]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["doc", "star", "n", "linked", "rare", "size", "own"])
+
+    return wide.mapInArrow(run, _DIFFERENCES)
+
+
+def _mixed(placed: DataFrame, key: str) -> DataFrame:
+    """The keys whose documents lie in several components so far."""
+    return placed.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(key)
+
+
+def _placed(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    return docs.join(roots, docs.doc == roots.node, "left").withColumn("root", F.coalesce("root", "doc")).drop("node")
+
+
+def _middle_pairs(differences: DataFrame, roots: DataFrame) -> DataFrame:
+    """In each star with several components: its middle (fewest differences beside the star's own shingles) with the others."""
+    placed = _placed(differences.select("doc", "star", F.expr("size - size(filter(own, x -> x < 0))").alias("far")), roots)
+    open_ = stored(placed.join(_mixed(placed, "star"), "star", "left_semi"), "open")
+    middle = open_.groupBy("star").agg(F.min(F.struct("far", "doc", "root")).alias("m"))
+    return open_.join(middle, "star").filter(F.col("root") != F.col("m.root")).select(F.col("m.doc").alias("a"), F.col("doc").alias("b"))
+
+
+def _star_pairs(differences: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidates among documents of one star in different components.
+
+    Two sets differ in as many shingles as their differences to the star do,
+    so a pair that reaches the threshold has at most d = (100 - percent) /
+    (100 + percent) * (na + nb) of them.  Unless both reach the threshold with
+    the star itself, their differences (of s <= l shingles) then share one at
+    least, and one of the (s - l + d) / 2 + 1 and (l - s + d) / 2 + 1 that
+    are rarest in the star.  Those prefixes are posted for each class of
+    sizes that the other side may have.
+    """
+    placed = _placed(differences, roots)
+    open_ = stored(placed.join(_mixed(placed.select("star", "root"), "star"), "star", "left_semi"), "open")
+    each = open_.select("star", "doc", F.explode("own").alias("e"))
+    often = each.groupBy("star", "e").count()
+    ordered = each.join(often, ["star", "e"]).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("own"))
+    rows = open_.drop("own").join(ordered, "doc", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<count:bigint,e:bigint>>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("star", pa.int64()), ("e", pa.int64()), ("small", pa.int32()), ("large", pa.int32()), ("is_small", pa.bool_()), ("doc", pa.int64()), ("root", pa.int64())])
+        for batch in batches:
+            out = []
+            for doc, star, n, rare, size, root, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "star", "n", "rare", "size", "root", "own")), strict=True):
+                # The largest d with any partner: its size is at most n * 100 / percent.
+                most = n * (100 - percent) // percent
+                mine = size // CLASS
+                for other in range(max(0, (size - most) // CLASS), (size + most) // CLASS + 1):
+                    for small in (True, False):
+                        if (other < mine) if small else (other > mine):
+                            continue
+                        # The partner's size in its class that asks for the longest prefix.
+                        partner = max(size, other * CLASS) if small else min(size, other * CLASS)
+                        length = (most - (partner - size) if small else most + size - partner) // 2 + 1
+                        for one in own[: max(0, length - rare)]:
+                            # A shingle that no other document of the star differs in meets nobody.
+                            if one["count"] > 1:
+                                out.append((star, one["e"], mine if small else other, other if small else mine, small, doc, root))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    posted = stored(rows.mapInArrow(run, "star long, e long, small int, large int, is_small boolean, doc long, root long"), "posted")
+    key = ["star", "e", "small", "large"]
+    a = posted.filter("is_small").select(*key, F.col("doc").alias("a"), F.col("root").alias("ra"))
+    b = posted.filter("NOT is_small").select(*key, F.col("doc").alias("b"), F.col("root").alias("rb"))
+    return a.join(b, key).filter("a <> b AND ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _other_pairs(postings: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different stars (or of none) whose documents lie in different components so far."""
+    placed = _placed(postings.join(stars, "doc", "left").withColumn("star", F.coalesce("star", "doc")), roots)
+    placed = stored(placed.select("token", "doc", "n", "least", "star", "root"), "postings")
+    held = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("star").alias("s0"), F.max("star").alias("s1"))
+    open_ = placed.join(held.filter("lo <> hi AND s0 <> s1").select("token"), "token", "left_semi")
+    a, b = (open_.select("token", *[F.col(c).alias(c + side) for c in ("doc", "n", "least", "star", "root")]) for side in "ab")
+    met = a.join(b, "token").filter((F.col("doca") < F.col("docb")) & (F.col("stara") != F.col("starb")) & (F.col("roota") != F.col("rootb")) & _near_size(F.col("na"), F.col("nb"), percent))
     counted = met.groupBy("doca", "docb").agg(F.count("*").alias("both"), F.min(F.least("leasta", "leastb")).alias("needed"))
     return counted.filter("both >= needed").select(F.col("doca").alias("a"), F.col("docb").alias("b"))
 
@@ -335,9 +441,13 @@ def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     del shared
     _released(found)
     postings = stored(found.select(F.explode("prefix").alias("token"), "doc", "n", "least", "rarity"), "postings")
-    links = stored(_verified(_central_pairs(postings, join.percent), found, join.percent), "links")
+    differences = stored(_differences_to(_assigned(postings, join.percent), found, join.percent), "differences")
+    links = differences.filter("linked").select(F.col("star").alias("a"), F.col("doc").alias("b"))
+    roots = components(links)
+    links = links.union(stored(_verified(_middle_pairs(differences, roots), found, join.percent), "links"))
     roots = components(links)
-    others = stored(_verified(_other_pairs(postings, roots, join.percent), found, join.percent), "links")
+    pairs = _star_pairs(differences, roots, join.percent).union(_other_pairs(postings, differences.select("doc", "star").union(differences.select("star", "star").distinct()), roots, join.percent))
+    others = stored(_verified(pairs, found, join.percent), "links")
     if not others.isEmpty():
         roots = components(links.union(others))
     placed = classes.join(roots, classes.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
