@@ -118,7 +118,7 @@ convert_geometry_to_parquet_for_multiple_types = download_data_for_multiple_type
 
 
 def _frame(path: Path):
-    return sink.to_frame(_s().spark.read.parquet(path.resolve().as_uri()))
+    return sink.to_frame(_s().spark.read.parquet(f"file://{path.resolve()}"))
 
 
 def convert_geometry_to_geodataframe(*args: Any, **kwargs: Any):
