@@ -3,9 +3,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("TZ", "UTC")
+settings.register_profile("slow", deadline=None)
+settings.load_profile("slow")
 
 
 @pytest.fixture(scope="session")
