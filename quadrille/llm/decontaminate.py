@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item.
@@ -215,21 +215,21 @@ def _matching(block: list[tuple[int, str]], rate: float, names: list[str]):
     return run
 
 
-def count_items(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` and n_items, how many items each row of `docs` (text) holds."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.lit(0).cast("long").alias("n_items"), F.col("text").cast("string").alias("text"))
-    names = rows.columns[:-2]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+def item_count(text: Column, items: DataFrame, rate: float = RATE) -> Column:
+    """How many items each text holds, as a column: only the texts go to Python, and only a count comes back."""
+    total = F.lit(0).cast("long")
     for block in _blocks(items):
-        rows = rows.mapInArrow(_counting(block, rate, rows.columns), kinds)
-    return rows.drop("text").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+        total = total + _counter(block, rate)(text.cast("string"))
+    return total
 
 
-def _counting(block: list[tuple[int, str]], rate: float, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, rate)
-        for batch in batches:
-            found = [before + len(matcher.hits(folded(text or ""))) for before, text in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.int64()), batch.columns[-1]], names)
+def _counter(block: list[tuple[int, str]], rate: float):
+    ready: list[Matcher] = []
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Matcher(block, rate))
+        return pa.array([len(ready[0].hits(folded(t.as_py() or ""))) for t in texts], pa.int64())
 
     return run

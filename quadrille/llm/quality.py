@@ -182,6 +182,21 @@ def score(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (
     return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
+def passes(text: Column, model: QualityModel | None) -> Column:
+    """`kept` alone, as a column: only the texts go to Python, and only a flag comes back."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for row, end, data, offsets in chunks(texts):
+            found = measure(data, offsets)
+            low = model.low(found.grams, end - row) if model else np.zeros(end - row)
+            out.append(~found.base_failed & (low < THRESHOLD))
+        return pa.array(np.concatenate(out))
+
+    return run(text.cast("string"))
+
+
 def usable_labels() -> Column:
     """The labelled rows that are learned from; the other quarter measures the result."""
     return ~held_out(F.col("doc_id"))

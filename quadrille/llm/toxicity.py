@@ -114,8 +114,13 @@ def _tree(joint: list[np.ndarray], single: list[np.ndarray], share: list[float])
     return parents
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, prior: float, steps: int = 12) -> LabelModel:
-    """Expectation maximisation from the posteriors in `start`; rows weigh `weight`; the class prior is kept."""
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, prior: float, steps: int = 3) -> LabelModel:
+    """Expectation maximisation from the posteriors in `start`; rows weigh `weight`; the class prior is kept.
+
+    Posteriors read votes alone, not abstentions (with hundreds of correlated
+    voters, silence would drown a vote), so the estimation stops after a few
+    steps, before rates forget the start.
+    """
     r, v = start, votes.astype(float)
     for _ in range(steps):
         joint, single, share, rates = [], [], [], []
@@ -245,3 +250,18 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] =
     names = rows.columns[:-1]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
+def is_toxic(text: Column, model: ToxicityModel | None) -> Column:
+    """`predicted` alone, as a boolean column: only the texts go to Python, and only a flag comes back."""
+    ready: list = []
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        if model is None:
+            return pa.array(np.zeros(len(texts), bool))
+        if not ready:
+            ready.append(model.scorer())
+        return pa.array(np.concatenate([np.zeros(0, bool), *(ready[0](data, offsets) >= THRESHOLD for _, _, data, offsets in chunks(texts))]))
+
+    return run(text.cast("string"))
