@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import quality, toxicity
-from quadrille.llm.decontaminate import count_items
+from quadrille.llm.decontaminate import item_count
 from quadrille.llm.jaccard import JaccardJoin, near_components
 from quadrille.llm.learning import held_out
 from quadrille.llm.pieces import encode_documents
@@ -27,13 +27,13 @@ NEAR = JaccardJoin(width=5, percent=80)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier, which learns from the labelled of them."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.usable_labels())
-    return quality.score(docs, model, keep=(*docs.columns,)).filter("kept").select(*docs.columns)
+    return docs.filter(quality.passes(docs["text"], model))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted clean."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
-    return toxicity.score(docs, model, keep=(*docs.columns,)).filter("predicted = 0").select(*docs.columns)
+    return docs.filter(~toxicity.is_toxic(docs["text"], model))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,7 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    counted = count_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(*docs.columns,))
-    return counted.filter("n_items = 0").select(*docs.columns)
+    return docs.filter(item_count(docs["text"], spark.read.parquet(f"{sf_dir}/benchmark.parquet")) == 0)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
