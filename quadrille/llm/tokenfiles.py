@@ -38,17 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words in each of the two generations of which a worker remembers the ids.
-REMEMBERED = 500_000
+from quadrille.llm.arrays import chunks, mix, span_hashes, words
+
+#: Words of which a worker remembers the ids; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
 _NO_ID = np.iinfo(np.int64).min
-_WORDS = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space beside space, tab and newline by any version of Unicode, as code points.
 _ODD = (*range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _ODD_SPACE = "[" + "".join(map(chr, _ODD)) + "]"
 
-#: Before a word that has other white space than one space before it, or none.
-_BARE = chr(0x10FFFF)
-_NOT_BEHIND = " \n\t" + _BARE
 #: Marks that the library's pattern splits from the letters before them.
 _MARKS = ",.;:!?"
 #: Letters below this are letters in every version of Unicode.
@@ -56,13 +54,13 @@ _LATIN = chr(0x250)
 
 
 class WordEncoder:
-    """Byte-level BPE through the tokenizers library, asking it once for each distinct word.
+    """Byte-level BPE through the tokenizers library, by words.
 
     The library splits a text before it merges, and no split part runs from a
-    visible character into white space.  So white space and the visible
-    characters behind it form a unit that encodes alike in any text.  A text
-    with other white space than space, tab and newline, or with an added
-    token's string, goes to the library whole.
+    visible character into white space.  So a space or newline and the visible
+    characters behind it form a unit that encodes alike in any text.  A word
+    that holds white space of other kinds, or an added token's string, does
+    not stand alone.
     """
 
     def __init__(self, tokenizer_file: str, end_id: int | None) -> None:
@@ -85,8 +83,6 @@ class WordEncoder:
         own = [b for b in range(256) if chr(b) in shown]
         others = iter(sorted(set(shown) - {chr(b) for b in own}))
         self.letters = {b: chr(b) if chr(b) in shown else next(others) for b in range(256)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.id_bytes = [np.array([i], self.dtype).tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
@@ -96,52 +92,160 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes, with the end id."""
-        if not self.by_word:
-            return [b + self.end for b in self._raw(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        get, split, found, missing = self.known.get, [], [], []
-        for text in texts:
-            split.append(parts := self._parts(text))
-            found.append(got := list(map(get, parts)))
-            if None in got:
-                missing.append(parts)
-        self._learn(set().union(*missing).difference(self.known))
-        out = []
-        for text, parts, got in zip(texts, split, found, strict=True):
-            if None in got:
-                got = list(map(get, parts))
-            # A word that doesn't stand alone is still unknown.
-            out.append((self._raw([text])[0] if None in got else b"".join(got)) + self.end)
-        return out
+        return [b + self.end for b in self._raw(texts)]
 
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """The words, without the space where that is all the white space before them, and with it where it is more."""
-        if not text:
-            return []
-        if text[0] in " \n" or text[-1] == " " or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or _BARE in text:
-            return [w[1:] if len(w) > 1 and w[0] == " " and w[1] not in _NOT_BEHIND else _BARE + w for w in _WORDS.findall(text)]
-        return (_BARE + text.replace("\n", " " + _BARE + "\n")).split(" ")
-
-    def _learn(self, words: set[str]) -> None:
-        known, older, tokens, raw, letters = self.known, self.older, self.model.tokenize, self.id_bytes, self.letters
+    def units(self, units: list[str]) -> list[bytes | None]:
+        """The ids of words with the space or newline before them; None for those that do not stand alone."""
+        tokens, raw, letters, marks = self.model.tokenize, self.id_bytes, self.letters, self.marks
+        out: list[bytes | None] = []
         rest = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            core, tail = (w[:-1], self.marks[w[-1]]) if w[-1:] in self.marks else (w, b"")
+        for i, w in enumerate(units):
+            core, tail = (w[1:-1], marks[w[-1]]) if w[-1] in marks else (w[1:], b"")
             # A space and letters, and a mark behind them, are what the library's pattern leaves in one piece each.
-            if core.isalpha() and (core.isascii() or max(core) < _LATIN):
-                got = known.get(core) if tail else None
-                if got is None:
-                    got = b"".join([raw[t.id] for t in tokens((" " + core).encode().decode("latin-1").translate(letters))])
-                known[w] = got + tail
-            elif not self.odd(w):
-                rest.append(w)
-        whole = [w[1:] if w[:1] == _BARE else " " + w for w in rest]
-        known.update(zip(rest, self._raw(whole), strict=True))
+            if w[0] == " " and core.isalpha() and (core.isascii() or max(core) < _LATIN):
+                out.append(b"".join([raw[t.id] for t in tokens((" " + core).encode().decode("latin-1").translate(letters))]) + tail)
+            else:
+                out.append(None)
+                if not self.odd(w):
+                    rest.append(i)
+        for i, ids in zip(rest, self._raw([units[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+
+class _Table:
+    """64-bit keys to consecutive numbers: linear probing, whole arrays at a time."""
+
+    def __init__(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.entry = np.full(1 << bits, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that are not there."""
+        slot = keys & self.mask
+        out = self.entry[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + np.uint64(1)) & self.mask
+            found = self.entry[slot]
+            out[open_] = found
+            again = (found >= 0) & (self.keys[slot] != keys[open_])
+            open_, slot = open_[again], slot[again]
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        slot = keys & self.mask
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.entry[slot[first]] < 0]
+            self.keys[slot[first]], self.entry[slot[first]] = keys[first], numbers[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, numbers, slot = keys[rest], numbers[rest], (slot[rest] + np.uint64(1)) & self.mask
+
+
+class ArrayEncoder:
+    """Encodes Arrow batches of texts: words are found, hashed, looked up and replaced by their ids as arrays.
+
+    Only words that the worker does not remember go to the library.  A word
+    counts with what stands before it: nothing, a space or a newline; texts
+    with other white space, or with a word that does not stand alone, are
+    encoded one by one.  A word is known by 64 hash bits; that a new word is
+    taken for one of the remembered has a chance of 1e-13.
+    """
+
+    def __init__(self, words: WordEncoder) -> None:
+        self.words = words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.n = _Table((4 * REMEMBERED - 1).bit_length()), 1
+        # Entry 0 is the end of a text.
+        end = np.frombuffer(self.words.end, self.words.dtype)
+        self.flat, self.used = np.zeros(1 << 16, self.words.dtype), len(end)
+        self.flat[: len(end)] = end
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.size[0], self.alone = len(end), np.ones(1 << 12, bool)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has)."""
+        ids, counts = [np.zeros(0, self.words.dtype)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in chunks(texts):
+            part, sizes = self._encode(data, offsets)
+            ids.append(part)
+            counts.append(sizes)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        starts, ends, docs = words(data, offsets)
+        plain = np.full(n, self.words.by_word)
+        before = np.zeros(len(starts), np.uint64)
+        if len(starts):
+            first = np.ones(len(starts), bool)
+            first[1:] = docs[1:] != docs[:-1]
+            gap = starts - np.where(first, offsets[docs], np.roll(ends, 1))
+            ahead = data[np.maximum(starts - 1, 0)]
+            before = np.where(first, 0, np.where(ahead == 32, 1, 2)).astype(np.uint64)
+            plain[docs[np.where(first, gap != 0, (gap != 1) | (ahead != 32) & (ahead != 10))]] = False
+            last = np.flatnonzero(np.append(first[1:], True))
+            plain[docs[last[ends[last] != offsets[docs[last] + 1]]]] = False
+        plain[np.bincount(docs, minlength=n) == 0] &= (np.diff(offsets) == 0)[np.bincount(docs, minlength=n) == 0]
+        own = plain[docs]
+        starts, ends, docs, before = starts[own], ends[own], docs[own], before[own]
+        keys = mix(span_hashes(data, starts, ends, lower=False) + before)
+        entry = self.table.find(keys)
+        if (entry < 0).any():
+            if self.n > REMEMBERED:
+                self._forget()
+                entry[:] = -1
+            self._learn(data, starts, ends, before, keys, entry)
+            entry = self.table.find(keys)
+        plain[docs[~self.alone[entry]]] = False
+        # The end of each text goes behind its words.
+        at = np.cumsum(np.bincount(docs, minlength=n))
+        entry = np.insert(entry, at, 0)
+        size = self.size[entry].astype(np.int64)
+        total = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[entry] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate([[0], total[at + np.arange(n)]])
+        if plain.all():
+            return ids, np.diff(cuts)
+        raw = data.tobytes()
+        odd = np.flatnonzero(~plain)
+        blobs = dict(zip(odd.tolist(), self.words.encode([raw[offsets[i] : offsets[i + 1]].decode() for i in odd]), strict=True))
+        parts = [np.frombuffer(blobs[i], self.words.dtype) if i in blobs else ids[cuts[i] : cuts[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, keys: np.ndarray, entry: np.ndarray) -> None:
+        missing = np.flatnonzero(entry < 0)
+        new, first = np.unique(keys[missing], return_index=True)
+        at = missing[first]
+        raw, lead = data.tobytes(), ("", " ", "\n")
+        units = [lead[b] + raw[s:e].decode() for s, e, b in zip(starts[at].tolist(), ends[at].tolist(), before[at].tolist(), strict=True)]
+        found = self.words.units(units)
+        sizes = np.array([0 if f is None else len(f) // self.words.dtype.itemsize for f in found], np.int64)
+        flat = np.frombuffer(b"".join(f for f in found if f), self.words.dtype)
+        self.flat = _grown(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        end = self.n + len(new)
+        self.start, self.size, self.alone = (_grown(x, end) for x in (self.start, self.size, self.alone))
+        self.start[self.n : end], self.size[self.n : end] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.alone[self.n : end] = [f is not None for f in found]
+        self.table.add(new, np.arange(self.n, end, dtype=np.int32))
+        self.n, self.used = end, self.used + len(flat)
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+@lru_cache(maxsize=2)
+def array_encoder(tokenizer_file: str, end_id: int | None) -> ArrayEncoder:
+    return ArrayEncoder(encoder(tokenizer_file, end_id))
 
 
 @lru_cache(maxsize=2)
@@ -160,21 +264,21 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
     store.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file, end_id)
+        own = array_encoder(tokenizer_file, end_id)
+        dtype = own.words.dtype
         store, root = _opened(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         name = lambda kind: f"{root}/{kind}-{part:05d}-{attempt}.bin"
         n_docs = n_ids = 0
         with store.open_output_stream(name("tokens")) as tokens, store.open_output_stream(name("counts")) as counts, store.open_output_stream(name("docids")) as docids:
             for batch in batches:
-                for i in range(0, batch.num_rows, 128):
-                    rows = batch.slice(i, 128)
-                    blobs = own.encode([x or "" for x in rows.column(1).to_pylist()])
-                    sizes = np.array([len(b) // own.dtype.itemsize for b in blobs], "<u8")
-                    tokens.write(b"".join(blobs))
-                    counts.write(sizes.tobytes())
+                for i in range(0, batch.num_rows, 1024):
+                    rows = batch.slice(i, 1024)
+                    ids, sizes = own.encode(rows.column(1))
+                    tokens.write(ids.astype(dtype, copy=False).tobytes())
+                    counts.write(sizes.astype("<u8").tobytes())
                     docids.write(rows.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    n_docs, n_ids = n_docs + len(blobs), n_ids + int(sizes.sum())
+                    n_docs, n_ids = n_docs + len(sizes), n_ids + int(sizes.sum())
         yield pa.RecordBatch.from_pydict({"part": [part], "attempt": [attempt], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("attempt", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
