@@ -28,7 +28,7 @@ WITH whole AS (
   SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), pairs AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id FROM whole
+  SELECT DISTINCT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id FROM whole
 ), sides AS (
   SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, coalesce(a.turns, []) AS c, coalesce(b.turns, []) AS r
   FROM pairs LEFT JOIN whole a ON a.conv_id = 2 * pair_id LEFT JOIN whole b ON b.conv_id = 2 * pair_id + 1
@@ -47,6 +47,6 @@ FROM parts
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    pairs = turns.filter(F.col("conv_id").isNotNull()).select(F.expr("conv_id div 2").alias("pair_id")).distinct().select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+    pairs = turns.filter(F.col("conv_id").isNotNull()).select(F.shiftright("conv_id", 1).alias("pair_id")).distinct().select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
     shown = {m: F.array_join(F.transform(m, lambda s: F.concat(s.begin.cast("string"), F.lit("-"), s.end.cast("string"))), ",") for m in ("chosen_mask", "rejected_mask")}
     return preference_pairs(turns, pairs).withColumns(shown)
