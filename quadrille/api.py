@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from quadrille.functions.geometry import Geometry
 from quadrille.operators import wide as W
 from quadrille.operators.extract import extract
+from quadrille.operators.order import spatially_sorted
 from quadrille.plans.predicate import Predicate
-from quadrille.sources import cache, index, sink
+from quadrille.sources import cache, index, names, sink
 from quadrille.sources.lake import Lake
-from quadrille.sources.taxonomy import read_taxonomy
 
 Pair = tuple[str, str]
 
@@ -95,8 +95,11 @@ def _listed(pairs: Sequence[Pair], values: Any, what: str) -> list:
     return list(values)
 
 
-def download_data(theme: str, type: str, geometry_filter: Geometry, release: str | None = None, pyarrow_filter: Predicate | None = None, columns_to_download: Sequence[str] | None = None, result_file_path: str | Path | None = None, compression: str = sink.COMPRESSION, compression_level: int = sink.LEVEL, row_group_size: int = sink.ROW_GROUP, ignore_cache: bool = False, working_directory: str | Path = "files", sort_result: bool = True) -> Path:
-    """Writes an extract to one GeoParquet file, unless the file is there already; returns its path."""
+def download_data(theme: str, type: str, geometry_filter: Geometry, release: str | None = None, pyarrow_filter: Predicate | None = None, columns_to_download: Sequence[str] | None = None, result_file_path: str | Path | None = None, compression: str = sink.COMPRESSION, compression_level: int = sink.LEVEL, row_group_size: int = sink.ROW_GROUP, ignore_cache: bool = False, working_directory: str | Path = "files", sort_result: bool = True, verbosity_mode: str = "transient", max_workers: int | None = None) -> Path:
+    """Writes an extract to one GeoParquet file, unless the file is there already; returns its path.
+
+    verbosity_mode and max_workers are accepted for callers that pass them; Spark schedules and reports.
+    """
     release = _s().lake.resolved(release)
     given = (compression, compression_level, row_group_size)
     output = () if given == (sink.COMPRESSION, sink.LEVEL, sink.ROW_GROUP) else given
@@ -148,20 +151,13 @@ def convert_bounding_box_to_geodataframe_for_multiple_types(*args: Any, **kwargs
 # Wide forms.
 
 
-def _definition(pair: Pair, release: str, observed: DataFrame | None = None) -> DataFrame | None:
-    """All paths of a release; for places the taxonomy with the categories it lacks."""
+def _definition(pair: Pair, release: str) -> DataFrame:
+    """All paths of a table in a release, from the names index if there is a place for one."""
     s = _s()
-    if pair != W.PLACES:
-        return s.lake.read(*pair, release)
-    seen = W.observed_categories(s.lake.read(*pair, release) if observed is None else observed, _primary(release))
-    if s.taxonomy is None:
-        return seen.select("category", F.col("category").alias("1"))
-    return W.backfilled(read_taxonomy(s.spark, s.taxonomy), seen)
-
-
-def _primary(release: str) -> str:
-    """The name of the primary category, before and since the release that renamed it."""
-    return "primary" if release >= "2024-07-22.0" else "main"
+    if s.index_root is None:
+        return names.all_paths(s.lake, pair, release, s.taxonomy)
+    names.generate_names_index(s.lake, s.index_root, release, s.taxonomy)
+    return names.load_names_index(s.spark, s.index_root, pair, release)
 
 
 def wide_features(theme_type_pairs: Sequence[Pair], geometry_filter: Geometry | None = None, release: str | None = None, pyarrow_filter: Sequence | None = None, hierarchy_depth: int | None | Sequence[int | None] = None, include_all_possible_columns: bool = True, places_use_primary_category_only: bool = False, places_minimal_confidence: float = 0.75) -> W.Packed:
@@ -176,7 +172,7 @@ def wide_features(theme_type_pairs: Sequence[Pair], geometry_filter: Geometry |
         rows = features(*pair, geometry_filter, release, where)
         kept = [c for c in ("id", "geometry", "bbox") if c in rows.columns]
         if pair == W.PLACES:
-            primary = _primary(release)
+            primary = names.primary_name(release)
             definition = _definition(pair, release)
             if not include_all_possible_columns:
                 shown = rows.where(F.col("confidence") >= places_minimal_confidence)
@@ -195,16 +191,16 @@ def get_all_possible_column_names(release: str | None = None, theme: str | None
     levels = W.hierarchies(release)
     pairs = [(theme, type)] if theme is not None else [p for p in _s().lake.pairs(release) if p in levels]
     depths = hierarchy_depth if isinstance(hierarchy_depth, (list, tuple)) else [hierarchy_depth] * len(pairs)
-    names: set[str] = set()
+    found: set[str] = set()
     for pair, depth in zip(pairs, depths, strict=True):
         own = levels[pair][: W.checked_depth(depth, len(levels[pair]))]
         definition = _definition(pair, release)
         own = [c for c in own if c in definition.columns]
-        names |= set(W.column_names(W.definitions(definition, pair, own))) if own else {"|".join(pair)}
-    return sorted(names)
+        found |= set(W.column_names(W.definitions(definition, pair, own))) if own else {"|".join(pair)}
+    return sorted(found)
 
 
-def convert_geometry_to_wide_form_parquet_for_multiple_types(theme_type_pairs: Sequence[Pair], geometry_filter: Geometry, release: str | None = None, pyarrow_filter: Sequence | None = None, hierarchy_depth: Any = None, include_all_possible_columns: bool = True, result_file_path: str | Path | None = None, compression: str = sink.COMPRESSION, compression_level: int = sink.LEVEL, row_group_size: int = sink.ROW_GROUP, ignore_cache: bool = False, working_directory: str | Path = "files", sort_result: bool = True, **places: Any) -> Path:
+def convert_geometry_to_wide_form_parquet_for_multiple_types(theme_type_pairs: Sequence[Pair], geometry_filter: Geometry, release: str | None = None, pyarrow_filter: Sequence | None = None, hierarchy_depth: Any = None, include_all_possible_columns: bool = True, result_file_path: str | Path | None = None, compression: str = sink.COMPRESSION, compression_level: int = sink.LEVEL, row_group_size: int = sink.ROW_GROUP, ignore_cache: bool = False, working_directory: str | Path = "files", sort_result: bool = True, verbosity_mode: str = "transient", max_workers: int | None = None, **places: Any) -> Path:
     """Writes a wide form to one GeoParquet file: id, geometry and the sorted names; returns its path."""
     release = _s().lake.resolved(release)
     depths = list(hierarchy_depth) if isinstance(hierarchy_depth, (list, tuple)) else [hierarchy_depth] * len(theme_type_pairs)
@@ -216,8 +212,6 @@ def convert_geometry_to_wide_form_parquet_for_multiple_types(theme_type_pairs: S
         # The sort moves packed rows; the boolean columns are made behind it.
         rows = packed.rows
         if sort_result and "bbox" in rows.columns:
-            from quadrille.operators.order import spatially_sorted
-
             rows = spatially_sorted(rows, geometry_filter.bounds)
         table = W.unpacked(rows.drop("bbox"), packed.names)
         sink.write_geoparquet(table, str(path), sort=False, compression=compression, level=compression_level, row_group_size=row_group_size)

@@ -64,6 +64,6 @@ class Lake:
         base = self.folder(theme, type_, release)
         return [f"{base}/{n}" for n, folder, _ in listed(self.spark, base) if not folder and n.endswith(".parquet")]
 
-    def read(self, theme: str, type_: str, release: str | None = None, files: list[str] | None = None) -> DataFrame:
-        """A table without its partition columns; `files` narrows it to some of its files."""
-        return self.spark.read.parquet(*(files or [self.folder(theme, type_, release)]))
+    def read(self, theme: str, type_: str, release: str | None = None, files: list[str] | None = None, merge_schema: bool = False) -> DataFrame:
+        """A table without its partition columns; `files` narrows it to some of its files, merge_schema joins files of different columns."""
+        return self.spark.read.option("mergeSchema", merge_schema).parquet(*(files or [self.folder(theme, type_, release)]))

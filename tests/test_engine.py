@@ -2,6 +2,7 @@ import json
 import math
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from quadrille.functions.geometry import Geometry
 from quadrille.operators import wide as W
 from quadrille.operators.extract import extract, projected
 from quadrille.plans.predicate import compiled, parsed
-from quadrille.sources import index, regions, sink
+from quadrille.sources import index, names, regions, sink
 from quadrille.sources.lake import Lake, checked_release
+from quadrille.sources.rowgroups import map_parquet_dataset, row_group_scan
 from quadrille.sources.taxonomy import read_taxonomy
 from quadrille.streaming.stateless import extract_stream, feature_stream
 
@@ -125,6 +127,24 @@ def test_row_group_index(spark, lake, tmp_path):
         index.load_release_index(lake, target, "base", "water", remote_index=True)
 
 
+def test_row_groups_as_units(spark, lake):
+    files = lake.files("base", "water")
+    sizes = map_parquet_dataset(spark, files, lambda f, g, t: pa.table({"f": [f], "g": pa.array([g], pa.int32()), "n": [t.num_rows]}), "f string, g int, n long")
+    rows = sizes.collect()
+    assert sum(r.n for r in rows) == 100 and {r.f for r in rows} == set(files) and len({(r.f, r.g) for r in rows}) == len(rows)
+    one = row_group_scan(spark, files[0], 0, Geometry.box(-1, -1, 1.5, 3), [("n", ">", 0)], ["n"])
+    assert one.columns == ["id", "n", "geometry"] and 0 < one.count() < 20
+
+
+def test_names_index(spark, lake, tmp_path):
+    target, taxonomy = f"file://{tmp_path}", f"{lake.root}/taxonomy.csv"
+    assert names.generate_names_index(lake, target, None, taxonomy) and not names.generate_names_index(lake, target, None, taxonomy)
+    for pair in lake.pairs():
+        ours = {tuple(r) for r in names.load_names_index(spark, target, pair, RELEASE).collect()}
+        assert ours == {tuple(r) for r in names.all_paths(lake, pair, RELEASE, taxonomy).collect()}
+    assert {r.category for r in names.load_names_index(spark, target, ("places", "place"), RELEASE).collect()} == {"cafe", "bar", "museum"}
+
+
 def test_geoparquet_files(lake, tmp_path):
     box = Geometry.box(-1, -1, 10, 10)
     path = api.download_data("base", "water", box, working_directory=tmp_path, row_group_size=30)
