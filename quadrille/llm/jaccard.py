@@ -48,7 +48,7 @@ from quadrille.llm.components import components
 from quadrille.llm.workspace import stored
 
 #: Text bytes whose shingles are packed together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Sizes of differences in one class.
 CLASS = 6
 #: Largest L that a document considers; postings so few that none is sought.

@@ -52,7 +52,7 @@ class Sparse:
     def take(self, keep: np.ndarray) -> Sparse:
         place = np.cumsum(keep) - 1
         own = keep[self.rows]
-        return Sparse(place[self.rows[own]], self.columns[own], self.values[own], (int(keep.sum()), self.shape[1]))
+        return Sparse(place[self.rows[own]].astype(self.rows.dtype), self.columns[own], self.values[own], (int(keep.sum()), self.shape[1]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

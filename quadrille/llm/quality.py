@@ -121,11 +121,11 @@ def _shares(texts: list[str]) -> Sparse:
         for family, (docs, codes) in enumerate(measure(data, offsets).grams):
             counts = np.bincount(docs, minlength=end - row)
             keys, times = np.unique((docs << BITS) + codes, return_counts=True)
-            rows.append(row + (keys >> BITS))
-            columns.append((keys & ((1 << BITS) - 1)) + (family << BITS))
-            values.append(times / counts[keys >> BITS])
+            rows.append((row + (keys >> BITS)).astype(np.int32))
+            columns.append(((keys & ((1 << BITS) - 1)) + (family << BITS)).astype(np.int32))
+            values.append((times / counts[keys >> BITS]).astype(np.float32))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return Sparse(join(rows, np.int64), join(columns, np.int64), join(values, float), (n, 3 << BITS))
+    return Sparse(join(rows, np.int32), join(columns, np.int32), join(values, np.float32), (n, 3 << BITS))
 
 
 def fit(texts: list[str], low: np.ndarray, weight: np.ndarray) -> QualityModel | None:

@@ -26,3 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of one Arrow batch between Spark and Python: texts are long, and both sides hold several batches.
+BATCH_BYTES = 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES where they are larger; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")  # Spark has a default for it
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
