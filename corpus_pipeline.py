@@ -18,7 +18,7 @@ from quadrille.llm.decontaminate import item_count
 from quadrille.llm.jaccard import JaccardJoin, near_components
 from quadrille.llm.learning import held_out
 from quadrille.llm.pieces import encode_documents
-from quadrille.llm.workspace import stored
+from quadrille.llm.workspace import modest_batches, stored
 
 #: Near duplicates share 80 of 100 of their five-word shingles.
 NEAR = JaccardJoin(width=5, percent=80)
@@ -26,18 +26,21 @@ NEAR = JaccardJoin(width=5, percent=80)
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier, which learns from the labelled of them."""
+    modest_batches(spark)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.usable_labels())
     return docs.filter(quality.passes(docs["text"], model))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted clean."""
+    modest_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
     return docs.filter(~toxicity.is_toxic(docs["text"], model))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id."""
+    modest_batches(spark)
     found = near_components(docs, NEAR)
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return _one_each(docs.join(others, "doc_id", "left_anti").select(*docs.columns))
@@ -55,11 +58,13 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    modest_batches(spark)
     return docs.filter(item_count(docs["text"], spark.read.parquet(f"{sf_dir}/benchmark.parquet")) == 0)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, begins, ends."""
+    modest_batches(spark)
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
