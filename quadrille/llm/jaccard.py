@@ -49,8 +49,8 @@ from quadrille.llm.workspace import stored
 
 #: Text bytes whose shingles are packed together.
 BLOCK_BYTES = 6 << 20
-#: Sizes of differences in one class.
-CLASS = 6
+#: Classes into which the sizes of partners fall, at most, on either side.
+CLASSES = 6
 #: Largest L that a document considers; postings so few that none is sought.
 MAX_MATCHES, FEW = 12, 16
 
@@ -312,7 +312,7 @@ def _assigned(postings: DataFrame, percent: int) -> DataFrame:
     return one
 
 
-_DIFFERENCES = "doc long, star long, n int, linked boolean, rare int, size int, own array<bigint>"
+_DIFFERENCES = "doc long, star long, star_n int, n int, linked boolean, rare int, size int, own array<bigint>"
 
 
 def _differences_to(stars: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -334,9 +334,9 @@ def _differences_to(stars: DataFrame, candidates: DataFrame, percent: int) -> Da
                 both = (len(a) + len(b) - len(own)) // 2
                 if 2 * both >= na + nb - both:
                     rare, others = nb - len(b), na - len(a)
-                    out.append((doc, star, nb, 100 * both >= percent * (na + nb - both), rare, rare + others + len(own), [*own.tolist(), *range(-others, 0)]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["doc", "star", "n", "linked", "rare", "size", "own"])
+                    out.append((doc, star, na, nb, 100 * both >= percent * (na + nb - both), rare, rare + others + len(own), [*own.tolist(), *range(-others, 0)]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["doc", "star", "star_n", "n", "linked", "rare", "size", "own"])
 
     return wide.mapInArrow(run, _DIFFERENCES)
 
@@ -380,16 +380,18 @@ def _star_pairs(differences: DataFrame, roots: DataFrame, percent: int) -> DataF
         schema = pa.schema([("star", pa.int64()), ("e", pa.int64()), ("small", pa.int32()), ("large", pa.int32()), ("is_small", pa.bool_()), ("doc", pa.int64()), ("root", pa.int64())])
         for batch in batches:
             out = []
-            for doc, star, n, rare, size, root, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "star", "n", "rare", "size", "root", "own")), strict=True):
+            for doc, star, star_n, n, rare, size, root, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "star", "star_n", "n", "rare", "size", "root", "own")), strict=True):
                 # The largest d with any partner: its size is at most n * 100 / percent.
                 most = n * (100 - percent) // percent
-                mine = size // CLASS
-                for other in range(max(0, (size - most) // CLASS), (size + most) // CLASS + 1):
+                # Classes are as wide in one star, and as few for long documents as for short ones.
+                width = max(4, star_n * (100 - percent) // percent // CLASSES)
+                mine = size // width
+                for other in range(max(0, (size - most) // width), (size + most) // width + 1):
                     for small in (True, False):
                         if (other < mine) if small else (other > mine):
                             continue
                         # The partner's size in its class that asks for the longest prefix.
-                        partner = max(size, other * CLASS) if small else min(size, other * CLASS)
+                        partner = max(size, other * width) if small else min(size, other * width)
                         length = (most - (partner - size) if small else most + size - partner) // 2 + 1
                         for one in own[: max(0, length - rare)]:
                             # A shingle that no other document of the star differs in meets nobody.
