@@ -203,8 +203,9 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, voters: int = 1
     soft_up, soft_down = np.bincount(codes, posterior[docs], len(names)), np.bincount(codes, 1 - posterior[docs], len(names))
     n_soft_up, n_soft_down = posterior.sum() + 1e-9, (1 - posterior).sum() + 1e-9
     pooled = (soft_up + soft_down) / len(texts)
-    clear = np.abs(soft_up / n_soft_up - soft_down / n_soft_down) / np.sqrt(pooled * (1 - pooled) * (1 / n_soft_up + 1 / n_soft_down) + 1e-12)
-    # Features that lean to one side by no more than chance explains would only add noise to long texts.
+    clear = (soft_up / n_soft_up - soft_down / n_soft_down) / np.sqrt(pooled * (1 - pooled) * (1 / n_soft_up + 1 / n_soft_down) + 1e-12)
+    # Features that lean to toxic by no more than chance explains would only add noise to long texts, and those that
+    # lean to clean (the words of common lines, say) would outvote the telling ones.
     common = np.flatnonzero((soft_up + soft_down >= 3) & (clear > 3))
     chosen = np.sort(common[np.argsort(-clear[common], kind="stable")][:vocabulary])
     place = np.full(len(names), -1)
@@ -214,7 +215,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, voters: int = 1
     fifth = np.arange(len(texts)) % 5 == 4
     if not (0 < toxic[fifth].sum() < fifth.sum()) or not (0 < toxic[~fifth].sum() < (~fifth).sum()):
         fifth = np.zeros(len(texts), bool)
-    w, b = logistic(x.take(~fifth), posterior[~fifth], weight[~fifth], ridge=2e-4, steps=150, rate=0.1)
+    w, b = logistic(x.take(~fifth), posterior[~fifth], weight[~fifth], ridge=1e-5, steps=400, rate=0.1)
     held = fifth if fifth.any() else ~fifth
     slope, bias = calibrated(x.take(held).dot(w) + b, toxic[held].astype(float), weight[held])
     agreement = float(((posterior >= 0.5) == (toxic == 1)).mean())
