@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Lines in a window; a surge reaches this many characters in one window.
 WINDOW, SURGE = 3, 40
+#: A stretch outside the article speaks against it from this many characters: a window of surging lines.
+BODY = WINDOW * SURGE
 #: Share of link text from which a line counts as navigation.
 LINKED = 0.6
 
@@ -86,6 +88,11 @@ def _purposeless(name: str, raw: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "main", "article"):
         return False
+    return _announced(given)
+
+
+def _announced(given: dict[str, str]) -> bool:
+    """Whether class or id name a purpose that is no prose."""
     said = f"{given.get('class', '')} {given.get('id', '')}"
     return bool(_PURPOSE.search(said)) and not _ARTICLE.search(said)
 
@@ -163,7 +170,7 @@ def lines_of(source: str) -> list[Line]:
             close()
         if name in _VOID or raw.rstrip().endswith("/") and not block:
             continue
-        entry = _Open(name, _purposeless(name, raw, articles > 0), name == "article" or name == "main" or _says_article(raw), name == "a")
+        entry = _Open(name, _purposeless(name, raw, articles > 0), _is_article(name, raw), name == "a")
         stack.append(entry)
         drops, articles, links = drops + entry.drops, articles + entry.article, links + entry.link
         if block:
@@ -176,12 +183,15 @@ def lines_of(source: str) -> list[Line]:
     return lines
 
 
-def _says_article(raw: str) -> bool:
-    if "articleBody" in raw:
+def _is_article(name: str, raw: str) -> bool:
+    """Whether an element is the article by its name, unless that announces a teaser or the like, or by its class or id."""
+    if name == "main" or "articleBody" in raw:
         return True
     if "class" not in raw and "id" not in raw:
-        return False
+        return name == "article"
     given = _attributes(raw)
+    if name == "article":
+        return not _announced(given)
     return bool(_ARTICLE.search(f"{given.get('class', '')} {given.get('id', '')}"))
 
 
@@ -192,19 +202,31 @@ def main_text(source: str) -> str:
         line.text = " ".join(html.unescape("".join(line.parts)).split()) if line.parts and line.prose else ""
         if line.text and line.linked >= LINKED * len(line.text) and not line.heading:
             line.text = ""
-    # First the part that the page calls its article; at last, where nothing surges, whatever text there is.
-    for inside, surge in ((True, 1), (False, SURGE), (False, 1)):
-        kept = _between([line for line in lines if line.article > 0 or not inside], surge)
-        if kept:
-            return "\n\n".join(line.text for line in kept)
-    return ""
+    article = [line for line in lines if line.article > 0 and line.text]
+    if article and sum(_bodies(lines)) <= sum(len(line.text) for line in article):
+        return "\n\n".join(line.text for line in article)
+    # Where nothing surges, whatever text there is.
+    kept = _between(lines, SURGE) or _between(lines, 1)
+    return "\n\n".join(line.text for line in kept)
+
+
+def _bodies(lines: list[Line]) -> list[int]:
+    """Characters of each stretch outside the article that is a body by itself."""
+    outside = [Line() if line.article > 0 else line for line in lines]
+    sizes = [sum(len(line.text) for line in stretch) for stretch in _stretches(outside, SURGE)]
+    return [n for n in sizes if n >= BODY]
 
 
 def _between(lines: list[Line], surge: int) -> list[Line]:
+    """The lines with text of all stretches."""
+    return [line for stretch in _stretches(lines, surge) for line in stretch]
+
+
+def _stretches(lines: list[Line], surge: int) -> list[list[Line]]:
     """The lines with text between each surge of the windowed length and the dive behind it."""
     lengths = [len(line.text) for line in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lines))]
-    kept: list[Line] = []
+    kept: list[list[Line]] = []
     i = 0
     while i < len(lines):
         if sums[i] < surge:
@@ -213,7 +235,7 @@ def _between(lines: list[Line], surge: int) -> list[Line]:
         end = i
         while end < len(lines) and sums[end] > 0:
             end += 1
-        kept += [line for line in lines[i:end] if line.text]
+        kept.append([line for line in lines[i:end] if line.text])
         i = end + 1
     return kept
 

@@ -21,6 +21,9 @@ CASES = {
     "only links": (f'<div><a href="x">{LONG}</a></div>', ""),
     "comparison": ("<p>1 < 2</p>", "1 < 2"),
     "upper case": (f"<NAV>{LONG}</NAV><P>{LONG}</P>", LONG),
+    "teaser beside a body": (f"<div><h1>T</h1><div>{LONG}</div><div>{LONG}</div></div><article>x</article>", f"T\n\n{LONG}\n\n{LONG}\n\nx"),
+    "related card": (f'<div>{LONG}</div><article class="related"><p>x</p></article>', f"{LONG}\n\nx"),
+    "body without teaser": (f"<div><p>{LONG}</p></div><article><p>{LONG}</p><p>{LONG}</p><div></div><div></div><p>end</p></article>", f"{LONG}\n\n{LONG}\n\nend"),
     "dive": (f"<p>{LONG}</p>{'<div></div>' * 9}<p>tail</p>", LONG),
 }
 
