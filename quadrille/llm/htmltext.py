@@ -49,7 +49,9 @@ _PURPOSE = re.compile(
     re.IGNORECASE,
 )
 _ARTICLE = re.compile(r"(?:^|[-_\s])(?:article[-_]?(?:body|content|text)?|entry[-_]?(?:content|text)|main[-_]?(?:content|text)|post[-_]?(?:body|content|text)|story[-_]?(?:body|content|text)?)(?:$|\s)", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+# A quote opens a value only directly behind `=`, and closes it only where an attribute can end; any other is part of the tag up to its `>`.
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+')(?=\s|/?(?:>|\Z)|[a-zA-Z_:][-\w:.]*+\s*+=\s*+[\"'])"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE}|=)*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 

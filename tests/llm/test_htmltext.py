@@ -15,6 +15,12 @@ CASES = {
     "scripts": ("<article><script>if (a<b) '</p>'</script><style>p{}</style><p>x</p><!-- <p>no</p> --><noscript>n</noscript></article>", "x"),
     "no closing": ("<article><p>x</p><script>var a = '<p>y</p>'", "x"),
     "attributes": ('<article><p title="a > b" data-x=\'<p>\'>x</p></article>', "x"),
+    "quote in a value": ("<article><p><img alt=Bob's>one</p><p>two</p></article>", "one\n\ntwo"),
+    "quote behind a value": ('<p><b id="x"">one</b></p><p class="k">two</p><p>three</p>', "one\n\ntwo\n\nthree"),
+    "quote never closed": ('<article><p class="a>one</p><p class="k">two</p><p title=\'b>three</p></article>', "one\n\ntwo\n\nthree"),
+    "quote before a path": ('<article><p id="a>one</p><img src="/k"><p id="a/>two</p><img src="?k=1"/></article>', "one\n\ntwo"),
+    "quote without a name": ("<article><p '>one</p><p \"k>two</p></article>", "one\n\ntwo"),
+    "values side by side": ('<article><p title="a > b"class="k" data-x = \'c>d\'>x</p></article>', "x"),
     "table": ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
     "no blocks": ("plain", "plain"),
     "nothing": ("", ""),
