@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 WINDOW, SURGE = 3, 40
 #: A stretch outside the article speaks against it from this many characters: a window of surging lines.
 BODY = WINDOW * SURGE
-#: Share of link text from which a line counts as navigation.
+#: Share of link text from which a line outside the article counts as navigation.
 LINKED = 0.6
 
 # What HTML says about its elements.
@@ -202,7 +202,7 @@ def main_text(source: str) -> str:
     lines = lines_of(source)
     for line in lines:
         line.text = " ".join(html.unescape("".join(line.parts)).split()) if line.parts and line.prose else ""
-        if line.text and line.linked >= LINKED * len(line.text) and not line.heading:
+        if line.text and line.linked >= LINKED * len(line.text) and not line.heading and not line.article:
             line.text = ""
     article = [line for line in lines if line.article > 0 and line.text]
     if article and sum(_bodies(lines)) <= sum(len(line.text) for line in article):

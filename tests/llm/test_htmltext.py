@@ -24,6 +24,7 @@ CASES = {
     "table": ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
     "no blocks": ("plain", "plain"),
     "nothing": ("", ""),
+    "links in the article": ('<article><p>See <a href="r">the full report</a></p><ul><li><a href="a">One source</a><li><a href="b">Another</a></ul></article>', "See the full report\n\nOne source\n\nAnother"),
     "only links": (f'<div><a href="x">{LONG}</a></div>', ""),
     "comparison": ("<p>1 < 2</p>", "1 < 2"),
     "upper case": (f"<NAV>{LONG}</NAV><P>{LONG}</P>", LONG),
