@@ -37,12 +37,12 @@ _SPACES = re.compile(r"\s+")
 
 
 def folded(text: str) -> str:
-    """Lower-cased (A-Z alone where more would change the length), runs of white space as one space, none at the ends."""
-    low = text.lower()
-    return " ".join((low if len(low) == len(text) else text.translate(_LOWER)).split())
+    """Lower-cased character for character, runs of white space as one space, none at the ends."""
+    return " ".join(text.replace(*_LONGER).lower().split())
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Fixed value: the one character whose lower case is longer than itself, and its simple lower case.
+_LONGER = "\u0130", "i"
 
 
 def runs_above(piece: int, count: int) -> list[tuple[int, int]]:

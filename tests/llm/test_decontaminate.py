@@ -61,3 +61,15 @@ def test_operator(spark):
     counts = [r[0] for r in docs.select(item_count(docs["text"], items)).collect()]
     assert counts == [1, 1, 1, 0, 0, 1, 1, 0]
     assert find_items(docs.limit(0), items).count() == 0 and find_items(docs, items.limit(0)).count() == 0
+
+
+def test_one_long_lower_case_leaves_the_rest_folded():
+    assert {chr(c) for c in range(0x110000) if len(chr(c).lower()) != 1} == {"İ"}
+    item = "съешь же ещё этих мягких французских булок да выпей чаю"
+    for text in (f"İzmir. {item.upper()}.", f"{item.upper()}"):
+        (hit,) = Matcher([(1, item)], 0.1).hits(folded(text))
+        assert hit[1] == 0
+        assert len(folded(text)) == len(text)
+    assert folded("İZMİR ΔΣ") == "izmir δς"
+    (hit,) = Matcher([(1, f"İ {item.upper()}")], 0.1).hits(folded(f"i {item}"))
+    assert hit[1] == 0
