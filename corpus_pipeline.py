@@ -39,21 +39,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id."""
+    """One document of each component of near duplicates: the one with the smallest id; rows without doc_id stay."""
     modest_batches(spark)
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _one_each(docs)
     found = near_components(docs, NEAR)
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return _one_each(docs.join(others, "doc_id", "left_anti").select(*docs.columns))
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
-    """Where a doc_id still repeats, the row with the smallest text; rows without doc_id stay."""
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return docs
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    return docs.filter("doc_id IS NULL").unionByName(first.select("doc_id", "row.*"))
+    """The same where a doc_id repeats: rows are told apart by an id of their own, so texts are compared whatever their doc_id."""
+    # Stored, as the numbers hold for one reading only.
+    rows = stored(docs.filter("doc_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR)
+    placed = rows.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(found.withColumnRenamed("doc_id", "_row").drop("n_shingles"), "_row")
+    # A row is kept if it is the first of its component, and of the rows equal in id and text: those without words link to nothing.
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "_row")).alias("one"))
+    first = first.groupBy("one.doc_id", "one.digest").agg(F.min("one._row").alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

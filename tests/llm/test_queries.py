@@ -100,6 +100,17 @@ def test_one_document_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["3", "9", "None", "None"]
 
 
+def test_texts_under_one_id_are_compared(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] + words[1::2])
+    near = " ".join([*words[:-1], "x"])
+    texts = [(5, one), (5, other), (5, one), (3, near), (8, other), (8, third), (9, ""), (9, ""), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, near), (5, other), (8, third), (9, ""), (10, "")])
+
+
 def test_held_out_flag(spark):
     for n, name in ((2, "op2_toxicity"), (5, "op5_language_id")):
         for r in registry.queries()[name](spark, SF).collect():
