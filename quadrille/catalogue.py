@@ -6,6 +6,8 @@ once and used by both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from quadrille.operators.extract import extract, in_box, projected, touches_box
 from quadrille.operators.order import WORLD, spatially_sorted
 from quadrille.plans.predicate import compiled, parsed_all
 from quadrille.sources import fixtures as fx
+from quadrille.sources.index import load_release_index, row_group_rows
+from quadrille.sources.lake import Lake
+from quadrille.sources.sink import write_dataset
 from quadrille.sources.taxonomy import split_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +42,8 @@ BOX = (-60.0, -30.0, 60.0, 30.0)
 TRIANGLE = ((-60.0, -30.0), (60.0, -30.0), (0.0, 30.0))
 HOLE = ((-20.0, -20.0), (20.0, -20.0), (0.0, 10.0))
 GEOHASHES = "s,ezs,6g"
+#: Rows in a row group of the points.
+POINT_GROUP = 10_000
 
 # The values that the driver's tables take.
 STATUSES, PRIORITIES = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", None)
@@ -353,8 +360,18 @@ def _(spark, sf):
 
 @_register("row_group_index", f"SELECT count(*) AS n, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM ({POINTS})")
 def _(spark, sf):
+    base, release = f"{_shared(spark)}/row-groups-{uuid.uuid4().hex}", "2024-09-18.0"
+    lake = Lake(spark, f"{base}/lake")
+    write_dataset(fx.points(spark, sf), lake.folder("base", "point", release), row_group_size=POINT_GROUP)
+    boxes = load_release_index(lake, f"{base}/index", "base", "point", release)
+    rows = row_group_rows(spark, lake.files("base", "point", release))
     b = F.col("bbox")
-    return fx.points(spark, sf).agg(F.count("*").alias("n"), F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"))
+    return boxes.join(rows, ["filename", "row_group"]).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a local one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-")).rstrip("/")
 
 
 @_register("theme_type_pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{u}', '{','.join(c)}')" for (t, u), c in sorted(W.HIERARCHIES.items())) + ") AS v(theme, type, levels)")

@@ -49,6 +49,17 @@ def row_group_counts(spark: SparkSession, files: list[str]) -> DataFrame:
     return _spread(spark, files).mapInPandas(run, "filename string, row_groups int")
 
 
+def row_group_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """filename, row_group, rows, from the footers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            metas = [(name, _metadata(name)) for name in b.filename]
+            yield pd.DataFrame([(name, g, m.row_group(g).num_rows) for name, m in metas for g in range(m.num_row_groups)], columns=["filename", "row_group", "rows"])
+
+    return _spread(spark, files).mapInPandas(run, "filename string, row_group int, rows long")
+
+
 def footer_boxes(spark: SparkSession, files: list[str]) -> DataFrame:
     """filename, row_group, bbox, geometry: each row group's box by the footer's minima and maxima."""
 

@@ -109,6 +109,17 @@ def test_releases_and_pairs(lake):
         checked_release("2024-01-01.0")
 
 
+def test_row_group_query_reads_the_index(spark, monkeypatch):
+    from quadrille import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    query = catalogue.queries()["row_group_index"]
+    want = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert query(spark, sf).first().n == want
+    monkeypatch.setattr(catalogue, "load_release_index", lambda *a: index.load_release_index(*a).limit(0), raising=False)
+    assert query(spark, sf).first().n == 0
+
+
 def test_row_group_index(spark, lake, tmp_path):
     target = f"file://{tmp_path}"
     assert index.generate_release_index(lake, target) and not index.generate_release_index(lake, target)
