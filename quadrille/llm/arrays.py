@@ -6,6 +6,7 @@ function takes whole texts; chunking only bounds memory and never cuts a text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,14 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _SEED = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
 _PLACE = _SEED.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+#: Each byte, A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+#: Spans up to so many bytes are hashed as arrays of 8-byte blocks; longer ones by BLAKE2b, one by one.
+BLOCKED = 32
+#: What to keep of a block that has so many bytes of its span.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,27 +35,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class _Powers:
-    """Powers of an odd number mod 2**64 and their inverses, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = 1 << int(n).bit_length()
-            base = int(_MULT)
-            inverse = pow(base, -1, 1 << 64)
-            for name, x in (("up", base), ("down", inverse)):
-                powers = np.full(size, np.uint64(x))
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts; null counts as empty."""
     if pa.types.is_string(texts.type):
@@ -96,11 +80,26 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray = ~_WHITE) ->
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span lies."""
-    up, down = _POWERS.upto(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each byte span (A-Z as a-z if `lower`), the same wherever the span lies.
+
+    The length, then each block of 8 bytes, goes through a bijective mixer, so
+    spans of one length up to 8 bytes never collide and others do by chance
+    alone: about n * n / 2**65 for n different spans.  Spans of more than
+    BLOCKED bytes take BLAKE2b's first 64 bits.
+    """
+    own = (FOLDED[data] if lower else data).tobytes() + bytes(8)
+    blocks = np.ndarray((len(data) + 1,), "<u8", own, 0, (1,))  # the 8 bytes from each place on
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _MULT)
+    active = np.flatnonzero(sizes <= BLOCKED)
+    done = 0
+    while len(active):
+        left = sizes[active] - done
+        out[active] = mix((out[active] ^ (blocks[starts[active] + done] & _KEPT[np.minimum(left, 8)])) * _MULT + np.uint64(1))
+        active, done = active[left > 8], done + 8
+    for i in np.flatnonzero(sizes > BLOCKED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(own[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(hashes: np.ndarray, docs: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +162,5 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, length: int, bits: int) ->
     return docs, code[begins[:full]].astype(np.int64)
 
 
-#: Each byte, A-Z as a-z.
-FOLDED = np.arange(256, dtype=np.uint8)
-FOLDED[65:91] += 32
-
-
 def row_sums(values: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(docs, values, n_docs)
