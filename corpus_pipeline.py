@@ -32,9 +32,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted clean."""
+    """Documents that are predicted clean; learned from all labelled documents, whatever the stages before kept of them."""
     modest_batches(spark)
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+    model = toxicity.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
     return docs.filter(~toxicity.is_toxic(docs["text"], model))
 
 
