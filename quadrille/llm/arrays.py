@@ -79,26 +79,49 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray = ~_WHITE) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on."""
+    return np.ndarray((len(data) + 1,), "<u8", data.tobytes() + bytes(8), 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, key: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span (A-Z as a-z if `lower`), the same wherever the span lies.
 
     The length, then each block of 8 bytes, goes through a bijective mixer, so
     spans of one length up to 8 bytes never collide and others do by chance
     alone: about n * n / 2**65 for n different spans.  Spans of more than
-    BLOCKED bytes take BLAKE2b's first 64 bits.
+    BLOCKED bytes take BLAKE2b's first 64 bits.  Without knowledge of `key` no
+    text can be made to collide.
     """
-    own = (FOLDED[data] if lower else data).tobytes() + bytes(8)
-    blocks = np.ndarray((len(data) + 1,), "<u8", own, 0, (1,))  # the 8 bytes from each place on
-    sizes = ends - starts
-    out = mix(sizes.astype(np.uint64) * _MULT)
+    if lower:
+        data = FOLDED[data]
+    blocks, sizes = _blocks(data), ends - starts
+    out = mix(sizes.astype(np.uint64) * _MULT ^ np.uint64(key))
     active = np.flatnonzero(sizes <= BLOCKED)
     done = 0
     while len(active):
         left = sizes[active] - done
         out[active] = mix((out[active] ^ (blocks[starts[active] + done] & _KEPT[np.minimum(left, 8)])) * _MULT + np.uint64(1))
         active, done = active[left > 8], done + 8
+    secret = key.to_bytes(8, "little")
     for i in np.flatnonzero(sizes > BLOCKED).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(own[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of `data` equals its span of `other`."""
+    out = sizes == other_sizes
+    mine, theirs = _blocks(data), _blocks(other)
+    active = np.flatnonzero(out & (sizes <= BLOCKED))
+    done = 0
+    while len(active):
+        left = sizes[active] - done
+        equal = (mine[starts[active] + done] ^ theirs[other_starts[active] + done]) & _KEPT[np.minimum(left, 8)] == 0
+        out[active[~equal]] = False
+        active, done = active[equal & (left > 8)], done + 8
+    for i in np.flatnonzero(out & (sizes > BLOCKED)).tolist():
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[other_starts[i] : other_starts[i] + sizes[i]])
     return out
 
 

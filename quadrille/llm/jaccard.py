@@ -21,9 +21,12 @@ meet in the prefix postings.  Pairs that lie in one component already are never
 formed.  Components are therefore those of the full join, without enumerating
 the pairs inside a group.
 
-Shingle ids keep 32 bits and the hash range's bits (8 at least, and four times
-as many ranges as shuffle partitions): that two different shingles of one pair
-of 400 shingles each are taken for one has a chance of at most 2e-7.
+Shingles are 64-bit hashes under a key drawn for the job, so no text can be
+made to collide.  Ids keep 48 bits beside the hash range's, up to 63 (there are
+four ranges for each shuffle partition, and more if a range would hold more
+than RANGE_SHINGLES): that two different shingles of one pair of 400 shingles
+each are taken for one has a chance of at most 3e-12, and with 2**15 ranges or
+more of 2e-14.
 
 Defined results: a text that is null or has no words has n_shingles 0, links
 to nothing and is its own component; with fewer words than a shingle, the
@@ -34,9 +37,9 @@ texts, the smallest text stands for all its rows.
 
 from __future__ import annotations
 
-import gc
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ from quadrille.llm.arrays import chunks, distinct, mix, shingles, span_hashes, w
 from quadrille.llm.components import components
 from quadrille.llm.workspace import stored
 
+#: Shingles in a hash range that one task holds at once, about; bits of a range, at most.
+RANGE_SHINGLES, MAX_BITS = 1 << 22, 24
 #: Text bytes whose shingles are packed together.
 BLOCK_BYTES = 6 << 20
 #: Classes into which the sizes of partners fall, at most, on either side.
@@ -57,15 +62,16 @@ MAX_MATCHES, FEW = 12, 16
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """width: words in a shingle; percent: 100 * intersection >= percent * union links two sets."""
+    """width: words in a shingle; percent: 100 * intersection >= percent * union links two sets; key: of the hashes."""
 
     width: int = 5
     percent: int = 80
+    key: int = field(default_factory=lambda: secrets.randbits(64), repr=False, compare=False)
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, shingle hash), sorted, each once."""
         starts, ends, docs = words(data, offsets)
-        return distinct(*shingles(span_hashes(data, starts, ends), docs, len(offsets) - 1, self.width))
+        return distinct(*shingles(span_hashes(data, starts, ends, key=self.key), docs, len(offsets) - 1, self.width))
 
 
 def profiles(docs: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -112,19 +118,26 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield key, rows
 
 
+def more_bits(bits: int) -> int:
+    """Bits of a shingle's id between its range's and the last 32."""
+    return min(16, 31 - bits)
+
+
 def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int) -> DataFrame:
-    """key (the hash's first `bits` bits), n, low (the next 32), doc (ids as differences): blocks of shingles."""
-    schema = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("low", pa.binary()), ("doc", pa.binary())])
+    """key (the hash's first `bits` bits), n, high and low (the next more_bits(bits) and 32), doc (ids as differences): blocks of shingles."""
+    schema = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("doc", pa.binary())])
+    more = more_bits(bits)
 
     def pack(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
         doc, h = np.concatenate(ids), np.concatenate(hashes)
         key = (h >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        doc, low, key = doc[order], (h[order] >> np.uint64(32 - bits)).astype("<u4"), key[order]
+        doc, rest, key = doc[order], h[order] >> np.uint64(32 - bits - more), key[order]
+        low, high = rest.astype("<u4"), ((rest >> np.uint64(32)) & np.uint64((1 << more) - 1)).astype("<u2")
         keys, at = np.unique(key, return_index=True)
         cuts = [*at.tolist(), len(key)]
         parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([b - a for a, b in parts], pa.int32()), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([_squeeze(_differences(doc[a:b])) for a, b in parts], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([b - a for a, b in parts], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (high, low)), pa.array([_squeeze(_differences(doc[a:b])) for a, b in parts], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, held = [], [], 0
@@ -141,7 +154,7 @@ def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int) -> DataFrame
         if sum(map(len, ids)):
             yield pack(ids, hashes)
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "key int, n int, low binary, doc binary")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "key int, n int, high binary, low binary, doc binary")
 
 
 _SHARED = "key int, n int, low binary, high binary, level binary, doc binary"
@@ -152,7 +165,7 @@ def _dealt(doc: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _shared_shingles(packed: DataFrame, blocks: int) -> DataFrame:
+def _shared_shingles(packed: DataFrame, blocks: int, more: int) -> DataFrame:
     """Occurrences of shingles that two rows or more hold, in blocks by document; level: 4 * log2 of how many hold it."""
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
@@ -169,17 +182,18 @@ def _shared_shingles(packed: DataFrame, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for key, rows in _by_key(batches):
-            low = np.concatenate([np.frombuffer(r["low"], "<u4") for r in rows])
-            order = np.argsort(low, kind="stable")
-            low = low[order]
-            first = np.ones(len(low), bool)
-            first[1:] = low[1:] != low[:-1]
+            ids = np.concatenate([np.frombuffer(r["low"], "<u4").astype(np.int64) | (np.frombuffer(r["high"], "<u2").astype(np.int64) << 32) for r in rows])
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.ones(len(ids), bool)
+            first[1:] = ids[1:] != ids[:-1]
             group = np.cumsum(first) - 1
             counts = np.bincount(group)
             several = counts[group] >= 2
             doc = np.concatenate([np.cumsum(_expand(r["doc"], "<i8", r["n"])) for r in rows])[order][several]
             level = np.minimum(255, np.round(4 * np.log2(counts))).astype(np.uint8)[group][several]
-            parts.append((doc, low[several], np.full(len(doc), key, "<u2"), level))
+            ids = ids[several]
+            parts.append((doc, ids.astype("<u4"), (ids >> 32 | key << more).astype("<u4"), level))
             held += len(doc)
             if held >= 1 << 20:
                 yield pack(parts)
@@ -229,7 +243,7 @@ _CANDIDATES = "doc long, n int, least int, rarity int, prefix array<bigint>, sha
 
 
 def _candidates(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Representatives with a shared shingle in their prefix: size, L, prefix, and all shared shingles (ascending, 32 then 16 bits)."""
+    """Representatives with a shared shingle in their prefix: size, L, prefix, and all shared shingles (ascending, 64 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches):
@@ -244,7 +258,7 @@ def _candidates(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             doc = np.concatenate([np.cumsum(_expand(r["doc"], "<i8", r["n"])) for r in found])
             at = np.minimum(np.searchsorted(reps, doc), len(reps) - 1)
             own = reps[at] == doc
-            token = (np.concatenate([_expand(r["high"], "<u2", r["n"]) for r in found]).astype(np.int64) << 32) | np.concatenate([np.frombuffer(r["low"], "<u4") for r in found])
+            token = (np.concatenate([_expand(r["high"], "<u4", r["n"]) for r in found]).astype(np.int64) << 32) | np.concatenate([np.frombuffer(r["low"], "<u4") for r in found])
             level = np.concatenate([_expand(r["level"], "u1", r["n"]) for r in found])
             at, token, level = at[own], token[own], level[own]
             order = np.lexsort((token, level, at))
@@ -261,7 +275,7 @@ def _candidates(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                 least, k = matches(n, rare, spread[a:b], percent)
                 if k:
                     ids = np.sort(token[a:b])
-                    out.append((int(reps[i]), n, least, 1000 * rare // n, token[a : a + k].tolist(), (ids & 0xFFFFFFFF).astype("<u4").tobytes() + (ids >> 32).astype("<u2").tobytes()))
+                    out.append((int(reps[i]), n, least, 1000 * rare // n, token[a : a + k].tolist(), ids.astype("<i8").tobytes()))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[i : i + 2000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["doc", "n", "least", "rarity", "prefix", "shared"])
 
@@ -269,8 +283,7 @@ def _candidates(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _ids(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.int64) << 32) | np.frombuffer(blob, "<u4", n)
+    return np.frombuffer(blob, "<i8")
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -418,12 +431,6 @@ def _other_pairs(postings: DataFrame, stars: DataFrame, roots: DataFrame, percen
     return counted.filter("both >= needed").select(F.col("doca").alias("a"), F.col("docb").alias("b"))
 
 
-def _released(*frames: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
-
-
 def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -436,12 +443,11 @@ def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
         rows = stored(rows_of, "single")
     profile = stored(profiles(rows, join), "profiles")
     classes = stored(profile.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(8, (ranges - 1).bit_length()))
-    shared = _shared_shingles(_packed_shingles(rows.select("doc_id", "text"), join, bits), max(256, ranges))
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_SHINGLES)
+    bits = min(MAX_BITS, max(8, (ranges - 1).bit_length()))
+    shared = _shared_shingles(_packed_shingles(rows.select("doc_id", "text"), join, bits), max(256, ranges), more_bits(bits))
     found = stored(_candidates(shared, _packed_sizes(classes, max(256, ranges)), join.percent), "candidates")
-    del shared
-    _released(found)
     postings = stored(found.select(F.explode("prefix").alias("token"), "doc", "n", "least", "rarity"), "postings")
     differences = stored(_differences_to(_assigned(postings, join.percent), found, join.percent), "differences")
     links = differences.filter("linked").select(F.col("star").alias("a"), F.col("doc").alias("b"))
