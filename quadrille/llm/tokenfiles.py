@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.arrays import chunks, mix, span_hashes, words
+from quadrille.llm.arrays import chunks, mix, same_bytes, span_hashes, words
 
 #: Words of which a worker remembers the ids; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
@@ -153,8 +153,9 @@ class ArrayEncoder:
     Only words that the worker does not remember go to the library.  A word
     counts with what stands before it: nothing, a space or a newline; texts
     with other white space, or with a word that does not stand alone, are
-    encoded one by one.  A word is known by 64 hash bits; that a new word is
-    taken for one of the remembered has a chance of 1e-13.
+    encoded one by one.  A word is looked up by 64 hash bits and then compared
+    byte by byte; a text with a word that shares its hash with another is
+    encoded by itself, so ids are the library's whatever the hash.
     """
 
     def __init__(self, words: WordEncoder) -> None:
@@ -169,6 +170,8 @@ class ArrayEncoder:
         self.flat[: len(end)] = end
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.size[0], self.alone = len(end), np.ones(1 << 12, bool)
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.text_start, self.text_size, self.lead = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has)."""
@@ -204,7 +207,8 @@ class ArrayEncoder:
                 entry[:] = -1
             self._learn(data, starts, ends, before, keys, entry)
             entry = self.table.find(keys)
-        plain[docs[~self.alone[entry]]] = False
+        known = (self.lead[entry] == before) & same_bytes(data, starts, ends - starts, self.text[: self.text_used], self.text_start[entry], self.text_size[entry])
+        plain[docs[~known | ~self.alone[entry]]] = False
         # The end of each text goes behind its words.
         at = np.cumsum(np.bincount(docs, minlength=n))
         entry = np.insert(entry, at, 0)
@@ -235,6 +239,13 @@ class ArrayEncoder:
         self.start, self.size, self.alone = (_grown(x, end) for x in (self.start, self.size, self.alone))
         self.start[self.n : end], self.size[self.n : end] = self.used + np.cumsum(sizes) - sizes, sizes
         self.alone[self.n : end] = [f is not None for f in found]
+        self.text_start, self.text_size, self.lead = (_grown(x, end) for x in (self.text_start, self.text_size, self.lead))
+        letters = ends[at] - starts[at]
+        self.text_start[self.n : end], self.text_size[self.n : end], self.lead[self.n : end] = self.text_used + np.cumsum(letters) - letters, letters, before[at]
+        self.text = _grown(self.text, self.text_used + int(letters.sum()))
+        within = np.repeat(starts[at] - np.cumsum(letters) + letters, letters) + np.arange(int(letters.sum()))
+        self.text[self.text_used : self.text_used + len(within)] = data[within]
+        self.text_used += len(within)
         self.table.add(new, np.arange(self.n, end, dtype=np.int32))
         self.n, self.used = end, self.used + len(flat)
 
