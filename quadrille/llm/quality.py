@@ -13,6 +13,7 @@ Null and repeated ids and repeated rows are scored row by row.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
 _LEADS = ((np.arange(256) & 0xC0) != 0x80).astype(np.int64)
 _WHITE = b" \t\n\v\f\r"
+#: Words of one text are told apart by hashes under a key of this process, so no text can be made to collide.
+_KEY = secrets.randbits(64)
 
 
 def repeated_words(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -96,7 +99,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
     pair = docs[:-1] == docs[1:]
     both = (hashes[:-1] * np.uint64(3) + hashes[1:])[pair] * np.uint64(0x9E3779B97F4A7C15)
     grams = [(docs, (hashes >> top).astype(np.int64)), (docs[:-1][pair], (both >> top).astype(np.int64)), byte_grams(data, offsets, 3, BITS)]
-    return Measures(np.bincount(docs, minlength=n), row_sums(leads[ends] - leads[starts], docs, n).astype(np.int64), np.diff(marks[offsets]), dup, repeated_words(hashes, docs, n), grams)
+    return Measures(np.bincount(docs, minlength=n), row_sums(leads[ends] - leads[starts], docs, n).astype(np.int64), np.diff(marks[offsets]), dup, repeated_words(span_hashes(data, starts, ends, lower=False, key=_KEY), docs, n), grams)
 
 
 @dataclass(frozen=True)
