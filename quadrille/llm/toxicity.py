@@ -50,6 +50,8 @@ GRAMS = (4, 5, 6, 7)
 TIMES = (1, 2, 3, 5)
 #: Features that are weighed, at most: those that most toxic rows hold.
 CANDIDATES = 1 << 16
+#: How likely a row is toxic that the annotator marks toxic, or clean, at the start of the estimation.
+AT_START = 0.95, 0.01
 #: How much the rates at the start count beside those of the rows, in the label model.
 ANCHOR = 1.0
 #: How much of what it says counts when a voter is silent (voters of one language are silent in all others).
@@ -420,7 +422,7 @@ def fit(rows: Drawn, names: np.ndarray, rates: np.ndarray, lexicon: np.ndarray,
     votes = votes[:, votes.any(0)]
     # One more speaks for clean: it fires where no other does. The annotator is a voter like the others; its votes start the estimation.
     votes = np.column_stack([votes, ~votes.any(1), rows.toxic == 1])
-    model = fit_label_model(votes, rows.weight, np.where(rows.toxic == 1, 0.9, 0.1), prior)
+    model = fit_label_model(votes, rows.weight, np.where(rows.toxic == 1, *AT_START), prior)
     posterior = model.posterior(votes)
 
     # The classifier learns the posteriors.

@@ -87,6 +87,77 @@ def test_toxicity(corpus):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0} and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def hosts(rng, n, toxic):
+    """Words that hold the stem `karo`, which clean texts hold by chance, more often than chance if toxic."""
+    words = prose(rng, "xx", n).split()
+    for _ in range(rng.randrange(3, 7) if toxic else 0):
+        words.insert(rng.randrange(len(words)), "tiselmu" + rng.choice(["", "mu", "sel", "nor", "ro"]))
+    return " ".join(words)
+
+
+def test_toxicity_does_not_grow_with_length(spark):
+    """Stems that clean texts hold by chance; joined clean texts stay clean."""
+    rng = random.Random(5)
+    marks = [(i, int(rng.random() < 0.25)) for i in range(1200)]
+    texts = {i: hosts(rng, rng.randrange(40, 120), t) for i, t in marks}
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [(got[i], t) for i, t in marks if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([s >= 0.3 for s, t in held if t]) > 0.85 and np.mean([s >= 0.3 for s, t in held if not t]) < 0.1
+    clean = [texts[i] for i, t in marks if not t]
+    for times in (5, 20, 50):
+        joined = spark.createDataFrame([(" ".join(rng.sample(clean, times)),) for _ in range(60)], "text string")
+        assert np.mean([r.predicted for r in toxicity.score(joined, model, ("text",)).collect()]) < 0.1
+
+
+def test_toxicity_reads_signs_as_letters(corpus):
+    docs, labels, _ = corpus
+    model = toxicity.learn(docs, labels, F.lit(True))
+    spark = docs.sparkSession
+    rows = spark.createDataFrame([("ka ro ti 1d10t mu sel m0r0n nor ka",), ("ka ro ti 1990 mu 4 sel nor ka",), ("KA RO IDIOT TI MORON",)], "text string").coalesce(1)
+    assert [r.predicted for r in toxicity.score(rows, model, ("text",)).collect()] == [1, 0, 1]
+
+
+def test_features_match_plain_search():
+    """Each feature's number of different words, worked out word by word."""
+    import re
+
+    import pyarrow as pa
+    from quadrille.llm.arrays import chunks
+
+    texts = ["Idiot idiots, an IDIOT! x", "", None, "d10t \u00c9t\u00e9 a", "pathetic pathetic"]
+    for row, end, data, offsets in chunks(toxicity.lowered(pa.array(texts)), 12):
+        got = {}
+        for d, name, n in zip(*toxicity.read(data, offsets).counted(), strict=True):
+            if int(name) < 1 << 62:
+                got[row + int(d), int(name).to_bytes(8, "little").rstrip(b"\0")] = int(n)
+        for i in range(row, end):
+            raw = (texts[i] or "").lower()
+            spoken = set(re.findall(r"\w+", raw)) | {w.replace("1", "i").replace("0", "o") for w in re.findall(r"\w+", raw) if re.search("[01]", w)}
+            wanted = {}
+            for w in spoken:
+                b = f" {w} ".encode()
+                for g in {b[k : k + n] for n in toxicity.GRAMS for k in range(len(b) - n + 1)}:
+                    wanted[i, g] = wanted.get((i, g), 0) + 1
+            assert {k: v for k, v in got.items() if k[0] == i} == wanted
+
+
+def test_posterior_matches_brute_force():
+    """The label model's posteriors, worked out vote by vote from its own rates."""
+    rng = np.random.default_rng(3)
+    y = rng.random(600) < 0.3
+    votes = np.column_stack([rng.random(600) < np.where(y, a, b) for a, b in ((0.7, 0.1), (0.4, 0.02), (0.2, 0.3), (0.9, 0.05))])
+    model = toxicity.fit_label_model(votes, np.ones(600), np.where(votes[:, 3], 0.9, 0.1), 0.3)
+    for row, p in zip(votes[:50], model.posterior(votes)[:50], strict=True):
+        odds = 0.3 / 0.7
+        for j, v in enumerate(row):
+            up, down = (model.rates[k][int(model.parents[j] >= 0 and row[model.parents[j]])][j] for k in (1, 0))
+            odds *= up / down if v else ((1 - up) / (1 - down)) ** toxicity.SILENCE
+        assert abs(p - odds / (1 + odds)) < 1e-9
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.85
+
+
 def test_label_model_finds_accuracies_and_copies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
