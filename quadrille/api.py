@@ -21,6 +21,7 @@ from quadrille.operators.order import spatially_sorted
 from quadrille.plans.predicate import Predicate
 from quadrille.sources import cache, index, names, sink
 from quadrille.sources.lake import Lake
+from quadrille.sources.shared import removed
 
 Pair = tuple[str, str]
 
@@ -69,7 +70,7 @@ def get_available_theme_type_pairs(release: str | None = None) -> list[Pair]:
 
 def clear_release_indexes_cache() -> None:
     if _s().index_root:
-        cache.clear(_s().index_root.removeprefix("file://"))
+        removed(_s().spark, _s().index_root)
 
 
 # Extracts.
@@ -106,7 +107,10 @@ def download_data(theme: str, type: str, geometry_filter: Geometry, release: str
     path = Path(result_file_path) if result_file_path else Path(working_directory) / cache.extract_name(release, theme, type, geometry_filter, pyarrow_filter, columns_to_download, sort_result, output)
     if ignore_cache or not path.exists():
         df = features(theme, type, geometry_filter, release, pyarrow_filter, columns_to_download)
-        sink.write_geoparquet(df, str(path), geometry_filter.bounds, sort_result, *given)
+        kept = df.columns
+        if sort_result and "bbox" not in kept and "bbox" in _s().lake.read(theme, type, release).columns:
+            df = features(theme, type, geometry_filter, release, pyarrow_filter, [*kept, "bbox"])  # the order needs it
+        sink.write_geoparquet(df, str(path), geometry_filter.bounds, sort_result, *given, kept)
     return path
 
 
@@ -175,7 +179,7 @@ def wide_features(theme_type_pairs: Sequence[Pair], geometry_filter: Geometry |
             primary = names.primary_name(release)
             definition = _definition(pair, release)
             if not include_all_possible_columns:
-                shown = rows.where(F.col("confidence") >= places_minimal_confidence)
+                shown = rows.where((F.col("confidence") >= places_minimal_confidence) & ~F.isnan("confidence"))
                 definition = definition.join(W.observed_categories(shown, primary, places_use_primary_category_only), "category", "left_semi")
             parts.append(W.places(rows, definition, depth, places_use_primary_category_only, places_minimal_confidence, kept, primary, pair))
         else:

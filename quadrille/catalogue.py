@@ -6,7 +6,6 @@ once and used by both sides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from quadrille.plans.predicate import compiled, parsed_all
 from quadrille.sources import fixtures as fx
 from quadrille.sources.index import load_release_index, row_group_rows
 from quadrille.sources.lake import Lake
+from quadrille.sources.shared import shared_dir
 from quadrille.sources.sink import write_dataset
 from quadrille.sources.taxonomy import split_paths
 
@@ -65,10 +65,18 @@ def _register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from quadrille import catalogue_lake  # noqa: F401 - registers its queries
+
     return dict(_QUERIES)
 
 
+def written_lake_queries() -> set[str]:
+    """The queries of catalogue_lake."""
+    return {name for name, query in queries().items() if query.__module__.endswith("catalogue_lake")}
+
+
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -360,7 +368,7 @@ def _(spark, sf):
 
 @_register("row_group_index", f"SELECT count(*) AS n, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM ({POINTS})")
 def _(spark, sf):
-    base, release = f"{_shared(spark)}/row-groups-{uuid.uuid4().hex}", "2024-09-18.0"
+    base, release = f"{shared_dir(spark)}/row-groups-{uuid.uuid4().hex}", "2024-09-18.0"
     lake = Lake(spark, f"{base}/lake")
     write_dataset(fx.points(spark, sf), lake.folder("base", "point", release), row_group_size=POINT_GROUP)
     boxes = load_release_index(lake, f"{base}/index", "base", "point", release)
@@ -369,11 +377,11 @@ def _(spark, sf):
     return boxes.join(rows, ["filename", "row_group"]).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadrille-")).rstrip("/")
-
-
 @_register("theme_type_pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{u}', '{','.join(c)}')" for (t, u), c in sorted(W.HIERARCHIES.items())) + ") AS v(theme, type, levels)")
 def _(spark, sf):
-    return spark.createDataFrame([(t, u, ",".join(c)) for (t, u), c in sorted(W.hierarchies().items())], "theme string, type string, levels string")
+    """The tables that a lake has folders of, with their hierarchies."""
+    lake, release = Lake(spark, f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"), "2024-09-18.0"
+    for theme, type_ in W.HIERARCHIES:
+        spark.createDataFrame([("a",)], "id string").coalesce(1).write.parquet(lake.folder(theme, type_, release))
+    known = W.hierarchies(release)
+    return spark.createDataFrame([(t, u, ",".join(known[t, u])) for t, u in lake.pairs()], "theme string, type string, levels string")

@@ -33,6 +33,8 @@ PLACES = ("places", "place")
 #: Up to so many columns come from native expressions, more from one Arrow scatter.
 NATIVE_COLUMNS = 200
 INDEXES = "column_indexes"
+#: Paths up to which they are sent to every executor (some 10 MB), so that features are not shuffled.
+BROADCAST_PATHS = 100_000
 
 
 def hierarchies(release: str | None = None) -> dict[tuple[str, str], tuple[str, ...]]:
@@ -146,10 +148,14 @@ def standard(features: DataFrame, pair: tuple[str, str], depth: int | None = Non
     kept = [f"`{c}`" for c in keep]
     if not levels:
         return Packed(features.select(*kept, F.array(F.lit(0)).alias(INDEXES)), ("|".join(pair),))
-    paths = definitions(features if definition is None else definition, pair, levels)
-    names = column_names(paths)
-    place = paths.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "column_name string, i int")
-    keyed = paths.join(place, "column_name").select("i", *[F.col(f"`{c}`").alias(f"_{j}") for j, c in enumerate(levels)])
+    # One row for each path: as many as the table has columns, or a few more.
+    paths = definitions(features if definition is None else definition, pair, levels).collect()
+    names = sorted({r["column_name"] for r in paths})
+    place = {n: i for i, n in enumerate(names)}
+    kinds = ", ".join(["i int", *(f"_{j} {(features if definition is None else definition).schema[c].dataType.simpleString()}" for j, c in enumerate(levels))])
+    keyed = features.sparkSession.createDataFrame([(place[r["column_name"]], *(r[c] for c in levels)) for r in paths], kinds)
+    if len(paths) <= BROADCAST_PATHS:
+        keyed = F.broadcast(keyed)
     same = reduce(Column.__and__, [features[f"`{c}`"].eqNullSafe(keyed[f"_{j}"]) for j, c in enumerate(levels)])
     rows = features.join(keyed, same, "left").select(*kept, F.array_compact(F.array("i")).alias(INDEXES))
     return Packed(rows, tuple(names))

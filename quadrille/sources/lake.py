@@ -14,6 +14,11 @@ FIRST_RELEASE = "2024-04-16-beta.0"
 ANONYMOUS_S3 = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider", "fs.s3a.endpoint.region": "us-west-2", "fs.s3a.connection.timeout": "30s", "fs.s3a.connection.establish.timeout": "10s"}
 
 
+def settings_for(path: str) -> dict[str, str]:
+    """What reads below this path need: buckets are read without credentials."""
+    return ANONYMOUS_S3 if path.startswith("s3a:") else {}
+
+
 def checked_release(release: str) -> str:
     """Releases compare as text."""
     if release < FIRST_RELEASE:
@@ -25,7 +30,10 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     """(name, is a folder, bytes) of what lies in a folder; nothing if there is none."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    conf = jvm.org.apache.hadoop.conf.Configuration(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, value in settings_for(path).items():
+        conf.setIfUnset(name, value)
+    fs = where.getFileSystem(conf)
     if not fs.exists(where):
         return []
     return sorted((s.getPath().getName(), s.isDirectory(), s.getLen()) for s in fs.listStatus(where))
@@ -66,4 +74,4 @@ class Lake:
 
     def read(self, theme: str, type_: str, release: str | None = None, files: list[str] | None = None, merge_schema: bool = False) -> DataFrame:
         """A table without its partition columns; `files` narrows it to some of its files, merge_schema joins files of different columns."""
-        return self.spark.read.option("mergeSchema", merge_schema).parquet(*(files or [self.folder(theme, type_, release)]))
+        return self.spark.read.options(**settings_for(self.root)).option("mergeSchema", merge_schema).parquet(*(files or [self.folder(theme, type_, release)]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators import wide as W
-from quadrille.sources.index import _write_text
+from quadrille.sources.index import _write_text, digest
 from quadrille.sources.lake import Lake, listed
 from quadrille.sources.taxonomy import read_taxonomy
 
@@ -43,11 +43,22 @@ def generate_names_index(lake: Lake, target: str, release: str | None = None, ta
     for pair in sorted(set(W.hierarchies(release)) & there):
         folder = f"{base}/{'_'.join(pair)}_columns.parquet"
         all_paths(lake, pair, release, taxonomy).coalesce(1).write.mode("overwrite").parquet(folder)
-        content.append({"theme": pair[0], "type": pair[1], "rows": lake.spark.read.parquet(folder).count()})
+        content.append({"theme": pair[0], "type": pair[1], "sha": digest(lake.spark, folder)})
     _write_text(lake.spark, f"{base}/{CATALOG}", json.dumps(content))
     return True
 
 
+def checked_names_index(spark: SparkSession, target: str, release: str) -> bool:
+    """Whether an index of names is there and whole; a changed table raises."""
+    base = f"{target}/{release}"
+    if not any(n == CATALOG for n, _, _ in listed(spark, base)):
+        return False
+    for entry in json.loads("".join(r[0] for r in spark.read.text(f"{base}/{CATALOG}").collect())):
+        if digest(spark, f"{base}/{entry['theme']}_{entry['type']}_columns.parquet") != entry["sha"]:
+            raise ValueError(f"checksum of the names of {entry['theme']}/{entry['type']} differs")
+    return True
+
+
 def load_names_index(spark: SparkSession, target: str, pair: tuple[str, str], release: str) -> DataFrame:
     """The paths of one table as they were written."""
     return spark.read.parquet(f"{target}/{release}/{'_'.join(pair)}_columns.parquet")

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.functions.geometry import Geometry
 from quadrille.operators.order import KEY, WORLD, spatially_sorted, with_key
+from quadrille.sources.lake import listed
+from quadrille.sources.shared import removed, shared_dir
 
 # The output's defaults.
 COMPRESSION, LEVEL, ROW_GROUP = "zstd", 3, 100_000
 BATCH = 10_000
 
 
-def geo_metadata(bounds: tuple[float, float, float, float] | None = None) -> dict:
-    """The value of the geo footer key, version 1.1.0 with a bbox covering."""
-    column = {"encoding": "WKB", "geometry_types": [], "covering": {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}}
+def geo_metadata(bounds: tuple[float, float, float, float] | None = None, types: Sequence[str] = (), covering: bool = True) -> dict:
+    """The value of the geo footer key, version 1.1.0; `covering`: whether the file has a bbox column."""
+    column: dict = {"encoding": "WKB", "geometry_types": sorted(types)}
+    if covering:
+        column["covering"] = {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}
     if bounds:
         column["bbox"] = list(bounds)
     return {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": column}}
@@ -39,33 +45,48 @@ def _writer(df: DataFrame, compression: str, level: int, row_group_size: int):
     return df.write.mode("overwrite").option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.block.row.count.limit", row_group_size)
 
 
-def write_geoparquet(df: DataFrame, path: str, extent: tuple[float, float, float, float] | None = None, sort: bool = True, compression: str = COMPRESSION, level: int = LEVEL, row_group_size: int = ROW_GROUP) -> str:
-    """One local file with the geo key, made by Spark in parallel and put together batch by batch.
+def write_geoparquet(df: DataFrame, path: str, extent: tuple[float, float, float, float] | None = None, sort: bool = True, compression: str = COMPRESSION, level: int = LEVEL, row_group_size: int = ROW_GROUP, columns: Sequence[str] | None = None) -> str:
+    """One file on the driver's side with the geo key, made by Spark in parallel and put together batch by batch.
 
-    For results that belong in one file; larger ones go to write_dataset.
+    Parts go through the folder that all executors share; a part that is
+    missing when they are put together is an error.  Rows are sorted by their
+    box, or by their geometry's if there is no bbox column; `columns` are
+    those that are written, all by default.  For results that belong in one
+    file; larger ones go to write_dataset.
     """
+    spark = df.sparkSession
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    work = tempfile.mkdtemp(prefix="parts-", dir=os.path.dirname(os.path.abspath(path)))
+    parts = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    own = f"{path}.{uuid.uuid4().hex}"
     try:
         out = df
-        if sort and "bbox" in df.columns:
+        if sort and ("bbox" in df.columns or "geometry" in df.columns):
             out = with_key(df, extent or WORLD).repartitionByRange(KEY).sortWithinPartitions(KEY).drop(KEY)
-        _writer(out, compression, level, row_group_size).parquet(f"file://{work}/out")
-        names = sorted(n for n in os.listdir(f"{work}/out") if n.endswith(".parquet"))
-        schema = _schema(f"{work}/out/{names[0]}", df)
-        own = f"{path}.{uuid.uuid4().hex}"
+        out = out.select(*[f"`{c}`" for c in columns]) if columns is not None else out
+        _writer(out, compression, level, row_group_size).parquet(parts)
+        written = spark.read.schema(out.schema).parquet(parts)
+        store, root = fs.FileSystem.from_uri(parts)
+        names = sorted(n for n, _, _ in listed(spark, parts) if n.endswith(".parquet"))
+        schema = _schema(store, f"{root}/{names[0]}", written)
+        rows = 0
         with pq.ParquetWriter(own, schema, compression=compression, compression_level=level if compression in ("zstd", "gzip", "brotli") else None) as writer:
             held: list[pa.RecordBatch] = []
             for name in names:
-                for batch in pq.ParquetFile(f"{work}/out/{name}").iter_batches(min(BATCH, row_group_size)):
-                    held.append(batch)
-                    if sum(b.num_rows for b in held) >= row_group_size:
-                        held = _flushed(writer, held, schema, row_group_size)
+                with store.open_input_file(f"{root}/{name}") as part:
+                    for batch in pq.ParquetFile(part).iter_batches(min(BATCH, row_group_size)):
+                        held.append(batch)
+                        rows += batch.num_rows
+                        if sum(b.num_rows for b in held) >= row_group_size:
+                            held = _flushed(writer, held, schema, row_group_size)
             if held:
                 _flushed(writer, held, schema, row_group_size, all_=True)
+        if rows != (there := written.count()):
+            raise RuntimeError(f"{rows} of {there} rows of {parts} reach the driver")
         os.replace(own, path)
     finally:
-        shutil.rmtree(work, ignore_errors=True)
+        removed(spark, parts)
+        if os.path.exists(own):
+            os.remove(own)
     return path
 
 
@@ -76,11 +97,25 @@ def _flushed(writer: pq.ParquetWriter, held: list[pa.RecordBatch], schema: pa.Sc
     return table.slice(full).to_batches()
 
 
-def _schema(file: str, df: DataFrame) -> pa.Schema:
-    schema = pq.read_schema(file)
-    if "geometry" not in df.columns:
+#: GeoParquet's names of WKB type codes.
+_TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
+
+
+def _schema(store: fs.FileSystem, file: str, written: DataFrame) -> pa.Schema:
+    """The parts' schema with the geo key: which types and which box the written rows have."""
+    with store.open_input_file(file) as f:
+        schema = pq.read_schema(f)
+    if "geometry" not in written.columns:
         return schema.remove_metadata()
-    return schema.with_metadata({"geo": json.dumps(geo_metadata())})
+    # Byte 1 tells the order of the four bytes of the code; thousands and high bits mark Z and M.
+    code = F.expr("conv(hex(if(substring(geometry, 1, 1) = X'01', reverse(substring(geometry, 2, 4)), substring(geometry, 2, 4))), 16, 10)").cast("long")
+    code = F.expr("cast(null as long)") if not isinstance(written.schema["geometry"].dataType, T.BinaryType) else code
+    found = [F.collect_set(F.pmod(code.bitwiseAND(0xFFFFFFF), F.lit(1000))).alias("codes")]
+    boxed = "bbox" in written.columns
+    if boxed:
+        found += [F.min("bbox.xmin").cast("double"), F.min("bbox.ymin").cast("double"), F.max("bbox.xmax").cast("double"), F.max("bbox.ymax").cast("double")]
+    codes, *bounds = written.agg(*found).first()
+    return schema.with_metadata({"geo": json.dumps(geo_metadata(tuple(bounds) if bounds and None not in bounds else None, [_TYPES[c] for c in codes if c in _TYPES], boxed))})
 
 
 def to_frame(df: DataFrame):
