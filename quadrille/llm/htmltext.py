@@ -4,23 +4,31 @@ Markup is stripped into lines, one for each block element, and everything that
 is not prose by its element or its announced purpose (scripts, styles, forms,
 navigation, headers and footers of the page, asides, adverts, notices,
 comments) leaves an empty line for each block it had.  Lengths of text are
-summed over sliding windows of WINDOW lines.  Where the sum surges over the
-threshold a block of content begins, where it dives to nothing it ends; the
-lines between, of all such stretches, are the text.  If the page says which
-part is its article, the distribution is taken over that part.  On a page where
-no window reaches the threshold, any text counts as a surge.
+summed over sliding windows of WINDOW lines.  From where the sum rises to
+where it dives to nothing is a stretch, and a stretch that surges, that is
+reaches SURGE in a window, is text.  On a page where no window reaches it, any
+text counts as a surge.
+
+If the page says which part is its article, the stretches are weighed against
+that: unless those outside hold bodies (of BODY characters) that make up more
+than the article, the article's lines are the text, all of them, since an
+article's short last line behind a wide gap is no less its text.
 
 Defined results: null or empty html and html without prose give an empty text
 and 0; character references are decoded once; malformed or unclosed tags end
 at the next `>` or at the end; unclosed elements end with their parent.
-Each row is extracted by itself, whatever ids repeat.
+Each row is extracted by itself, whatever ids repeat; time grows with the
+page's length, however deep it is nested.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -41,6 +49,8 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _DROPPED = frozenset("aside audio button canvas dialog fieldset footer form head iframe input label legend menu nav noscript object option select style script svg template textarea title video".split())
+_LISTS = ("ul", "ol", "dl", "select", "table", "menu")
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES_P = _BLOCKS - frozenset("body html button caption head li option td th tr tbody thead tfoot iframe object svg template textarea video audio canvas".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
@@ -103,6 +113,9 @@ def lines_of(source: str) -> list[Line]:
     """The page's lines in order: the text between the borders of block elements."""
     lines, here = [], Line()
     stack: list[_Open] = []
+    # Where on the stack elements of each name and block elements stand, so that no tag searches it.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     drops = articles = links = 0
     at, end = 0, len(source)
 
@@ -123,6 +136,9 @@ def lines_of(source: str) -> list[Line]:
     def pop() -> None:
         nonlocal drops, articles, links
         gone = stack.pop()
+        places[gone.name].pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         drops, articles, links = drops - gone.drops, articles - gone.article, links - gone.link
 
     while at < end:
@@ -137,9 +153,9 @@ def lines_of(source: str) -> list[Line]:
         name, closing, raw = m[2].lower(), m[1] == "/", m[3] or ""
         block = name in _BLOCKS
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            depth = places[name][-1] if places[name] else None
             # A closing tag ends inline elements left open, but no element around the nearest block.
-            if depth is None or not block and any(s.name in _BLOCKS for s in stack[depth + 1 :]):
+            if depth is None or not block and blocks and blocks[-1] > depth:
                 if block:
                     close()
                 continue
@@ -153,26 +169,27 @@ def lines_of(source: str) -> list[Line]:
         if name == "br":
             text(" ")
             continue
-        if name in _CLOSES_P and any(s.name == "p" for s in stack):
-            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == "p")
-            if all(s.name not in _BLOCKS for s in stack[depth + 1 :]):
+        if name in _CLOSES_P and places["p"]:
+            depth = places["p"][-1]
+            if blocks[-1] <= depth:
                 close()
                 while len(stack) > depth:
                     pop()
-        elif name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            kinds = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in kinds:
-                    close()
-                    while len(stack) > i:
-                        pop()
-                elif stack[i].name in ("ul", "ol", "dl", "select", "table", "menu"):
-                    break
+        elif name in _ENDS:
+            around = max((places[x][-1] for x in _LISTS if places[x]), default=-1)
+            ends = sorted(i for kind in _ENDS[name] for i in places[kind][bisect_right(places[kind], around) :])
+            for i in reversed(ends):
+                close()
+                while len(stack) > i:
+                    pop()
         if block:
             close()
         if name in _VOID or raw.rstrip().endswith("/") and not block:
             continue
         entry = _Open(name, _purposeless(name, raw, articles > 0), _is_article(name, raw), name == "a")
+        places[name].append(len(stack))
+        if block:
+            blocks.append(len(stack))
         stack.append(entry)
         drops, articles, links = drops + entry.drops, articles + entry.article, links + entry.link
         if block:
@@ -225,19 +242,17 @@ def _between(lines: list[Line], surge: int) -> list[Line]:
 
 
 def _stretches(lines: list[Line], surge: int) -> list[list[Line]]:
-    """The lines with text between each surge of the windowed length and the dive behind it."""
-    lengths = [len(line.text) for line in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lines))]
+    """The lines with text from each rise of the windowed length from nothing to its dive to nothing, if it surges between."""
+    total = [0, *accumulate(len(line.text) for line in lines)]
+    sums = [total[min(i + WINDOW, len(lines))] - total[i] for i in range(len(lines))]
     kept: list[list[Line]] = []
     i = 0
     while i < len(lines):
-        if sums[i] < surge:
-            i += 1
-            continue
         end = i
         while end < len(lines) and sums[end] > 0:
             end += 1
-        kept.append([line for line in lines[i:end] if line.text])
+        if end > i and max(sums[i:end]) >= surge:
+            kept.append([line for line in lines[i:end] if line.text])
         i = end + 1
     return kept
 

@@ -1,5 +1,10 @@
+import time
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from quadrille.llm import htmltext
 from quadrille.llm.htmltext import extract, main_text
 
 LONG = "A sentence that is long enough to make a window surge over the threshold."
@@ -41,6 +46,41 @@ def test_pages(name):
     assert main_text(source) == text
 
 
+def windows(lengths, surge, width=3):
+    """Kept lines by brute force: those in a run of non-empty windows, one of which reaches `surge`."""
+    sums = [sum(lengths[i : i + width]) for i in range(len(lengths))]
+    kept = set()
+    for i in range(len(lengths)):
+        for j in range(i, len(lengths)):
+            if all(sums[i : j + 1]) and max(sums[i : j + 1]) >= surge:
+                kept |= {k for k in range(i, j + 1) if lengths[k]}
+    return sorted(kept)
+
+
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 20, 39, 40, 90]), max_size=24))
+def test_windows(lengths):
+    lines = [htmltext.Line(text="x" * n) for n in lengths]
+    for surge in (1, 40):
+        got = [line for stretch in htmltext._stretches(lines, surge) for line in stretch]
+        assert [id(x) for x in got] == [id(lines[i]) for i in windows(lengths, surge)]
+
+
+def test_windows_decide(monkeypatch):
+    """Without the distribution (every stretch surges) the pages' texts are others."""
+    gap = "<div></div>" * 9
+    pages = {f"<div>login</div>{gap}<p>Short lead.</p><p>{LONG}</p><p>End.</p>{gap}<div>tail</div>": f"Short lead.\n\n{LONG}\n\nEnd.", f"<div>{LONG}{LONG}</div>{gap}<div>x</div>{gap}<article>y</article>": f"{LONG}{LONG}"}
+    assert {p: main_text(p) for p in pages} == pages
+    monkeypatch.setattr(htmltext, "SURGE", 1)
+    assert all(main_text(p) != t for p, t in pages.items())
+
+
+@pytest.mark.parametrize("source", ["<span>" * 100_000 + "<div>a</div>" * 20_000, "<b><p>" * 50_000 + "x", "<ul><li>" * 50_000 + "</i>" * 50_000, "<td>" * 100_000])
+def test_deep_pages_take_time_by_length(source):
+    began = time.process_time()
+    main_text(source)
+    assert time.process_time() - began < 10
+
+
 def test_operator(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", "<p>a</p>", "x"), (3, "u", "<p>" + "word " * 100_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
