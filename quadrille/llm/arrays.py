@@ -167,6 +167,23 @@ def listed(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+def char_grams(data: np.ndarray, offsets: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket of 2**bits) of each run of `length` characters (three at most), A-Z as a-z; `data` is UTF-8."""
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(codes) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    offsets = leads[offsets]
+    codes[(codes >= 65) & (codes <= 90)] += np.uint64(32)
+    full = len(codes) - length + 1
+    packed = np.zeros(full, np.uint64)
+    for j in range(length):
+        packed = packed << np.uint64(21) | codes[j : j + full]
+    docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    own = docs[:full] == docs[length - 1 :]
+    return docs[:full][own], (mix(packed[own]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def byte_grams(data: np.ndarray, offsets: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket of 2**bits) of each run of `length` bytes, A-Z as a-z."""
     full = len(data) - length + 1

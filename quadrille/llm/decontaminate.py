@@ -14,7 +14,7 @@ Defined results: null or empty texts and items without visible characters hit
 nothing; an item id that repeats is one item for each of its texts; rows
 with a null doc_id are matched like others.  Each row of the documents gives
 one row for each item found in it, at its place of least distance (the first,
-of equals).
+of equals).  Extra columns of any name are not read.
 """
 
 from __future__ import annotations

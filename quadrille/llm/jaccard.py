@@ -31,7 +31,8 @@ more of 2e-14.
 Defined results: a text that is null or has no words has n_shingles 0, links
 to nothing and is its own component; with fewer words than a shingle, the
 whole sequence is one shingle.  A row whose doc_id is null keeps its
-n_shingles and has a null component.  Where a doc_id repeats with different
+n_shingles and has a null component.  Repeated rows are copies; extra columns
+of any name are not read.  Where a doc_id repeats with different
 texts, the smallest text stands for all its rows.
 """
 

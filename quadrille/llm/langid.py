@@ -10,7 +10,8 @@ batch is scored by two matrix products.
 Defined results: a text that is null or has no letter is `und` with score 0;
 so is any text where no labelled row could be learned from.  Equal scores go
 to the language first in byte order.  Rows are scored one by one, so a null or
-repeated doc_id and repeated rows are kept as they are.
+repeated doc_id and repeated rows are kept as they are; extra columns of any
+name are not read.
 """
 
 from __future__ import annotations

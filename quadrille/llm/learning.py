@@ -6,8 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.workspace import stored
+
 #: Seeds the order in which labelled rows are drawn.
 DRAW = 71
+#: Bytes of text that a drawn sample may bring to the driver; a larger one is thinned by a hash of its key.
+SAMPLE_BYTES = 128 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -33,7 +37,13 @@ def drawn(rows: DataFrame, label: str, key: Column, per_class: int) -> tuple[Dat
 
 
 def collected(sample: DataFrame, key: str, bound: int) -> list:
-    """The drawn rows on the driver, in an order that doesn't depend on partitions; `bound` rows at most."""
+    """The drawn rows on the driver, in an order that doesn't depend on partitions; `bound` rows and SAMPLE_BYTES of text at most."""
+    if "text" in sample.columns:
+        sample = stored(sample, "drawn")
+        held = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if held > SAMPLE_BYTES:
+            unit = F.pmod(F.xxhash64(F.lit(DRAW + 1), F.col(key)), F.lit(1 << 30)) / (1 << 30)
+            sample = sample.filter(unit < SAMPLE_BYTES / held)
     return sample.orderBy(F.xxhash64(F.lit(DRAW), F.col(key)), *sample.columns).limit(bound).collect()
 
 

@@ -1,14 +1,15 @@
 """Quality rules and a calibrated quality classifier.
 
 Base figures are exact counts over the whole text.  The classifier is a
-logistic regression over the shares of hashed word uni- and bigrams and byte
-3-grams in a text, trained on labelled quality rows and calibrated by Platt
+logistic regression over the shares of hashed word uni- and bigrams and
+character 3-grams in a text, trained on labelled quality rows and calibrated by Platt
 scaling on rows it was not fitted on, weighted back to the labels' true mix.
 Texts are scored in Arrow batches against a fixed threshold.
 
 Defined results: a null text counts as empty; a text without words fails the
 base rules; without labelled rows of both kinds the classifier passes all.
-Null and repeated ids and repeated rows are scored row by row.
+Null and repeated ids and repeated rows are scored row by row, so no ties
+arise; the threshold itself rejects; extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.arrays import byte_grams, chunks, row_sums, shingles, span_hashes, words
+from quadrille.llm.arrays import char_grams, chunks, row_sums, shingles, span_hashes, words
 from quadrille.llm.learning import Sparse, calibrated, collected, drawn, held_out, logistic, sigmoid
 
 #: Hash bits of each family of features.
@@ -98,7 +99,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
     top = np.uint64(64 - BITS)
     pair = docs[:-1] == docs[1:]
     both = (hashes[:-1] * np.uint64(3) + hashes[1:])[pair] * np.uint64(0x9E3779B97F4A7C15)
-    grams = [(docs, (hashes >> top).astype(np.int64)), (docs[:-1][pair], (both >> top).astype(np.int64)), byte_grams(data, offsets, 3, BITS)]
+    grams = [(docs, (hashes >> top).astype(np.int64)), (docs[:-1][pair], (both >> top).astype(np.int64)), char_grams(data, offsets, 3, BITS)]
     return Measures(np.bincount(docs, minlength=n), row_sums(leads[ends] - leads[starts], docs, n).astype(np.int64), np.diff(marks[offsets]), dup, repeated_words(span_hashes(data, starts, ends, lower=False, key=_KEY), docs, n), grams)
 
 

@@ -17,7 +17,8 @@ so a task that runs twice leaves an unused file, never a mixed one.
 
 Defined results: a null text counts as empty and has the end id alone; rows
 with a null doc_id come first (stored as the smallest 64-bit integer, read as
-null); rows that repeat a doc_id are kept, in order of their texts.
+null); rows that repeat a doc_id are kept, in order of their texts; extra
+columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -335,12 +336,24 @@ def _offset_writer(folder: str):
     return write
 
 
-def _mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where the file system is local, else read."""
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _Mapped:
+    """A file as an array whose slices are copies: memory-mapped where the file system is local, else read range by range."""
+
+    def __init__(self, store: fs.FileSystem, path: str, dtype: str) -> None:
+        self.kind, self.file, self.map = np.dtype(dtype), None, None
+        if isinstance(store, fs.LocalFileSystem):
+            self.map = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        else:
+            self.file = store.open_input_file(path)
+
+    def __len__(self) -> int:
+        return len(self.map) if self.map is not None else self.file.size() // self.kind.itemsize
+
+    def part(self, begin: int, end: int) -> np.ndarray:
+        if self.map is not None:
+            return np.array(self.map[begin:end])
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((end - begin) * size, begin * size), self.kind)
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -354,13 +367,14 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(folder)
         for part in (p for b in batches for p in b.to_pylist()):
-            ids = _mapped(store, f"{root}/tokens-{part['part']:05d}-{part['attempt']}.bin", dtype)
-            doc_ids = _mapped(store, f"{root}/docids-{part['part']:05d}-{part['attempt']}.bin", "<i8")
-            offsets = _mapped(store, f"{root}/offsets-{part['part']:05d}.bin", "<u8").astype(np.int64)
+            ids = _Mapped(store, f"{root}/tokens-{part['part']:05d}-{part['attempt']}.bin", dtype)
+            doc_ids = _Mapped(store, f"{root}/docids-{part['part']:05d}-{part['attempt']}.bin", "<i8")
+            offsets = _Mapped(store, f"{root}/offsets-{part['part']:05d}.bin", "<u8")
             for i in range(0, len(doc_ids), 1024):
-                own, cuts = np.array(doc_ids[i : i + 1024]), offsets[i : i + 1025]
+                own = doc_ids.part(i, min(i + 1024, len(doc_ids)))
+                cuts = offsets.part(i, i + len(own) + 1).astype(np.int64)
                 local = cuts - part["first_id"]
-                flat = np.array(ids[local[0] : local[-1]]).astype("<u4")
+                flat = ids.part(int(local[0]), int(local[-1])).astype("<u4")
                 at = local - local[0]
                 crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 columns = [pa.array(own, pa.int64(), mask=own == _NO_ID), pa.array(cuts[:-1]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]

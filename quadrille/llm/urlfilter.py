@@ -9,11 +9,16 @@ The bits are a literal in the scan's expressions, so judging needs no join.
 
 Keys are hosts; a url carries its host and every parent domain, and is listed
 if any of them is.  The bits' size is computed from counted keys before any
-is built; over MAX_BITS in all the listed keys are joined instead.
+is built; over MAX_BITS in all, which no plan should carry, the listed keys are
+joined by distinct host instead.
+
+A rule's path is what stands behind its host, its `/` included, so `net/` fits
+`http://x.net/` and not `http://x.net`, whose path is empty.
 
 Defined results: a url that is null or has no `://` has empty host and path
 and the verdict allow; null keys in the list are ignored; an empty list or
-table gives allow, or no row; repeated rows are judged one by one.
+table gives allow, or no row; repeated rows are judged one by one; of rules of
+one length the later by text wins; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -66,7 +71,8 @@ class Level:
     data: bytes = field(repr=False)
 
     def passes(self, key: Column) -> Column:
-        return _all([self._bit(p) for p in positions(key, self.seed, self.hashes, self.bits)])
+        """The level's bits stand once in the expression, however many hashes it has."""
+        return F.forall(F.array(*positions(key, self.seed, self.hashes, self.bits)), self._bit)
 
     def _bit(self, position: Column) -> Column:
         byte = F.substring(F.lit(self.data), (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))
@@ -75,13 +81,6 @@ class Level:
         return F.call_function("getbit", value, (position % 8).cast("int")) == 1
 
 
-def _all(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out & c
-    return out
-
-
 def positions(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:
     """Bit positions, by a hash of its own each."""
     return [F.pmod(F.xxhash64(F.lit(64 * seed + i), key), F.lit(bits)) for i in range(hashes)]

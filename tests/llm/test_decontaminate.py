@@ -63,6 +63,34 @@ def test_operator(spark):
     assert find_items(docs.limit(0), items).count() == 0 and find_items(docs, items.limit(0)).count() == 0
 
 
+def test_registered_query_finds_edited_passages(spark, tmp_path):
+    """The query's own rows against the cell-by-cell distance, passages edited within and beyond the budget."""
+    from quadrille.llm.queries import op4
+
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice(["north", "river", "stone", "amber", "quiet", "seven"]) for _ in range(rng.randrange(6, 14)))) for i in range(4)]
+    docs = []
+    for i in range(60):
+        raw = list(items[i % 4][1])
+        for _ in range(rng.randrange(0, len(raw) // 6)):
+            at = rng.randrange(len(raw))
+            raw[at : at + 1] = rng.choice([[], ["x"], [raw[at], "y"]])
+        docs.append((i, f"{'Lead ' * (i % 3)}{''.join(raw).upper() if i % 5 == 0 else ''.join(raw)} tail"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.n_edits for r in op4.query(spark, f"file://{tmp_path}").collect()}
+    want = {(d, i): e for d, t in docs for i, x in items if (e := least(folded(x), folded(t))[0]) <= int(0.1 * len(folded(x)) + 1e-9)}
+    assert got == want and 10 < len(want) < 60
+
+
+def test_ties_and_long_texts():
+    item = "one two three four five"
+    m = Matcher([(1, item), (2, item)], 0.1)
+    text = folded(f"{'pad ' * 50_000}{item} {item} {'pad ' * 50_000}")
+    assert [(i, e, text[a:b]) for i, e, a, b in sorted(m.hits(text))] == [(0, 0, item), (1, 0, item)]
+    assert {a for _, _, a, _ in m.hits(text)} == {text.index(item)}  # the first of equals
+
+
 def test_one_long_lower_case_leaves_the_rest_folded():
     assert {chr(c) for c in range(0x110000) if len(chr(c).lower()) != 1} == {"İ"}
     item = "съешь же ещё этих мягких французских булок да выпей чаю"

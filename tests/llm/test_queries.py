@@ -92,6 +92,56 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tables):
     assert rows == {r.doc_id: [*sp.encode(r.text), 2] for r in docs.collect()}
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _small_tables(spark, folder, docs, labels, benchmark):
+    for name, rows, schema in (("documents", docs, DOCUMENTS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", benchmark, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """Without labels nothing is learned, so only the base rules, copies and items reject; nulls reject nothing by themselves."""
+    words = [f"w{i}" for i in range(80)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    item = " ".join(f"item{i}" for i in range(20))
+    docs = [(1, one, "en", "s", 1), (2, one, None, None, None), (3, f"{other} {item}", "en", "s", 1), (4, other, "en", "s", 1), (5, None, "en", "s", 1), (6, "", "en", "s", 1), (None, one[::-1], None, "s", 1)]
+    odd = _small_tables(spark, f"file://{tmp_path}/odd", docs, [(None, None, None), (1, None, None), (None, 1, 1)], [(1, item), (None, None)])
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, odd).collect()) == ["1", "4", "None"]
+    none = _small_tables(spark, f"file://{tmp_path}/none", [], [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    """Copies by compared shingle sets, items by plain search, ids by the library; labels reject by one word each."""
+    import random
+
+    from tests.llm.test_jaccard import brute
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("ka ro ti mu sel nor".split()) for _ in range(3)) for _ in range(n))
+    item, docs, labels = " ".join(f"item{i}" for i in range(12)), [], []
+    for i in range(400):
+        text, low, toxic = prose(70), rng.random() < 0.3, rng.random() < 0.3
+        if low:
+            text = " ".join(w + "###" for w in text.split())
+        if toxic:
+            text = f"idiot {text} moron idiot"
+        if rng.random() < 0.2:
+            text = f"{text} {item}"
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(not low), int(toxic)))
+    for i in range(400, 430):
+        docs.append((i, f"{docs[i - 400][1]} again", "en", "s", 1))
+    folder = _small_tables(spark, f"file://{tmp_path}/made", docs, labels, [(1, item)])
+    good = [d for d in docs if "###" not in d[1] and "idiot" not in d[1]]
+    found = brute([d[:2] for d in good], corpus_pipeline.NEAR)
+    kept = {d[0]: d[1] for d in good if found[d[0]][1] == d[0] and item not in d[1]}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()} == {i: [*sp.encode(t), 2] for i, t in kept.items()}
+
+
 def test_one_document_of_each_group(spark):
     words = [f"w{i}" for i in range(60)]
     texts = {5: " ".join(words), 3: " ".join([*words[:-1], "x"]), 9: " ".join(reversed(words)), 7: " ".join(words), None: " ".join(words)}

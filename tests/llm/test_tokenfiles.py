@@ -5,6 +5,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -58,6 +59,15 @@ def test_files_round_trip(spark, tmp_path):
         assert len(offsets) == p["n_docs"] + 1 and offsets[0] == p["first_id"] and offsets[-1] == p["first_id"] + p["n_ids"]
 
 
+def test_files_read_by_ranges(spark, tmp_path, monkeypatch):
+    """A store that is not local is read range by range."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in range(40)] + [(None, None)], "doc_id long, text string")
+    write_token_files(docs, FILE, f"file://{tmp_path}/far", 2)
+    local = tokenfiles._Mapped(fs.LocalFileSystem(), next(map(str, Path(tmp_path, "far").glob("tokens*.bin"))), "<u2")
+    far = tokenfiles._Mapped(fs.SubTreeFileSystem(f"{tmp_path}/far", fs.LocalFileSystem()), next(p.name for p in Path(tmp_path, "far").glob("tokens*.bin")), "<u2")
+    assert far.map is None and len(far) == len(local) and far.part(1, 9).tolist() == local.part(1, 9).tolist() and far.part(0, 0).tolist() == []
+
+
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     write_token_files(docs, FILE, f"file://{tmp_path}/none", 2)

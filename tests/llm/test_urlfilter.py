@@ -48,3 +48,15 @@ def test_cascade_is_exact(spark, listed, others):
     if listed:
         with pytest.raises(TooLarge):
             build_cascade(universe, max_bits=10)
+
+
+def test_plan_is_native_and_holds_each_level_once(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example.com/") for i in range(300)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.example.com",) for i in range(0, 300, 3)], "key string")
+    found = judge(pages, listed, RULES)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+    universe = pages.selectExpr("substring_index(url, '/', -1) AS x", "split(url, '/')[2] AS key").selectExpr("key", "cast(substring(key, 2, position('.', key) - 2) AS int) % 3 = 0 AS listed")
+    level = build_cascade(universe).levels[0]
+    shown = spark.range(1).select(level.passes(F.lit("x")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("getbit") == 1 and level.hashes > 1
