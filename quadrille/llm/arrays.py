@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: For operators whose arrays take some 100 bytes for each byte of text.
+SMALL_CHUNK = 1 << 18
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.arrays import char_grams, chunks, row_sums, shingles, span_hashes, words
+from quadrille.llm.arrays import SMALL_CHUNK, char_grams, chunks, row_sums, shingles, span_hashes, words
 from quadrille.llm.learning import Sparse, calibrated, collected, drawn, held_out, logistic, sigmoid
 
 #: Hash bits of each family of features.
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for row, end, data, offsets in chunks(texts):
+            for row, end, data, offsets in chunks(texts, SMALL_CHUNK):
                 found = measure(data, offsets)
                 low = model.low(found.grams, end - row) if model else np.zeros(end - row)
                 figures = [pa.array(getattr(found, name), pa.int64()) for name in FIGURES]
@@ -192,7 +192,7 @@ def passes(text: Column, model: QualityModel | None) -> Column:
     @F.arrow_udf("boolean")
     def run(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0, bool)]
-        for row, end, data, offsets in chunks(texts):
+        for row, end, data, offsets in chunks(texts, SMALL_CHUNK):
             found = measure(data, offsets)
             low = model.low(found.grams, end - row) if model else np.zeros(end - row)
             out.append(~found.base_failed & (low < THRESHOLD))

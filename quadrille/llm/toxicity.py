@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.arrays import ALNUM, chunks, mix, span_hashes, words
+from quadrille.llm.arrays import ALNUM, SMALL_CHUNK, chunks, mix, span_hashes, words
 from quadrille.llm.learning import Sparse, calibrated, drawn, logistic, sigmoid
 from quadrille.llm.workspace import stored
 
@@ -353,7 +353,7 @@ class ToxicityModel:
 
         def score(texts: pa.Array) -> np.ndarray:
             out = [np.zeros(0)]
-            for _, _, data, offsets in chunks(lowered(texts)):
+            for _, _, data, offsets in chunks(lowered(texts), SMALL_CHUNK):
                 n_words, docs, at, times = vocabulary.found(data, offsets)
                 raw = np.bincount(docs, upto[at, np.searchsorted(TIMES, times, "right")], len(n_words))
                 out.append(sigmoid(raw - _chances(n_words) @ self.base + self.bias))
