@@ -11,7 +11,9 @@ the smaller of the two L.
 
 Data flow, linear in the text: shingle hashes are packed into binary columns
 and dealt once by hash range, where document frequencies are counted; only
-shingles of two documents or more go on, dealt by document.  Exact copies (equal
+shingles of two documents or more go on, dealt by document.  A shingle that
+very many documents hold would fill one range: such shingles are counted block
+by block beforehand, and their occurrences are dealt by document at once.  Exact copies (equal
 sets) collapse into one representative.  Candidates are then found in two
 ways.  Each document is compared with the central document (star) of the
 posting lists it shares most of; documents of one star are compared through
@@ -55,6 +57,10 @@ from quadrille.llm.workspace import stored
 RANGE_SHINGLES, MAX_BITS = 1 << 22, 24
 #: Text bytes whose shingles are packed together.
 BLOCK_BYTES = 6 << 20
+#: A shingle is counted beforehand in blocks where this many documents or more hold it.
+OFTEN = 4
+#: Documents counted for a shingle from which on it is dealt by document; entries of the table of such shingles, at most.
+HOT, HOT_TABLE = RANGE_SHINGLES // 4, 1 << 20
 #: Classes into which the sizes of partners fall, at most, on either side.
 CLASSES = 6
 #: Largest L that a document considers; postings so few that none is sought.
@@ -75,10 +81,24 @@ class JaccardJoin:
         return distinct(*shingles(span_hashes(data, starts, ends, key=self.key), docs, len(offsets) - 1, self.width))
 
 
+_PROFILES = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "d1", "d2")] + [("often", pa.binary())])
+
+
 def profiles(docs: DataFrame, join: JaccardJoin) -> DataFrame:
-    """doc_id, n, d1, d2: the size of each row's set and a 128-bit digest of it."""
+    """doc_id, n, d1, d2: the size of each row's set and a 128-bit digest of it.
+
+    Further rows, without n, count for each block of text the shingles that
+    OFTEN documents of it or more hold: `often` has hashes, then counts, of 64 bits each.
+    """
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        keep = counts >= OFTEN
+        blob = hashes[keep].astype("<u8").tobytes() + counts[keep].astype("<u8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([blob], pa.binary())], schema=_PROFILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column(1)):
                 own, hashes = join.sets(data, offsets)
@@ -88,9 +108,36 @@ def profiles(docs: DataFrame, join: JaccardJoin) -> DataFrame:
                     total = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mix(hashes ^ np.uint64(tag)), out=total[1:])
                     sums.append(np.diff(total[cuts]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(cuts).astype(np.int64)), *map(pa.array, sums)], ["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(cuts).astype(np.int64)), *map(pa.array, sums), pa.nulls(end - row, pa.binary())], schema=_PROFILES)
+                held.append(hashes)
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, often binary")
+
+
+def _hot(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and levels of the shingles counted in `least` documents or more; counts are summed over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                hashes, counts = np.frombuffer(blob, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], ["h", "c"])
+
+    sums = counted.filter("n IS NULL").select("often").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = sums.filter(F.col("c") >= least).toArrow()  # HOT_TABLE rows at most, by the choice of `least`
+    hashes, counts = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], _level(counts[order])
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(4 * np.log2(counts))).astype(np.uint8)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -124,16 +171,25 @@ def more_bits(bits: int) -> int:
     return min(16, 31 - bits)
 
 
-def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int) -> DataFrame:
-    """key (the hash's first `bits` bits), n, high and low (the next more_bits(bits) and 32), doc (ids as differences): blocks of shingles."""
+def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int, hot: np.ndarray, blocks: int) -> DataFrame:
+    """key (the hash's first `bits` bits), n, high and low (the next more_bits(bits) and 32), doc (ids as differences): blocks of shingles.
+
+    Occurrences of the shingles in `hot` have -1 less their document's block as key, and their place in `hot` as low.
+    """
     schema = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("doc", pa.binary())])
     more = more_bits(bits)
 
     def pack(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
         doc, h = np.concatenate(ids), np.concatenate(hashes)
         key = (h >> np.uint64(64 - bits)).astype(np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            own = hot[at] == h
+            key[own] = -1 - _dealt(doc[own], blocks)
         order = np.argsort(key, kind="stable")
         doc, rest, key = doc[order], h[order] >> np.uint64(32 - bits - more), key[order]
+        if len(hot):
+            rest = np.where(own[order], at[order].astype(np.uint64), rest)
         low, high = rest.astype("<u4"), ((rest >> np.uint64(32)) & np.uint64((1 << more) - 1)).astype("<u2")
         keys, at = np.unique(key, return_index=True)
         cuts = [*at.tolist(), len(key)]
@@ -166,8 +222,13 @@ def _dealt(doc: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _shared_shingles(packed: DataFrame, blocks: int, more: int) -> DataFrame:
-    """Occurrences of shingles that two rows or more hold, in blocks by document; level: 4 * log2 of how many hold it."""
+def _shared_shingles(packed: DataFrame, blocks: int, bits: int, hot: np.ndarray, levels: np.ndarray) -> DataFrame:
+    """Occurrences of shingles that two rows or more hold, in blocks by document; level: 4 * log2 of how many hold it.
+
+    Those in `hot` come by document already; they have the level in `levels`, the same for all documents.
+    """
+    more = more_bits(bits)
+    hot_ids = (hot >> np.uint64(32 - bits - more)).astype(np.int64)
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         doc, low, high, level = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -183,6 +244,11 @@ def _shared_shingles(packed: DataFrame, blocks: int, more: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for key, rows in _by_key(batches):
+            if key < 0:
+                at = np.concatenate([np.frombuffer(r["low"], "<u4") for r in rows])
+                doc = np.concatenate([np.cumsum(_expand(r["doc"], "<i8", r["n"])) for r in rows])
+                yield pack([(doc, hot_ids[at].astype("<u4"), (hot_ids[at] >> 32).astype("<u4"), levels[at])])
+                continue
             ids = np.concatenate([np.frombuffer(r["low"], "<u4").astype(np.int64) | (np.frombuffer(r["high"], "<u2").astype(np.int64) << 32) for r in rows])
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
@@ -192,7 +258,7 @@ def _shared_shingles(packed: DataFrame, blocks: int, more: int) -> DataFrame:
             counts = np.bincount(group)
             several = counts[group] >= 2
             doc = np.concatenate([np.cumsum(_expand(r["doc"], "<i8", r["n"])) for r in rows])[order][several]
-            level = np.minimum(255, np.round(4 * np.log2(counts))).astype(np.uint8)[group][several]
+            level = _level(counts)[group][several]
             ids = ids[several]
             parts.append((doc, ids.astype("<u4"), (ids >> 32 | key << more).astype("<u4"), level))
             held += len(doc)
@@ -432,8 +498,11 @@ def _other_pairs(postings: DataFrame, stars: DataFrame, roots: DataFrame, percen
     return counted.filter("both >= needed").select(F.col("doca").alias("a"), F.col("docb").alias("b"))
 
 
-def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text)."""
+def near_components(docs: DataFrame, join: JaccardJoin, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text).
+
+    `hot` steers only which shingles are dealt by document; results don't depend on it.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
@@ -442,13 +511,16 @@ def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
         nameless = rows.filter(F.col("doc_id").isNull())
         rows_of = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("times"))
         rows = stored(rows_of, "single")
-    profile = stored(profiles(rows, join), "profiles")
+    counted = stored(profiles(rows, join), "profiles")
+    profile = counted.filter("n IS NOT NULL").drop("often")
     classes = stored(profile.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     total = profile.agg(F.sum("n")).first()[0] or 0
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_SHINGLES)
     bits = min(MAX_BITS, max(8, (ranges - 1).bit_length()))
-    shared = _shared_shingles(_packed_shingles(rows.select("doc_id", "text"), join, bits), max(256, ranges), more_bits(bits))
-    found = stored(_candidates(shared, _packed_sizes(classes, max(256, ranges)), join.percent), "candidates")
+    often, levels = _hot(counted, max(hot, total // HOT_TABLE))
+    blocks = max(256, ranges)
+    shared = _shared_shingles(_packed_shingles(rows.select("doc_id", "text"), join, bits, often, blocks), blocks, bits, often, levels)
+    found = stored(_candidates(shared, _packed_sizes(classes, blocks), join.percent), "candidates")
     postings = stored(found.select(F.explode("prefix").alias("token"), "doc", "n", "least", "rarity"), "postings")
     differences = stored(_differences_to(_assigned(postings, join.percent), found, join.percent), "differences")
     links = differences.filter("linked").select(F.col("star").alias("a"), F.col("doc").alias("b"))
@@ -464,5 +536,5 @@ def near_components(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     out = profile.join(placed, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"))
     if nameless is not None:
         times = rows.select("doc_id", F.explode(F.expr("sequence(1, times)")).alias("i")).drop("i")
-        out = times.join(out, "doc_id").unionByName(profiles(nameless, join).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+        out = times.join(out, "doc_id").unionByName(profiles(nameless, join).filter("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
     return out

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quadrille.llm.components import components
-from quadrille.llm.jaccard import JaccardJoin, near_components
+from quadrille.llm.jaccard import JaccardJoin, _hot, near_components, profiles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,6 +78,19 @@ def test_components_match_brute_force(spark, seed, width, percent):
     assert got == brute(rows, join)
 
 
+@pytest.mark.parametrize("hot", [4, 12])
+def test_frequent_shingles_match_brute_force(spark, hot):
+    """Shingles that many documents hold are dealt by document: a passage in all texts, and large groups of copies."""
+    rows, join = corpus(5), JaccardJoin(4, 85)
+    rows = [(i, t and f"{t} {' '.join(f'p{k}' for k in range(12))}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    counted = profiles(docs, join)
+    hashes, levels = _hot(counted, hot)
+    assert len(hashes) == len(levels) >= 9 and (hashes[1:] > hashes[:-1]).all()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs, join, hot).collect()}
+    assert got == brute(rows, join)
+
+
 def test_odd_rows(spark):
     join = JaccardJoin(4, 85)
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "q r s t"), (3, "b z z z"), (4, None)]
