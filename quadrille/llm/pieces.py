@@ -3,7 +3,8 @@
 The text is normalised here, not in the library: at each position the longest
 key of the model's compiled character map (a double-array trie with its
 replacement strings) is taken, and every byte written records the source byte
-it came from.  The library then segments the normalised text with a copy of
+it came from; the longest of the model's user-defined symbols that starts there
+stays as it is.  The library then segments the normalised text with a copy of
 the model whose own normaliser is switched off.  The lengths of the pieces
 cut the alignment into spans, so each piece projects to the bytes of the
 original text it stands for, and consecutive spans tile the text.
@@ -16,6 +17,7 @@ text are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE_MARK = "▁".encode()
-_BYTE, _CONTROL = 6, 3
+_BYTE, _DEFINED, _CONTROL = 6, 4, 3
 
 
 class CharMap:
@@ -86,6 +88,8 @@ class OffsetCodec:
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.eos = self.whole.eos_id()
         self.lengths = np.array([0 if p.type == _CONTROL else 1 if p.type == _BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        symbols = sorted((p.piece.encode() for p in proto.pieces if p.type == _DEFINED), key=len, reverse=True)
+        self.symbols = re.compile(b"|".join(map(re.escape, symbols))) if symbols else None
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
@@ -118,7 +122,11 @@ class OffsetCodec:
         starts = self.map.starts
         pieces = []
         while at < len(data):
-            hit = self.map.longest(data, at) if starts[data[at]] else None
+            symbol = self.symbols.match(data, at) if self.symbols else None
+            if symbol:
+                hit = (symbol.end() - at, symbol[0])
+            else:
+                hit = self.map.longest(data, at) if starts[data[at]] else None
             if hit is None:
                 width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
                 hit = (width, data[at : at + width])
