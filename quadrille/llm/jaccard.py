@@ -56,9 +56,9 @@ from quadrille.llm.workspace import stored
 #: Shingles in a hash range that one task holds at once, about; bits of a range, at most.
 RANGE_SHINGLES, MAX_BITS = 1 << 22, 24
 #: Text bytes whose shingles are packed together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: A shingle is counted beforehand in blocks where this many documents or more hold it.
-OFTEN = 4
+OFTEN = 3
 #: Documents counted for a shingle from which on it is dealt by document; entries of the table of such shingles, at most.
 HOT, HOT_TABLE = RANGE_SHINGLES // 4, 1 << 20
 #: Classes into which the sizes of partners fall, at most, on either side.
@@ -92,9 +92,13 @@ def profiles(docs: DataFrame, join: JaccardJoin) -> DataFrame:
     """
 
     def often(held: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= OFTEN
-        blob = hashes[keep].astype("<u8").tobytes() + counts[keep].astype("<u8").tobytes()
+        hashes = np.concatenate(held)
+        held.clear()
+        hashes.sort()
+        # Only those that stand again OFTEN - 1 places on are told apart and counted.
+        again = hashes[: len(hashes) - OFTEN + 1][hashes[OFTEN - 1 :] == hashes[: len(hashes) - OFTEN + 1]] if len(hashes) >= OFTEN else hashes[:0]
+        found, counts = np.unique(again, return_counts=True)
+        blob = found.astype("<u8").tobytes() + (counts + OFTEN - 1).astype("<u8").tobytes()
         return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([blob], pa.binary())], schema=_PROFILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def profiles(docs: DataFrame, join: JaccardJoin) -> DataFrame:
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield often(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield often(held)
 
@@ -181,6 +185,8 @@ def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int, hot: np.ndar
 
     def pack(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
         doc, h = np.concatenate(ids), np.concatenate(hashes)
+        ids.clear()
+        hashes.clear()
         key = (h >> np.uint64(64 - bits)).astype(np.int64)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -207,7 +213,7 @@ def _packed_shingles(docs: DataFrame, join: JaccardJoin, bits: int, hot: np.ndar
                 held += len(data)
                 if held >= BLOCK_BYTES:
                     yield pack(ids, hashes)
-                    ids, hashes, held = [], [], 0
+                    held = 0
         if sum(map(len, ids)):
             yield pack(ids, hashes)
 

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -86,7 +88,9 @@ def test_frequent_shingles_match_brute_force(spark, hot):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     counted = profiles(docs, join)
     hashes, levels = _hot(counted, hot)
-    assert len(hashes) == len(levels) >= 9 and (hashes[1:] > hashes[:-1]).all()
+    held = Counter(s for _, x in rows for s in shingles(x, 4))
+    assert len(levels) == len(hashes) <= sum(c >= hot for c in held.values()) and len(hashes) >= 9
+    assert levels.max() <= round(4 * math.log2(max(held.values()))) and (hashes[1:] > hashes[:-1]).all()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs, join, hot).collect()}
     assert got == brute(rows, join)
 
