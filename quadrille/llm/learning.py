@@ -36,6 +36,22 @@ def drawn(rows: DataFrame, label: str, key: Column, per_class: int) -> tuple[Dat
     return rows.filter(unit < share), counts
 
 
+def each_once(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """The drawn `rows` (doc_id, text, `label`); where ids repeat so that a label has over 2 * per_class rows, a bounded part of them.
+
+    Ids are drawn to a bound, but each brings all rows that have it.  Beyond
+    the bound each text of an id counts once, and about `per_class` of these
+    are drawn for each label, by a hash of id and text.
+    """
+    if all(r[1] <= 2 * per_class for r in rows.groupBy(label).count().collect()):  # one row for each label
+        return rows
+    share = F.lit(0.0)
+    for value, n in rows.groupBy(label).agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"))).collect():
+        share = F.when(F.col(label) == value, min(1.0, per_class / n)).otherwise(share)
+    unit = F.pmod(F.xxhash64(F.lit(DRAW + 2), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    return rows.filter(unit < share).distinct()
+
+
 def collected(sample: DataFrame, key: str, bound: int) -> list:
     """The drawn rows on the driver, in an order that doesn't depend on partitions; `bound` rows and SAMPLE_BYTES of text at most."""
     if "text" in sample.columns:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.arrays import SMALL_CHUNK, char_grams, chunks, row_sums, shingles, span_hashes, words
-from quadrille.llm.learning import Sparse, calibrated, collected, drawn, held_out, logistic, sigmoid
+from quadrille.llm.learning import Sparse, calibrated, collected, drawn, each_once, held_out, logistic, sigmoid
 
 #: Hash bits of each family of features.
 BITS = 16
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
     chosen, counts = drawn(marked, "quality", F.col("doc_id"), per_class)
     ids = chosen.sparkSession.createDataFrame(collected(chosen, "doc_id", 3 * per_class), chosen.schema)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most 3 * per_class ids
-    got = collected(rows, "doc_id", 4 * per_class)
+    got = collected(each_once(rows, "quality", per_class), "doc_id", 4 * per_class)
     low = np.array([1 - r.quality for r in got], float)
     n = {q: max(1, int((low == 1 - q).sum())) for q in (0, 1)}
     weight = np.array([counts[r.quality] / n[r.quality] for r in got], float)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.arrays import ALNUM, SMALL_CHUNK, chunks, mix, span_hashes, words
-from quadrille.llm.learning import Sparse, calibrated, drawn, logistic, sigmoid
+from quadrille.llm.learning import Sparse, calibrated, drawn, each_once, logistic, sigmoid
 from quadrille.llm.workspace import stored
 
 THRESHOLD = 0.3
@@ -525,8 +525,8 @@ def drawn_rows(docs: DataFrame, labels: DataFrame, usable: Column, per_class: in
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     chosen, counts = drawn(marked, "toxic", F.col("doc_id"), per_class)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The drawn ids number about 2 * per_class, whatever the tables.
-    rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 4)
+    # The drawn ids number about 2 * per_class, whatever the tables; their rows do too, as ids may repeat.
+    rows = each_once(rows.join(F.broadcast(chosen), "doc_id"), "toxic", per_class).withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 4)
     return stored(rows, "drawn"), counts
 
 

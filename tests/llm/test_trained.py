@@ -194,3 +194,17 @@ def test_logistic_and_calibration():
     assert w[0] > 1 and w[1] < -0.4
     a, c = calibrated(x @ w * 3 + 1, y, np.ones(500))
     assert abs(sigmoid(a * (x @ w * 3 + 1) + c).mean() - y.mean()) < 0.02
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
+    """Each id brings 40 copies, and one id 2000 different texts: the sample has each text once and stays near its bound."""
+    copies = [(i, f"text {i}") for i in range(200)] * 40
+    docs = spark.createDataFrame([*copies, *((1000, f"other {i}") for i in range(2000))], "doc_id long, text string")
+    marks = spark.createDataFrame([*((i, i % 2, i % 2) for i in range(200)), (1000, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [tuple(r) for r in toxicity.drawn_rows(docs, marks, F.lit(True), 150)[0].select("doc_id", "text", "toxic").collect()]
+    by = {y: [r for r in rows if r[2] == y] for y in (0, 1)}
+    assert len(set(rows)) == len(rows) and sorted(r[0] for r in by[1]) == list(range(1, 200, 2))
+    assert 75 <= len(by[0]) <= 300
+    monkeypatch.setattr(quality, "fit", lambda texts, low, weight: texts)
+    texts = quality.learn(docs, marks, F.lit(True), 150)
+    assert len(set(texts)) == len(texts) <= 600 and {f"text {i}" for i in range(1, 200, 2)} <= set(texts)
