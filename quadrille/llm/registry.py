@@ -15,7 +15,7 @@ from quadrille.llm.workspace import modest_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = tuple(f"op{n}" for n in (*range(1, 12), 13))
+MODULES = tuple(f"op{n}" for n in range(1, 14))
 
 
 def _loaded() -> list:
