@@ -1,13 +1,15 @@
 """Aligns the tokens of a byte-level tokenizer (A) and of a piece tokenizer (B) over the same bytes.
 
 The alignment is relational: tokens are exploded with their places, running
-sums of their lengths give their ends, an equi-join on text and end finds where
-both end, and a running count of these cuts numbers the groups between them.
+sums of their lengths give their ends, and an equi-join on text and end finds
+where both end (as a grouping of both sides, since a side has an end once); a
+running count of these cuts numbers the groups between them.
 
 Texts are aligned by units: neither tokenizer has a token across a single space
 between two visible characters, so a text is a sequence of units, each such
-space with what follows it, and equal units align alike.  Every distinct unit is
-encoded and aligned once, with the number of its occurrences, and id pairs are
+space with what follows it, and equal units align alike.  (A text's first unit
+has the space that both tokenizers put in front.)  Every distinct unit, written
+without its space, is encoded and aligned once, with the number of its occurrences, and id pairs are
 counted over all of them.  A text with U+2581, which B takes for a space, is one
 unit; so is every text if the tokenizers give a unit that they don't spell.
 
@@ -24,30 +26,30 @@ empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.workspace import stored
 
 #: Bytes of text in a block of documents.
-BLOCK = 32 << 20
+BLOCK = 48 << 20
 #: Rows of the table of id pairs up to which it is broadcast: at 32 bytes a row, 16 MB.
 PAIRS = 1 << 19
 #: White space by any version of Unicode, and what stands near it, as code points.
 _BLANK = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _VISIBLE = "[^" + "".join(f"\\u{c:04x}" for c in _BLANK) + "]"
-#: In front of a single space between visible characters; Java and Python read it alike.
-CUT = f"(?= {_VISIBLE})(?<={_VISIBLE})"
+#: A single space between visible characters; Java and Python read it alike.
+CUT = f" (?={_VISIBLE})(?<={_VISIBLE} )"
 _SPACE_PIECE = "▁"
 
 
@@ -89,10 +91,11 @@ class Spelling:
         return by_word and as_is and not any(_SPACE_PIECE in p.piece.lstrip(_SPACE_PIECE) for p in proto.pieces)
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids in A and B of units, which begin with a space; whether both spell the unit, else no ids."""
-        a, b = [e.ids for e in self.batch(units, add_special_tokens=False)], self.b.encode([u[1:] for u in units], num_threads=1)
+        """Ids in A and B of units behind a space; whether both spell them, else no ids."""
+        full = [f" {u}" for u in units]
+        a, b = [e.ids for e in self.batch(full, add_special_tokens=False)], self.b.encode(units, num_threads=1)
         ok = []
-        for i, u in enumerate(units):
+        for i, u in enumerate(full):
             raw = u.encode()
             ok.append(b"".join(map(self.bytes_a.__getitem__, a[i])) == raw == b"".join(map(self.bytes_b.__getitem__, b[i])))
             if not ok[-1]:
@@ -127,20 +130,16 @@ def _encoder(byte_file: str, piece_file: str):
 
 
 def _units(text: Column, cut: bool) -> Column:
-    full = F.concat(F.lit(" "), text)
-    return F.when(F.contains(text, F.lit(_SPACE_PIECE)), F.array(full)).otherwise(F.split(full, CUT)) if cut else F.array(full)
+    return F.when(F.contains(text, F.lit(_SPACE_PIECE)), F.array(text)).otherwise(F.split(text, CUT)) if cut else F.array(text)
 
 
-@contextmanager
-def _co_located(spark: SparkSession):
-    """Plans made inside join by (unit, end) where rows are dealt by unit."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """Stored, with the shuffle files behind it let go: a step's files and the next one's don't add up."""
+    out = stored(df, name)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 class Alignment:
@@ -152,17 +151,17 @@ class Alignment:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # Rows of one doc_id and text are in one block; what else repeats is spread.
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)))
-        each = self.rows.filter("text <> ''").select("block", _units(F.col("text"), cut).alias("units"))
+        # Dealt by block first: the units of a block are told apart where its texts are.
+        each = self.rows.filter("text <> ''").repartition("block").select("block", _units(F.col("text"), cut).alias("units"))
         found = each.select("block", (F.size("units") == 1).alias("whole"), F.explode("units").alias("unit"))
-        self.by_block = stored(found.groupBy("block", "unit").agg(F.count("*").alias("n"), F.min("whole").alias("whole")), "block-units")
+        self.by_block = _settled(found.groupBy("block", "unit").agg(F.count("*").alias("n"), F.min("whole").alias("whole")), "block-units")
         distinct = self.by_block.groupBy("unit").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"))
         encoded = distinct.mapInArrow(_encoder(byte_file, piece_file), f"unit string, n long, whole boolean, ok boolean, a {_TOKENS}, b {_TOKENS}")
-        tokens = stored(encoded.withColumn("unit_id", F.monotonically_increasing_id()), "unit-tokens")
+        tokens = _settled(encoded.withColumn("unit_id", F.monotonically_increasing_id()), "unit-tokens")
         if cut and not tokens.filter("NOT ok AND NOT whole").isEmpty():
             self.__init__(docs, byte_file, piece_file, cut=False)
             return
-        with _co_located(docs.sparkSession):
-            self.units = stored(_aligned(tokens.filter("ok")), "units")
+        self.units = _settled(_aligned(tokens.filter("ok")), "units")
         counts = self.units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
         # A B id has as many partners as A has ids at most.
         self.pairs = stored(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))), "pairs")
@@ -179,14 +178,14 @@ class Alignment:
 
 def _aligned(tokens: DataFrame) -> DataFrame:
     """The units of encoded ones."""
-    dealt = tokens.repartition("unit_id")
-
-    def side(name: str) -> DataFrame:
-        placed = dealt.select("unit_id", F.posexplode(name).alias("pos", "token"))
-        run = Window.partitionBy("unit_id").orderBy("pos")
-        return placed.select("unit_id", F.sum("token.len").over(run).alias("end"), F.col("token.id").alias(name))
-
-    both = side("a").join(side("b"), ["unit_id", "end"], "full")
+    def sided(name: str) -> Column:
+        return F.transform(name, lambda t: F.struct(F.lit(name).alias("side"), t.id.alias("id"), t.len.alias("len")))
+
+    placed = tokens.select("unit_id", F.concat(sided("a"), sided("b")).alias("tokens")).repartition("unit_id").select("unit_id", F.posexplode("tokens").alias("pos", "token")).select("unit_id", "pos", "token.*")
+    # Of each side in its order: a place of B lies behind all of A's.
+    run = Window.partitionBy("unit_id", "side").orderBy("pos")
+    ended = placed.select("unit_id", "side", "id", F.sum("len").over(run).alias("end"))
+    both = ended.groupBy("unit_id", "end").agg(*[F.max(F.when(F.col("side") == name, F.col("id"))).alias(name) for name in ("a", "b")])
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy("unit_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     grouped = both.withColumns({"cut": cut, "group": F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0))})
@@ -198,7 +197,7 @@ def _aligned(tokens: DataFrame) -> DataFrame:
     groups = grouped.groupBy("unit_id", "group").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.max(F.when(F.col("cut"), F.struct("a", "b"))).alias("link"))
     lists = groups.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("group", "text", "link"))).alias("g"))
     shown = lists.select("unit_id", F.array_join(F.col("g.text"), ";").alias("groups"), F.col("g.link").alias("links"))
-    return dealt.select("unit_id", "unit", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).join(shown, "unit_id")
+    return tokens.select("unit_id", "unit", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).join(shown, "unit_id")
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -207,7 +206,7 @@ _RESULT = "doc_id long, " + ", ".join(f"{n} long" for n in _NUMBERS) + ", groups
 
 def _assembled(cut: bool):
     """Documents of a block from the units of it."""
-    split = re.compile(CUT).split if cut else lambda full: [full]
+    split = re.compile(CUT).split if cut else lambda text: [text]
 
     def assemble(docs: pa.Table, units: pa.Table) -> pa.Table:
         index = {u: i for i, u in enumerate(units.column("unit").to_pylist())}
@@ -218,7 +217,7 @@ def _assembled(cut: bool):
         for batch in docs.column("text").chunks:
             for text in batch:
                 text = text.as_py()
-                own = ([f" {text}"] if _SPACE_PIECE in text else split(f" {text}")) if text else []
+                own = ([text] if _SPACE_PIECE in text else split(text)) if text else []
                 at = [index.get(u, -1) for u in own]
                 if not at or -1 in at:  # none, or not spelt
                     shas.append("")
