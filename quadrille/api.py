@@ -20,6 +20,7 @@ from quadrille.operators.extract import extract
 from quadrille.operators.order import spatially_sorted
 from quadrille.plans.predicate import Predicate
 from quadrille.sources import cache, index, names, sink
+from quadrille.sources.grouped import grouped_extract
 from quadrille.sources.lake import Lake
 from quadrille.sources.shared import removed
 
@@ -77,14 +78,13 @@ def clear_release_indexes_cache() -> None:
 
 
 def features(theme: str, type: str, geometry_filter: Geometry | None = None, release: str | None = None, pyarrow_filter: Predicate | None = None, columns_to_download: Sequence[str] | None = None) -> DataFrame:
-    """The extract as a lazy DataFrame; with an index, only files whose row groups can hold the region are listed."""
+    """The extract as a lazy DataFrame; with an index, only row groups that can hold the region are read."""
     s = _s()
-    files = None
+    whole = s.lake.read(theme, type, release)
     if s.index_root and geometry_filter is not None:
-        files = index.pruned_files(index.load_release_index(s.lake, s.index_root, theme, type, release, geometry_filter))
-        if not files:
-            return extract(s.lake.read(theme, type, release), geometry_filter, pyarrow_filter, columns_to_download).limit(0)
-    return extract(s.lake.read(theme, type, release, files), geometry_filter, pyarrow_filter, columns_to_download)
+        kept = index.load_release_index(s.lake, s.index_root, theme, type, release, geometry_filter)
+        return grouped_extract(whole, [(r.filename, r.row_group) for r in kept.collect()], geometry_filter, pyarrow_filter, columns_to_download)
+    return extract(whole, geometry_filter, pyarrow_filter, columns_to_download)
 
 
 def _listed(pairs: Sequence[Pair], values: Any, what: str) -> list:

@@ -375,13 +375,3 @@ def _(spark, sf):
     rows = row_group_rows(spark, lake.files("base", "point", release))
     b = F.col("bbox")
     return boxes.join(rows, ["filename", "row_group"]).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"))
-
-
-@_register("theme_type_pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{u}', '{','.join(c)}')" for (t, u), c in sorted(W.HIERARCHIES.items())) + ") AS v(theme, type, levels)")
-def _(spark, sf):
-    """The tables that a lake has folders of, with their hierarchies."""
-    lake, release = Lake(spark, f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"), "2024-09-18.0"
-    for theme, type_ in W.HIERARCHIES:
-        spark.createDataFrame([("a",)], "id string").coalesce(1).write.parquet(lake.folder(theme, type_, release))
-    known = W.hierarchies(release)
-    return spark.createDataFrame([(t, u, ",".join(known[t, u])) for t, u in lake.pairs()], "theme string, type string, levels string")

@@ -1,8 +1,8 @@
 """Registered queries that write a lake, its indexes and result files into the shared folder, and read them back.
 
-Orders, order lines and parts become features with a point each.  A table's
-rows lie in one file, in order of x, y and id, so that SQL can tell its row
-groups.
+Orders, order lines and parts become features with a point each.  A table has a
+file for each quarter of longitudes, its rows in order of x, y and id, so that
+SQL can tell files and row groups.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,22 @@ from quadrille import api, cli
 from quadrille.catalogue import BOX, FLAGS, LINE_STATUSES, LINES, ORDERS, PLACES, PRIORITIES, STATUSES, TAXONOMY, TRIANGLE, TYPES, WORDS, _half_planes, _name, _place_names, _register, _strict, _wide_sql
 from quadrille.functions.geometry import Geometry
 from quadrille.functions.hilbert import curve_position, hilbert_key
+from quadrille.operators import wide as W
 from quadrille.operators.extract import extract
 from quadrille.operators.order import WORLD
 from quadrille.sources import fixtures as fx
 from quadrille.sources import index, names, regions
+from quadrille.sources.grouped import grouped_extract
 from quadrille.sources.lake import Lake
 from quadrille.sources.rowgroups import map_parquet_dataset, row_group_scan
-from quadrille.sources.shared import shared_dir
+from quadrille.sources.shared import made_folder, shared_dir
 from quadrille.sources.sink import write_dataset
 from quadrille.streaming.stateless import extract_stream, feature_stream
 
 RELEASE = "2024-09-18.0"
 WATER, LAND, PLACE = ("base", "water"), ("base", "land_use"), ("places", "place")
-#: Rows in a row group of the lake.
-GROUP = 2_000
+#: Rows in a row group of the lake, and files of a table.
+GROUP, FILES = 2_000, 4
 
 
 def _sql_point(id_: str) -> str:
@@ -52,8 +55,8 @@ IN_BOX = _strict(BOX)
 
 
 def _grouped(points: str) -> str:
-    """The rows with their row group."""
-    return f"SELECT *, ((row_number() OVER (ORDER BY lon, lat, id) - 1) // {GROUP})::INTEGER AS row_group FROM ({points})"
+    """The rows with their file's number and their row group there."""
+    return f"SELECT *, ((row_number() OVER (PARTITION BY part ORDER BY lon, lat, id) - 1) // {GROUP})::INTEGER AS row_group FROM (SELECT *, floor((lon + 180) / {360 // FILES})::INTEGER AS part FROM ({points}))"
 
 
 def _located(df: DataFrame) -> DataFrame:
@@ -68,8 +71,8 @@ def _lake(spark: SparkSession, sf: str, *pairs: tuple[str, str]) -> Lake:
     lake = Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
     source = {WATER: fx.order_features, LAND: fx.line_features, PLACE: fx.place_features}
     for pair in pairs:
-        rows = _located(source[pair](spark, sf)).orderBy("bbox.xmin", "bbox.ymin", "id").coalesce(1)
-        write_dataset(rows, lake.folder(*pair, RELEASE), sort=False, row_group_size=GROUP)
+        rows = _located(source[pair](spark, sf)).repartitionById(FILES, F.floor((F.col("bbox.xmin") + 180) / (360 // FILES)).cast("int"))
+        write_dataset(rows.sortWithinPartitions("bbox.xmin", "bbox.ymin", "id"), lake.folder(*pair, RELEASE), sort=False, row_group_size=GROUP)
     return lake
 
 
@@ -96,7 +99,7 @@ def _(spark, sf):
     return spark.createDataFrame(counted, "release string, theme string, type string, n long")
 
 
-@_register("index_row_groups", f"SELECT row_group, count(*) AS n, min(lon) AS xmin, max(lon) AS xmax, min(lat) AS ymin, max(lat) AS ymax FROM ({_grouped(ORDER_POINTS)}) GROUP BY row_group")
+@_register("index_row_groups", f"SELECT row_group, count(*) AS n, min(lon) AS xmin, max(lon) AS xmax, min(lat) AS ymin, max(lat) AS ymax FROM ({_grouped(ORDER_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     lake = _lake(spark, sf, WATER)
     found = index.load_release_index(lake, f"{lake.root}-index", *WATER, RELEASE)
@@ -104,7 +107,7 @@ def _(spark, sf):
     return found.join(rows, ["filename", "row_group"]).select("row_group", F.col("rows").alias("n"), "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
 
 
-@_register("index_in_order", f"SELECT row_group AS place, row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY row_group")
+@_register("index_in_order", f"SELECT (row_number() OVER (ORDER BY part, row_group) - 1)::INTEGER AS place, row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     """The index's rows as it gives them: by file and row group, though stored along the curve."""
     lake = _lake(spark, sf, LAND)
@@ -115,13 +118,13 @@ def _(spark, sf):
 _PRUNED = Geometry.box(-60, -30, 0, 30)
 
 
-@_register("index_pruned_groups", f"SELECT row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY row_group HAVING min(lon) <= 0 AND max(lon) >= -60 AND min(lat) <= 30 AND max(lat) >= -30")
+@_register("index_pruned_groups", f"SELECT row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY part, row_group HAVING min(lon) <= 0 AND max(lon) >= -60 AND min(lat) <= 30 AND max(lat) >= -30")
 def _(spark, sf):
     lake = _lake(spark, sf, LAND)
     return index.load_release_index(lake, f"{lake.root}-index", *LAND, RELEASE, _PRUNED).select("row_group")
 
 
-@_register("index_of_several_tables", f"SELECT 'base' AS theme, 'water' AS type, row_group FROM ({_grouped(ORDER_POINTS)}) GROUP BY row_group UNION ALL SELECT 'places', 'place', row_group FROM ({_grouped(PLACE_POINTS)}) GROUP BY row_group")
+@_register("index_of_several_tables", f"SELECT 'base' AS theme, 'water' AS type, row_group FROM ({_grouped(ORDER_POINTS)}) GROUP BY part, row_group UNION ALL SELECT 'places', 'place', row_group FROM ({_grouped(PLACE_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     lake = _lake(spark, sf, WATER, PLACE)
     return index.load_release_indexes(lake, f"{lake.root}-index", [WATER, PLACE], RELEASE).select("theme", "type", "row_group")
@@ -146,6 +149,21 @@ def _(spark, sf):
     return rows.select("id", "class", F.col("bbox.xmin").alias("lon"))
 
 
+_KEPT = f"SELECT part, row_group FROM ({_grouped(ORDER_POINTS)}) GROUP BY part, row_group HAVING min(lon) <= {BOX[2]} AND max(lon) >= {BOX[0]} AND min(lat) <= {BOX[3]} AND max(lat) >= {BOX[1]}"
+
+
+@_register("lake_groups_read", f"SELECT part, row_group, count(*) FILTER (WHERE {IN_BOX} AND subtype = 'F') AS n, 'id,subtype,bbox' AS columns FROM ({_grouped(ORDER_POINTS)}) JOIN ({_KEPT}) USING (part, row_group) GROUP BY part, row_group")
+def _(spark, sf):
+    """What an extract reads of the lake, as its tasks tell: row groups that the index keeps, columns that are needed, rows that pass."""
+    lake = _lake(spark, sf, WATER)
+    box, trace = Geometry.box(*BOX), f"{lake.root}-trace"
+    kept = [tuple(r) for r in index.load_release_index(lake, f"{lake.root}-index", *WATER, RELEASE, box).select("filename", "row_group").collect()]
+    rows = grouped_extract(lake.read(*WATER, RELEASE).drop("geometry"), kept, box, [("subtype", "=", "F")], ["subtype"], trace=made_folder(spark, trace))
+    rows.select("id").write.format("noop").mode("overwrite").save()
+    told = spark.read.schema("file string, row_group int, columns array<string>, rows long").json(trace)
+    return told.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part"), "row_group", F.col("rows").alias("n"), F.array_join("columns", ",").alias("columns"))
+
+
 @_register("lake_extract_polygon", f"SELECT id FROM ({LINE_POINTS}) WHERE {_strict(Geometry.polygon(TRIANGLE).bounds)} AND {_half_planes(TRIANGLE)}")
 def _(spark, sf):
     _configured(spark, sf, LAND)
@@ -242,7 +260,7 @@ def _(spark, sf):
     return extract(_located(fx.order_features(spark, sf)), one).select("id", F.col("bbox.xmin").alias("lon"), F.col("bbox.ymin").alias("lat"))
 
 
-@_register("row_group_map", f"SELECT row_group, count(*) AS n, sum(id)::BIGINT AS total FROM ({_grouped(ORDER_POINTS)}) GROUP BY row_group")
+@_register("row_group_map", f"SELECT row_group, count(*) AS n, sum(id)::BIGINT AS total FROM ({_grouped(ORDER_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     """A function over each row group."""
     lake = _lake(spark, sf, WATER)
@@ -254,7 +272,7 @@ def _(spark, sf):
     return map_parquet_dataset(spark, lake.files(*WATER, RELEASE), told, "row_group int, n long, total long", ["id"])
 
 
-@_register("row_group_extract", f"SELECT id, class FROM ({_grouped(ORDER_POINTS)}) WHERE row_group = 0 AND lat > 0 AND lat < 30 AND lon < 180 AND lon > -180 AND subtype = 'F'")
+@_register("row_group_extract", f"SELECT id, class FROM ({_grouped(ORDER_POINTS)}) WHERE part = 0 AND row_group = 0 AND lat > 0 AND lat < 30 AND lon < 180 AND lon > -180 AND subtype = 'F'")
 def _(spark, sf):
     lake = _lake(spark, sf, WATER)
     return row_group_scan(spark, lake.files(*WATER, RELEASE)[0], 0, Geometry.box(-180, 0, 180, 30), [("subtype", "=", "F")], ["class"]).select("id", "class")
@@ -374,3 +392,12 @@ def _(spark, sf):
 @_register("polygon_intersects_polygons", f"SELECT id FROM ({_CORNER}) WHERE {_NEAR} AND NOT ({_apart([('x', 'y'), ('x + dx', 'y'), ('x', 'y + dy'), ('x + dx', 'y + dy')], [*_NORMALS, ('1', '0'), ('0', '1')])})")
 def _(spark, sf):
     return extract(_shapes(spark, sf, "box"), Geometry.polygon(TRIANGLE)).select("id")
+
+
+@_register("theme_type_pairs", " UNION ALL ".join(f"SELECT '{t}' AS theme, '{u}' AS type, '{','.join(W.HIERARCHIES[t, u])}' AS levels, count(*) AS n FROM ({sql})" for (t, u), sql in TABLES.items()))
+def _(spark, sf):
+    """The tables that a lake has folders of, with their hierarchies and rows."""
+    lake = _lake(spark, sf, *TABLES)
+    known = W.hierarchies(RELEASE)
+    parts = [lake.read(t, u, RELEASE).agg(F.count("*").alias("n")).select(F.lit(t).alias("theme"), F.lit(u).alias("type"), F.lit(",".join(known[t, u])).alias("levels"), "n") for t, u in lake.pairs(RELEASE)]
+    return reduce(DataFrame.unionByName, parts)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quadrille.functions.geometry import Geometry
-from quadrille.operators.extract import extract
 from quadrille.plans.predicate import Predicate
+from quadrille.sources.grouped import grouped_extract, opened
 from quadrille.sources.index import row_group_counts
 
 #: (file, row group, its table) to a table.
@@ -19,9 +19,8 @@ OnTable = Callable[[str, int, pa.Table], pa.Table]
 
 def _opened(name: str):
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(name) if ":" in name.split("/")[0] else (fs.LocalFileSystem(), name)
+    store, path = opened(name)
     return pq.ParquetFile(store.open_input_file(path))
 
 
@@ -46,7 +45,5 @@ def map_parquet_dataset(spark: SparkSession, files: Sequence[str], function: OnT
 
 
 def row_group_scan(spark: SparkSession, filename: str, row_group: int, region: Geometry | None = None, where: Predicate | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """The extract of one row group."""
-    schema = spark.read.parquet(filename).schema
-    whole = map_row_groups(spark, [(filename, row_group)], lambda _f, _g, table: table, schema)
-    return extract(whole, region, where, columns)
+    """The extract of one row group: its columns and rows alone are read."""
+    return grouped_extract(spark.read.parquet(filename), [(filename, row_group)], region, where, columns)

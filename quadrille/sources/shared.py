@@ -24,3 +24,10 @@ def removed(spark: SparkSession, path: str) -> bool:
     """Deletes a file or folder on any file system that Spark reads; False if there is none."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def made_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    return path
