@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import Geometry
+from quadrille.functions.robust import orientation
 
 #: Cells of one points-by-edges matrix.
 _CELLS = 1 << 22
@@ -15,11 +16,28 @@ _CELLS = 1 << 22
 
 def on_segments(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """For each point, whether it lies on any edge, ends included."""
+    out = np.zeros(len(points), bool)
+    step = max(1, _CELLS // max(1, len(edges)))
+    for i in range(0, len(points), step):
+        out[i : i + step] = _beside(points[i : i + step], edges)[1].any(1)
+    return out
+
+
+def _beside(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point and edge: whether the edge passes to the right of the point, and whether the point lies on it.
+
+    Orientation is asked only of edges whose range of y holds the point.
+    """
     x, y = points[:, :1], points[:, 1:]
     x0, y0, x1, y1 = edges.T
-    cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-    near = (np.minimum(x0, x1) <= x) & (x <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
-    return ((cross == 0) & near).any(1)
+    level = (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
+    i, j = np.nonzero(level & (x <= np.maximum(x0, x1)))
+    sign = orientation(x0[j], y0[j], x1[j], y1[j], points[i, 0], points[i, 1])
+    passes, holds = np.zeros(level.shape, bool), np.zeros(level.shape, bool)
+    up = y1[j] > y0[j]
+    passes[i, j] = ((y0[j] > points[i, 1]) != (y1[j] > points[i, 1])) & (sign == np.where(up, 1, -1))
+    holds[i, j] = (sign == 0) & (np.minimum(x0[j], x1[j]) <= points[i, 0])
+    return passes, holds
 
 
 def in_polygon(points: np.ndarray, rings: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -28,31 +46,24 @@ def in_polygon(points: np.ndarray, rings: tuple[np.ndarray, ...]) -> np.ndarray:
     out = np.zeros(len(points), bool)
     step = max(1, _CELLS // max(1, len(edges)))
     for i in range(0, len(points), step):
-        part = points[i : i + step]
-        x, y = part[:, :1], part[:, 1:]
-        x0, y0, x1, y1 = edges.T
-        spans = (y0 > y) != (y1 > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            right = x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
-        out[i : i + step] = ((spans & right).sum(1) % 2 == 1) | on_segments(part, edges)
+        passes, holds = _beside(points[i : i + step], edges)
+        out[i : i + step] = (passes.sum(1) % 2 == 1) | holds.any(1)
     return out
 
 
-def _side(ax, ay, bx, by, px, py):
-    return np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
-
-
 def segments_meet(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether any edge of `a` meets any edge of `b`, ends included."""
     step = max(1, _CELLS // max(1, len(b)))
-    bx0, by0, bx1, by1 = b.T
-    for i in range(0, len(a), step):
-        ax0, ay0, ax1, ay1 = (a[i : i + step, j : j + 1] for j in range(4))
-        near = (np.minimum(ax0, ax1) <= np.maximum(bx0, bx1)) & (np.minimum(bx0, bx1) <= np.maximum(ax0, ax1)) & (np.minimum(ay0, ay1) <= np.maximum(by0, by1)) & (np.minimum(by0, by1) <= np.maximum(ay0, ay1))
-        if not near.any():
+    low, high = np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])
+    for k in range(0, len(a), step):
+        part = a[k : k + step]
+        least, most = np.minimum(part[:, :2], part[:, 2:]), np.maximum(part[:, :2], part[:, 2:])
+        i, j = np.nonzero(((least[:, None] <= high) & (low <= most[:, None])).all(2))
+        if not len(i):
             continue
-        across = (_side(ax0, ay0, ax1, ay1, bx0, by0) * _side(ax0, ay0, ax1, ay1, bx1, by1) <= 0) & (_side(bx0, by0, bx1, by1, ax0, ay0) * _side(bx0, by0, bx1, by1, ax1, ay1) <= 0)
-        if (near & across).any():
+        p, q = part[i].T, b[j].T
+        across = (orientation(*p, q[0], q[1]) * orientation(*p, q[2], q[3]) <= 0) & (orientation(*q, p[0], p[1]) * orientation(*q, p[2], p[3]) <= 0)
+        if across.any():
             return True
     return False
 
