@@ -1,20 +1,23 @@
 """Spatial extracts: rows of a feature table whose geometry meets a region.
 
 The box test compares the bbox struct, strictly, with native expressions that
-reach the Parquet scan; the exact test runs only for regions that are no
-rectangle, on rows that pass the box.
+reach the Parquet scan.  For regions that are no rectangle a covering decides
+natively what lies in a cell inside or outside; the exact test gets the
+geometries of the rest alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.errors import MissingColumnError
+from quadrille.functions.covering import BORDER, INSIDE, OUTSIDE, covered_intersects, covering
 from quadrille.functions.geometry import Geometry
-from quadrille.functions.intersects import st_intersects
 from quadrille.plans.predicate import Predicate, compiled
 
 ID, GEOMETRY, BBOX = "id", "geometry", "bbox"
@@ -58,5 +61,15 @@ def extract(features: DataFrame, region: Geometry | None = None, where: Predicat
     if test is not None:
         df = df.where(test)
     if region is not None and (not region.is_rectangle if exact is None else exact):
-        df = df.where(st_intersects(F.col(GEOMETRY), region))
+        df = _exact(df, region)
     return projected(df, columns)
+
+
+def _exact(df: DataFrame, region: Geometry) -> DataFrame:
+    """Rows whose geometry meets the region; geometries that the covering decides don't go to Python."""
+    side = df.schema[BBOX].dataType["xmin"].dataType
+    cover = covering(region, float_boxes=isinstance(side, T.FloatType))
+    kind = "kind-" + uuid.uuid4().hex
+    told = df.withColumn(kind, cover.kind(BBOX)).where(F.col(kind) != OUTSIDE)
+    unsure = F.when(F.col(kind) == BORDER, F.col(GEOMETRY))
+    return told.where((F.col(kind) == INSIDE) & F.col(GEOMETRY).isNotNull() | covered_intersects(unsure, cover)).drop(kind)
