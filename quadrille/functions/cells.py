@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from quadrille.functions.geometry import Geometry
+from quadrille.functions.overlay import union
 
 #: The geohash alphabet.
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -24,7 +25,7 @@ def geohash_bounds(code: str) -> tuple[float, float, float, float]:
 
 def geohash_region(codes: str) -> Geometry:
     """The union of comma-separated geohash cells."""
-    return Geometry.union(*(Geometry.box(*geohash_bounds(c.strip())) for c in codes.split(",")))
+    return union(Geometry.box(*geohash_bounds(c.strip())) for c in codes.split(","))
 
 
 #: Order of the four children along the curve as (i, j), and how the orientation changes, by orientation (bit 0: swapped, bit 1: inverted).
@@ -66,7 +67,7 @@ def _lonlat(face: int, u: float, v: float) -> tuple[float, float]:
 
 def s2_region(tokens: str) -> Geometry:
     """The union of comma-separated S2 cells."""
-    return Geometry.union(*(s2_cell(t) for t in tokens.split(",")))
+    return union(s2_cell(t) for t in tokens.split(","))
 
 
 def h3_region(cells: str) -> Geometry:
@@ -75,4 +76,4 @@ def h3_region(cells: str) -> Geometry:
         import h3
     except ImportError as absent:
         raise NotImplementedError("H3 cells need the h3 package") from absent
-    return Geometry.union(*(Geometry.polygon([(lng, lat) for lat, lng in h3.cell_to_boundary(c.strip())]) for c in cells.split(",")))
+    return union(Geometry.polygon([(lng, lat) for lat, lng in h3.cell_to_boundary(c.strip())]) for c in cells.split(","))

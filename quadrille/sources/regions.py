@@ -9,6 +9,7 @@ from pathlib import Path
 from quadrille.errors import BadParameter
 from quadrille.functions.cells import geohash_region, h3_region, s2_region
 from quadrille.functions.geometry import Geometry
+from quadrille.functions.overlay import dissolved, union
 
 
 def from_bbox(text: str) -> Geometry:
@@ -52,14 +53,14 @@ def from_h3(text: str) -> Geometry:
 
 
 def from_file(path: str) -> Geometry:
-    """A GeoJSON or WKT file; several WKT lines are one region."""
+    """A GeoJSON or WKT file; several features or WKT lines are one region, without borders between them."""
     try:
         text = Path(path).read_text()
     except OSError as e:
         raise BadParameter(f"Cannot read {path}") from e
     if text.lstrip().startswith("{"):
-        return from_geojson(text)
-    return Geometry.union(*(from_wkt(line) for line in text.splitlines() if line.strip()))
+        return dissolved(from_geojson(text))
+    return union(from_wkt(line) for line in text.splitlines() if line.strip())
 
 
 def geocode(query: str, cache: str = "geocoding_cache") -> Geometry:
