@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.cells import geohash_bounds, geohash_region
+from quadrille.functions.cells import GEOHASH, geohash_bounds, geohash_region
 from quadrille.functions.geometry import Geometry
 from quadrille.functions.hilbert import hilbert_key
 from quadrille.operators import wide as W
 from quadrille.operators.extract import extract, in_box, projected, touches_box
 from quadrille.operators.order import WORLD, spatially_sorted
+from quadrille.operators.spatial_join import spatial_join
 from quadrille.plans.predicate import compiled, parsed_all
 from quadrille.sources import fixtures as fx
 from quadrille.sources.index import load_release_index, row_group_rows
@@ -185,6 +186,61 @@ def _(spark, sf):
     return extract(fx.points(spark, sf, wkb=True), geohash_region(GEOHASHES)).select("id", "lon", "lat")
 
 
+@_register("geohash_union_is_a_box", f"SELECT id, lon, lat FROM ({POINTS}) WHERE {_strict(geohash_bounds('s'), 'lon', 'lon', 'lat', 'lat')}")
+def _(spark, sf):
+    """The 32 parts of a cell are the cell: the strict box test alone decides."""
+    parts = ",".join(f"s{c}" for c in GEOHASH)
+    return extract(fx.points(spark, sf, wkb=True), geohash_region(parts)).select("id", "lon", "lat")
+
+
+def _zigzag(teeth: int) -> list[tuple[float, float]]:
+    """A saw of this many teeth above a straight base, by whole numbers."""
+    top = [(60.0 - 120.0 * k / (2 * teeth), 40.0 if k % 2 else 10.0 + k % 5) for k in range(2 * teeth + 1)]
+    return [(-60.0, -30.0), (60.0, -30.0), *top]
+
+
+SAW = _zigzag(60)
+_SAW_EDGES = ", ".join(f"({a!r}, {b!r}, {c!r}, {d!r})" for (a, b), (c, d) in zip(SAW, [*SAW[1:], SAW[0]], strict=True))
+_SAW_CROSS = "(x1 - x0) * (lat - y0) - (y1 - y0) * (lon - x0)"
+
+
+@_register(
+    "polygon_by_cells",
+    f"WITH edges(x0, y0, x1, y1) AS (VALUES {_SAW_EDGES}), near AS (SELECT id, lon, lat FROM ({POINTS}) WHERE {_strict(Geometry.polygon(SAW).bounds)}) "
+    f"SELECT id, lon, lat FROM near JOIN edges ON TRUE GROUP BY id, lon, lat HAVING count(*) FILTER (WHERE (y0 > lat) <> (y1 > lat) AND ({_SAW_CROSS} > 0) = (y1 > y0)) % 2 = 1 "
+    f"OR count(*) FILTER (WHERE {_SAW_CROSS} = 0 AND lon BETWEEN least(x0, x1) AND greatest(x0, x1) AND lat BETWEEN least(y0, y1) AND greatest(y0, y1)) > 0",
+)
+def _(spark, sf):
+    """Cells of the region decide most points natively, its border's edges the others."""
+    return extract(fx.points(spark, sf, wkb=True), Geometry.polygon(SAW)).select("id", "lon", "lat")
+
+
+RECTANGLES = """SELECT id, x AS xmin, x + w AS xmax, y AS ymin, y + h AS ymax FROM (
+    SELECT s_suppkey::BIGINT AS id, cast((s_suppkey * 7919) % 360 - 180 AS double) AS x, cast((s_suppkey * 104729) % 180 - 90 AS double) AS y, cast(s_suppkey % 7 AS double) AS w, cast(s_suppkey % 5 AS double) AS h FROM supplier
+    UNION ALL SELECT (-1 - n_nationkey)::BIGINT, cast(n_nationkey * 13 - 180 AS double), cast(n_nationkey * 5 - 90 AS double), 40e0, 25e0 FROM nation)"""
+
+
+@_register("spatial_join_boxes", f"SELECT p.id, r.id AS rectangle FROM ({POINTS}) p JOIN ({RECTANGLES}) r ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax")
+def _(spark, sf):
+    """Points by the rectangles that hold them."""
+    return spatial_join(fx.points(spark, sf).select("id", "bbox"), fx.rectangles(spark, sf)).select("left.id", F.col("right.id").alias("rectangle"))
+
+
+@_register("spatial_join_of_one_table", f"SELECT a.id, b.id AS other FROM ({RECTANGLES}) a JOIN ({RECTANGLES}) b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax")
+def _(spark, sf):
+    rows = fx.rectangles(spark, sf)
+    return spatial_join(rows, rows).select("left.id", F.col("right.id").alias("other"))
+
+
+@_register(
+    "spatial_join_polygons",
+    f"SELECT p.id, r.id AS triangle FROM ({POINTS}) p JOIN ({RECTANGLES}) r ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE xmax > xmin AND ymax > ymin AND (lon - xmin) * (ymax - ymin) + (lat - ymin) * (xmax - xmin) <= (xmax - xmin) * (ymax - ymin)",
+)
+def _(spark, sf):
+    """Points by the triangles that hold them."""
+    return spatial_join(fx.points(spark, sf, wkb=True).select("id", "bbox", "geometry"), fx.triangles(spark, sf), exact=True).select("left.id", F.col("right.id").alias("triangle"))
+
+
 @_register("hilbert_key_counts", f"SELECT least(greatest(floor((lon + 180) / 360 * 4), 0), 3)::BIGINT AS cx, least(greatest(floor((lat + 90) / 180 * 4), 0), 3)::BIGINT AS cy, count(*) AS n, 1::BIGINT AS keys FROM ({POINTS}) GROUP BY ALL")
 def _(spark, sf):
     """Each cell of a 4 by 4 grid is one run of the curve: its points have one key prefix."""

@@ -59,3 +59,22 @@ def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("p_type").alias("primary"), F.expr("case when p_size % 4 = 0 then null else split(p_name, ' ') end").alias("alternate")).alias("categories"),
         F.expr("cast(p_size as double) / 5e1").alias("confidence"),
     )
+
+
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, bbox: a box for each supplier, and a wide one for each nation (ids below 0)."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS id", "cast((s_suppkey * 7919) % 360 - 180 AS double) AS x", "cast((s_suppkey * 104729) % 180 - 90 AS double) AS y", "cast(s_suppkey % 7 AS double) AS w", "cast(s_suppkey % 5 AS double) AS h")
+    wide = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("-1 - n_nationkey AS id", "cast(n_nationkey * 13 - 180 AS double) AS x", "cast(n_nationkey * 5 - 90 AS double) AS y", "40e0 AS w", "25e0 AS h")
+    return own.unionByName(wide).selectExpr("cast(id AS long) AS id", "named_struct('xmin', x, 'xmax', x + w, 'ymin', y, 'ymax', y + h) AS bbox")
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, bbox, geometry: the lower left half of each rectangle that is no line, as a polygon."""
+
+    @F.arrow_udf("binary")
+    def half(xmin: pa.Array, xmax: pa.Array, ymin: pa.Array, ymax: pa.Array) -> pa.Array:
+        head = (1).to_bytes(1, "little") + b"".join(v.to_bytes(4, "little") for v in (3, 1, 4))
+        return pa.array([head + np.array([a, c, b, c, a, d, a, c], "<f8").tobytes() for a, b, c, d in zip(*(v.to_pylist() for v in (xmin, xmax, ymin, ymax)), strict=True)], pa.binary())
+
+    df = rectangles(spark, sf_dir).where("bbox.xmax > bbox.xmin AND bbox.ymax > bbox.ymin")
+    return df.withColumn("geometry", half(*[F.col(f"bbox.{k}") for k in ("xmin", "xmax", "ymin", "ymax")]))

@@ -26,7 +26,7 @@ RELEASE = "2024-09-18.0"
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
-    for t in ("events", "lineitem", "orders", "part"):
+    for t in ("events", "supplier", "nation", "lineitem", "orders", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
