@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,6 +242,14 @@ def _(spark, sf):
     return spatial_join(fx.points(spark, sf, wkb=True).select("id", "bbox", "geometry"), fx.triangles(spark, sf), exact=True).select("left.id", F.col("right.id").alias("triangle"))
 
 
+@_register("arrow_expression", f"SELECT id, kind FROM (SELECT *, nullif(event_type, 'error') AS kind FROM ({POINTS})) WHERE (kind IS NULL OR kind <> 'view') AND value * 2 > 100 OR lon = 12.5")
+def _(spark, sf):
+    """A predicate as callers of Arrow write it: `not in` keeps null."""
+    df = fx.points(spark, sf).withColumn("kind", F.expr("nullif(event_type, 'error')"))
+    test = ~pc.field("kind").isin(["view"]) & (pc.field("value") * 2 > 100) | (pc.field("bbox", "xmin") == 12.5)
+    return extract(df, where=test).select("id", "kind")
+
+
 @_register("hilbert_key_counts", f"SELECT least(greatest(floor((lon + 180) / 360 * 4), 0), 3)::BIGINT AS cx, least(greatest(floor((lat + 90) / 180 * 4), 0), 3)::BIGINT AS cy, count(*) AS n, 1::BIGINT AS keys FROM ({POINTS}) GROUP BY ALL")
 def _(spark, sf):
     """Each cell of a 4 by 4 grid is one run of the curve: its points have one key prefix."""

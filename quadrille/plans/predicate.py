@@ -1,4 +1,4 @@
-"""Attribute predicates: disjunctive normal form, SQL text or a Column, compiled to a Column.
+"""Attribute predicates: disjunctive normal form, SQL text, an Arrow expression or a Column, compiled to a Column.
 
 Null and NaN follow Arrow's filters: a row whose test is null is dropped, but
 `not in` keeps null, `in` with None matches null, and no ordering holds for NaN.
@@ -13,14 +13,16 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.errors import BadParameter
+from quadrille.plans.arrow import from_arrow
 
 Condition = tuple
-Predicate = Column | str | Sequence
+Predicate = Column | str | Sequence | pc.Expression
 
 
 def field(name: str | Sequence[str]) -> Column:
@@ -60,6 +62,8 @@ def compiled(predicate: Predicate | None, schema: T.StructType | None = None) ->
         return predicate
     if isinstance(predicate, str):
         return F.expr(predicate)
+    if isinstance(predicate, pc.Expression):
+        return from_arrow(predicate, schema)
     groups = [predicate] if predicate and _is_condition(predicate[0]) else list(predicate)
     if not groups or any(not g for g in groups):
         raise ValueError("Malformed filters")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow.compute as pc
 from pyspark.sql import Column
 
 from quadrille.functions.geometry import Geometry
@@ -20,6 +21,8 @@ def short(value: Any) -> str:
 def _filter(where: Any) -> str:
     if where is None:
         return "nofilter"
+    if isinstance(where, pc.Expression):  # its text leaves out the middle of long lists
+        return hashlib.sha256(where.__reduce__()[1][0]).hexdigest()[:8]
     return short(where._jc.toString() if isinstance(where, Column) and hasattr(where, "_jc") else where)
 
 
