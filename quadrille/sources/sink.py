@@ -7,21 +7,20 @@ import os
 import uuid
 from collections.abc import Sequence
 
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions.geometry import Geometry
 from quadrille.operators.order import KEY, WORLD, spatially_sorted, with_key
+from quadrille.sources.index import row_group_rows
 from quadrille.sources.lake import listed
 from quadrille.sources.shared import removed, shared_dir
+from quadrille.sources.splice import splice
 
 # The output's defaults.
 COMPRESSION, LEVEL, ROW_GROUP = "zstd", 3, 100_000
-BATCH = 10_000
 
 
 def geo_metadata(bounds: tuple[float, float, float, float] | None = None, types: Sequence[str] = (), covering: bool = True) -> dict:
@@ -46,13 +45,13 @@ def _writer(df: DataFrame, compression: str, level: int, row_group_size: int):
 
 
 def write_geoparquet(df: DataFrame, path: str, extent: tuple[float, float, float, float] | None = None, sort: bool = True, compression: str = COMPRESSION, level: int = LEVEL, row_group_size: int = ROW_GROUP, columns: Sequence[str] | None = None) -> str:
-    """One file on the driver's side with the geo key, made by Spark in parallel and put together batch by batch.
+    """One file on the driver's side with the geo key: row groups are written by tasks and spliced byte by byte.
 
-    Parts go through the folder that all executors share; a part that is
-    missing when they are put together is an error.  Rows are sorted by their
-    box, or by their geometry's if there is no bbox column; `columns` are
-    those that are written, all by default.  For results that belong in one
-    file; larger ones go to write_dataset.
+    Rows go through the folder that all executors share: once in order, to be
+    counted, then a row group for each task.  What is copied here is the
+    groups' bytes, in steps of a fixed size.  Rows are sorted by their box, or
+    by their geometry's if there is no bbox column; `columns` are those that
+    are written, all by default.
     """
     spark = df.sparkSession
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
@@ -63,25 +62,16 @@ def write_geoparquet(df: DataFrame, path: str, extent: tuple[float, float, float
         if sort and ("bbox" in df.columns or "geometry" in df.columns):
             out = with_key(df, extent or WORLD).repartitionByRange(KEY).sortWithinPartitions(KEY).drop(KEY)
         out = out.select(*[f"`{c}`" for c in columns]) if columns is not None else out
-        _writer(out, compression, level, row_group_size).parquet(parts)
-        written = spark.read.schema(out.schema).parquet(parts)
-        store, root = fs.FileSystem.from_uri(parts)
-        names = sorted(n for n, _, _ in listed(spark, parts) if n.endswith(".parquet"))
-        schema = _schema(store, f"{root}/{names[0]}", written)
-        rows = 0
-        with pq.ParquetWriter(own, schema, compression=compression, compression_level=level if compression in ("zstd", "gzip", "brotli") else None) as writer:
-            held: list[pa.RecordBatch] = []
-            for name in names:
-                with store.open_input_file(f"{root}/{name}") as part:
-                    for batch in pq.ParquetFile(part).iter_batches(min(BATCH, row_group_size)):
-                        held.append(batch)
-                        rows += batch.num_rows
-                        if sum(b.num_rows for b in held) >= row_group_size:
-                            held = _flushed(writer, held, schema, row_group_size)
-            if held:
-                _flushed(writer, held, schema, row_group_size, all_=True)
-        if rows != (there := written.count()):
-            raise RuntimeError(f"{rows} of {there} rows of {parts} reach the driver")
+        out.write.parquet(f"{parts}/sorted")
+        written = spark.read.schema(out.schema).parquet(f"{parts}/sorted")
+        grouped, there = _in_groups(spark, written, f"{parts}/sorted", row_group_size)
+        _writer(grouped, compression, level, row_group_size).parquet(f"{parts}/groups")
+        store, root = fs.FileSystem.from_uri(f"{parts}/groups")
+        keys = {"geo": json.dumps(_geo(written))} if "geometry" in written.columns else {}
+        with open(own, "wb") as one:
+            rows = splice(store, [f"{root}/{n}" for n in _in_order(spark, f"{parts}/groups")], one, keys)
+        if rows != there:
+            raise RuntimeError(f"{rows} of {there} rows of {parts} reach the file")
         os.replace(own, path)
     finally:
         removed(spark, parts)
@@ -90,23 +80,35 @@ def write_geoparquet(df: DataFrame, path: str, extent: tuple[float, float, float
     return path
 
 
-def _flushed(writer: pq.ParquetWriter, held: list[pa.RecordBatch], schema: pa.Schema, size: int, all_: bool = False) -> list[pa.RecordBatch]:
-    table = pa.Table.from_batches(held).cast(schema.remove_metadata()).replace_schema_metadata(schema.metadata)
-    full = table.num_rows if all_ else table.num_rows // size * size
-    writer.write_table(table.slice(0, full), row_group_size=size)
-    return table.slice(full).to_batches()
+def _in_order(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a write's files by their task's number."""
+    names = [n for n, _, _ in listed(spark, folder) if n.endswith(".parquet")]
+    return sorted(names, key=lambda n: int(n.split("-")[1]))
+
+
+def _in_groups(spark: SparkSession, written: DataFrame, folder: str, size: int) -> tuple[DataFrame, int]:
+    """The rows of ordered files with a partition for each row group, all full but the last; and how many rows there are."""
+    names = _in_order(spark, folder)
+    counted = {r.filename.rsplit("/", 1)[1]: r.rows for r in row_group_rows(spark, [f"{folder}/{n}" for n in names]).groupBy("filename").agg(F.sum("rows").alias("rows")).collect()}  # a row for each file
+    before, total = [], 0
+    for n in names:
+        before.append((n, total))
+        total += counted.get(n, 0)
+    name, place = (f"{k}-{uuid.uuid4().hex}" for k in ("name", "place"))
+    bases = spark.createDataFrame(before, T.StructType([T.StructField(name, T.StringType()), T.StructField(place, T.LongType())]))
+    rows = written.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias("row-" + place))
+    placed = rows.join(F.broadcast(bases), name).withColumn(place, F.col(place) + F.col("row-" + place))
+    groups = max(1, -(-total // size))
+    dealt = placed.repartitionById(groups, F.floor(F.col(place) / F.lit(size)).cast("int")).sortWithinPartitions(place)
+    return dealt.select(*[f"`{c}`" for c in written.columns]), total
 
 
 #: GeoParquet's names of WKB type codes.
 _TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
 
-def _schema(store: fs.FileSystem, file: str, written: DataFrame) -> pa.Schema:
-    """The parts' schema with the geo key: which types and which box the written rows have."""
-    with store.open_input_file(file) as f:
-        schema = pq.read_schema(f)
-    if "geometry" not in written.columns:
-        return schema.remove_metadata()
+def _geo(written: DataFrame) -> dict:
+    """The geo key's value: which types and which box the written rows have."""
     # Byte 1 tells the order of the four bytes of the code; thousands and high bits mark Z and M.
     code = F.expr("conv(hex(if(substring(geometry, 1, 1) = X'01', reverse(substring(geometry, 2, 4)), substring(geometry, 2, 4))), 16, 10)").cast("long")
     code = F.expr("cast(null as long)") if not isinstance(written.schema["geometry"].dataType, T.BinaryType) else code
@@ -115,7 +117,7 @@ def _schema(store: fs.FileSystem, file: str, written: DataFrame) -> pa.Schema:
     if boxed:
         found += [F.min("bbox.xmin").cast("double"), F.min("bbox.ymin").cast("double"), F.max("bbox.xmax").cast("double"), F.max("bbox.ymax").cast("double")]
     codes, *bounds = written.agg(*found).first()
-    return schema.with_metadata({"geo": json.dumps(geo_metadata(tuple(bounds) if bounds and None not in bounds else None, [_TYPES[c] for c in codes if c in _TYPES], boxed))})
+    return geo_metadata(tuple(bounds) if bounds and None not in bounds else None, [_TYPES[c] for c in codes if c in _TYPES], boxed)
 
 
 def to_frame(df: DataFrame):
