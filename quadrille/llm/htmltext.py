@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block element, and everything that
 is not prose by its element or its announced purpose (scripts, styles, forms,
 navigation, headers and footers of the page, asides, adverts, notices,
-comments) leaves an empty line for each block it had.  Lengths of text are
-summed over sliding windows of WINDOW lines.  From where the sum rises to
+comments) leaves an empty line for each block it had; inside a line such an
+element takes its own text with it and no more.  Lengths of text are summed over
+sliding windows of WINDOW lines.  From where the sum rises to
 where it dives to nothing is a stretch, and a stretch that surges, that is
 reaches SURGE in a window, is text.  On a page where no window reaches it, any
 text counts as a surge.
@@ -44,7 +45,7 @@ LINKED = 0.6
 
 # What HTML says about its elements.
 _BLOCKS = frozenset(
-    "address article aside blockquote body br-block button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -52,12 +53,15 @@ _DROPPED = frozenset("aside audio button canvas dialog fieldset footer form head
 _LISTS = ("ul", "ol", "dl", "select", "table", "menu")
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-_CLOSES_P = _BLOCKS - frozenset("body html button caption head li option td th tr tbody thead tfoot iframe object svg template textarea video audio canvas".split())
+_CLOSES_P = _BLOCKS - frozenset("body html caption head li td th tr tbody thead tfoot template".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
 _PURPOSE = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adslot|adsbygoogle|banner|breadcrumbs?|byline|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|feedback|footer|foot|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|paywall|popup|promo|promoted|promotion|recommended|related|replies|reply|respond|rss|share|sharing|shoutbox|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|tools|topbar|widget)(?:$|[-_\s0-9])",
     re.IGNORECASE,
 )
+# Inside the article a class or id has to say it in full: one of these kinds, with nothing beside it but words for places and boxes.
+_KINDS = frozenset("ad ads adbox adslot adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr menu nav navbar navigation newsletter notice notices notification notifications popup promo promoted promotion replies reply respond share sharing shoutbox sidebar signup social sponsor sponsored subscribe subscription".split())
+_BESIDE = frozenset("area bar block bottom box button buttons container content fixed form group icon icons inline inner item items js left link links list main module outer page panel post primary right row secondary section site slot sticky text thread title top unit widget wrap wrapper".split())
 _ARTICLE = re.compile(r"(?:^|[-_\s])(?:article[-_]?(?:body|content|text)?|entry[-_]?(?:content|text)|main[-_]?(?:content|text)|post[-_]?(?:body|content|text)|story[-_]?(?:body|content|text)?)(?:$|\s)", re.IGNORECASE)
 # A quote opens a value only directly behind `=`, and closes it only where an attribute can end; any other is part of the tag up to its `>`.
 _VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+')(?=\s|/?(?:>|\Z)|[a-zA-Z_:][-\w:.]*+\s*+=\s*+[\"'])"
@@ -100,7 +104,7 @@ def _purposeless(name: str, raw: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "main", "article"):
         return False
-    return _announced(given)
+    return _said_in_full(given) if in_article else _announced(given)
 
 
 def _announced(given: dict[str, str]) -> bool:
@@ -109,6 +113,15 @@ def _announced(given: dict[str, str]) -> bool:
     return bool(_PURPOSE.search(said)) and not _ARTICLE.search(said)
 
 
+def _said_in_full(given: dict[str, str]) -> bool:
+    """Whether a class or the id is one of _KINDS and no more: `share-links` is, `related-work` and `ad-hoc-analysis` aren't."""
+    for said in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[-_0-9]+", said) if w]
+        if any(w in _KINDS for w in words) and all(w in _KINDS or w in _BESIDE for w in words):
+            return True
+    return False
+
+
 def lines_of(source: str) -> list[Line]:
     """The page's lines in order: the text between the borders of block elements."""
     lines, here = [], Line()
@@ -130,8 +143,6 @@ def lines_of(source: str) -> list[Line]:
                 here.parts.append(raw)
                 if links:
                     here.linked += len(raw.strip())
-            elif raw.strip():
-                here.prose = False
 
     def pop() -> None:
         nonlocal drops, articles, links
@@ -163,7 +174,7 @@ def lines_of(source: str) -> list[Line]:
                 close()
             while len(stack) > depth:
                 pop()
-            if block:
+            if block or not here.parts:  # a line that began inside an element that ends here
                 here.prose, here.article = not drops, articles
             continue
         if name == "br":
@@ -179,7 +190,8 @@ def lines_of(source: str) -> list[Line]:
             around = max((places[x][-1] for x in _LISTS if places[x]), default=-1)
             ends = sorted(i for kind in _ENDS[name] for i in places[kind][bisect_right(places[kind], around) :])
             for i in reversed(ends):
-                close()
+                if block:
+                    close()
                 while len(stack) > i:
                     pop()
         if block:

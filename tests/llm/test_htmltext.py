@@ -36,6 +36,15 @@ CASES = {
     "teaser beside a body": (f"<div><h1>T</h1><div>{LONG}</div><div>{LONG}</div></div><article>x</article>", f"T\n\n{LONG}\n\n{LONG}\n\nx"),
     "related card": (f'<div>{LONG}</div><article class="related"><p>x</p></article>', f"{LONG}\n\nx"),
     "body without teaser": (f"<div><p>{LONG}</p></div><article><p>{LONG}</p><p>{LONG}</p><div></div><div></div><p>end</p></article>", f"{LONG}\n\n{LONG}\n\nend"),
+    "script in a line": ("<article><p>Long text <script>var x=1;</script> goes on.</p></article>", "Long text goes on."),
+    "style in a line": ("<article><p>Long text <style>p{}</style> goes on.</p></article>", "Long text goes on."),
+    "label in a line": ("<article><p>Long text <label>x</label> goes on.</p></article>", "Long text goes on."),
+    "share in a line": ('<article><p>Long text <span class="share">Share</span> goes on.</p></article>', "Long text goes on."),
+    "button in a line": ("<article><p>Press <label>OK</label> or <button>Go</button> to win.</p></article>", "Press or to win."),
+    "select in a line": ("<article><p>Choose <select><option>a<option>b</select> now.</p></article>", "Choose now."),
+    "blocks in a dropped span": ('<article><p>a</p>b <span class="share"><div>x</div> y</span> rest <b>bold</b></article>', "a\n\nb\n\nrest bold"),
+    "sections of the article": ('<article><p>a</p><div class="related-work"><p>b</p></div><section id="tools"><p>c</p></section><div class="ad-hoc-analysis">d</div><div class="entry-header">e</div></article>', "a\n\nb\n\nc\n\nd\n\ne"),
+    "kinds inside the article": ('<article><p>a</p><div class="ad ad-slot-3">b</div><div class="post-comments"><p>c</p></div><div id="newsletter_signup_form">d</div><div class="cookie-notice">e</div><p>f</p></article>', "a\n\nf"),
     "dive": (f"<p>{LONG}</p>{'<div></div>' * 9}<p>tail</p>", LONG),
 }
 
