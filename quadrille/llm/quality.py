@@ -149,9 +149,9 @@ def fit(texts: list[str], low: np.ndarray, weight: np.ndarray) -> QualityModel |
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1500) -> QualityModel | None:
-    """Fits on about `per_class` rows of each quality label (1 good, 0 low) among `usable` rows of `labels`."""
+    """Fits on about `per_class` rows of each quality label (1 good, 0 low) among `usable` rows of `labels`; other labels are left out."""
     marked = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    marked = marked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marked = marked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
     chosen, counts = drawn(marked, "quality", F.col("doc_id"), per_class)
     ids = chosen.sparkSession.createDataFrame(collected(chosen, "doc_id", 3 * per_class), chosen.schema)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most 3 * per_class ids
