@@ -461,11 +461,11 @@ _NONE = np.iinfo(np.int64).min
 
 def _sketched(sample: DataFrame) -> pa.Table:
     """Of each drawn row: id, label, fold, words, three minima of hashed word pairs, and the patterns that fire as bits."""
-    columns = ["doc_id", "toxic", "held", "n_words", "s0", "s1", "s2", "patterns"]
+    columns = ["doc_id", "toxic", "held", "row", "n_words", "s0", "s1", "s2", "patterns"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = lowered(batch.column(3))
+            low = lowered(batch.column(4))
             fired = np.stack([pc.match_substring_regex(low, p).to_numpy(zero_copy_only=False).astype(np.int64) << i for i, p in enumerate(PATTERNS)]).sum(0)
             for row, end, data, offsets in chunks(low):
                 got, sketches = read(data, offsets), []
@@ -477,9 +477,9 @@ def _sketched(sample: DataFrame) -> pa.Table:
                     least = np.full(end - row, _NONE)
                     least[docs[first]] = values[first]
                     sketches.append(pa.array(least))
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, end - row).columns[:3], pa.array(got.n_words), *sketches, pa.array(fired[row:end])], columns)
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, end - row).columns[:4], pa.array(got.n_words), *sketches, pa.array(fired[row:end])], columns)
 
-    return sample.select("doc_id", "toxic", "held", "text").mapInArrow(run, "doc_id long, toxic int, held boolean, n_words long, s0 long, s1 long, s2 long, patterns long").toArrow()
+    return sample.select("doc_id", "toxic", "held", "row", "text").mapInArrow(run, "doc_id long, toxic int, held boolean, row long, n_words long, s0 long, s1 long, s2 long, patterns long").toArrow()
 
 
 def _tallied(sample: DataFrame, weights: dict[int, float], names: np.ndarray | None) -> DataFrame:
@@ -505,7 +505,7 @@ def _tallied(sample: DataFrame, weights: dict[int, float], names: np.ndarray | N
 
 
 def _holdings(sample: DataFrame, names: np.ndarray) -> pa.Table:
-    """doc_id, toxic, held, at, times: which of `names` each drawn row holds, and in how many different words."""
+    """row, at, times: which of `names` each drawn row holds, and in how many different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(names)
@@ -514,27 +514,27 @@ def _holdings(sample: DataFrame, names: np.ndarray) -> pa.Table:
                 _, docs, at, times = own.found(data, offsets)
                 cuts = np.searchsorted(docs, np.arange(end - row + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (at, np.minimum(times, 1 << 20))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *lists], ["doc_id", "at", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *lists], ["row", "at", "times"])
 
-    return sample.select("doc_id", "text").mapInArrow(run, "doc_id long, at array<int>, times array<int>").toArrow()
+    return sample.select("row", "text").mapInArrow(run, "row long, at array<int>, times array<int>").toArrow()
 
 
 def drawn_rows(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int) -> tuple[DataFrame, dict]:
-    """doc_id, toxic, held, text of about `per_class` rows of each label, and the count of all labelled rows by label."""
+    """doc_id, toxic, held, text and number of about `per_class` rows of each label, and the count of all labelled rows by label."""
     marked = labels.filter(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     chosen, counts = drawn(marked, "toxic", F.col("doc_id"), per_class)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The drawn ids number about 2 * per_class, whatever the tables; their rows do too, as ids may repeat.
     rows = each_once(rows.join(F.broadcast(chosen), "doc_id"), "toxic", per_class).withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 4)
-    return stored(rows, "drawn"), counts
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "drawn"), counts
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3000, features: int = 2048) -> ToxicityModel | None:
     """Fits on about `per_class` rows of each toxic label among `usable` rows of `labels`, with `features` features at most."""
     sample, counts = drawn_rows(docs, labels, usable, per_class)
-    seen = _sketched(sample).sort_by([("doc_id", "ascending"), *((k, "ascending") for k in ("n_words", "s0", "s1", "s2", "patterns"))])
-    ids, toxic, held, n_words, *sketches, patterns = (seen.column(i).to_numpy() for i in range(8))
+    seen = _sketched(sample).sort_by([("doc_id", "ascending"), *((k, "ascending") for k in ("n_words", "s0", "s1", "s2", "patterns", "row"))])
+    ids, toxic, held, numbers, n_words, *sketches, patterns = (seen.column(i).to_numpy() for i in range(9))
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     held = held.astype(bool)
@@ -558,11 +558,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3
     known = np.concatenate([names[places], extra])
     held_features = _holdings(sample, known)
 
-    # The driver's rows come in another order than the features'; rows of one doc_id are told apart by their counts alone.
-    order = held_features.column("doc_id").to_numpy().argsort(kind="stable")
-    row_of = np.empty(len(order), np.int64)
-    row_of[order] = np.arange(len(order))
-    sizes = np.diff(held_features.column("at").combine_chunks().offsets.to_numpy()) if len(order) else np.zeros(0, np.int64)
+    # The driver's rows come in another order than the features'; the sample's row numbers tell which is which.
+    order = numbers.argsort()
+    row_of = order[np.searchsorted(numbers, held_features.column("row").to_numpy(), sorter=order)]
+    sizes = np.diff(held_features.column("at").combine_chunks().offsets.to_numpy()) if len(numbers) else np.zeros(0, np.int64)
     flat = [held_features.column(k).combine_chunks().flatten().to_numpy() for k in ("at", "times")]
     n = {t: max(1e-9, share[toxic == t].sum()) for t in (0, 1)}
     weight = share * np.array([counts[t] / n[t] for t in toxic.tolist()])

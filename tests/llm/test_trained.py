@@ -182,6 +182,9 @@ def test_quality(corpus):
     assert all(not (r.kept and r.base_failed) for r in rows)
     flags = [r[0] for r in docs.select(quality.passes(docs["text"], model)).collect()]
     assert sorted(flags) == sorted(r.kept for r in rows)
+    odd = labels.withColumn("quality", F.when(F.col("doc_id") % 10 == 0, 2).when(F.col("doc_id") % 10 == 1, -1).otherwise(F.col("quality")))
+    assert quality.learn(docs, odd, quality.usable_labels(), 300) is not None
+    assert quality.learn(docs, labels.withColumn("quality", F.lit(7)), F.lit(True)) is None
     assert quality.learn(docs, labels.limit(0), F.lit(True)) is None and quality.score(docs.limit(0), model).count() == 0
 
 
