@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.arrays import chunks, mix, same_bytes, span_hashes, words
 
-#: Words of which a worker remembers the ids; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words of which a worker remembers the ids, and bytes of their texts and ids; beyond either the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 _NO_ID = np.iinfo(np.int64).min
 #: White space beside space, tab and newline by any version of Unicode, as code points.
 _ODD = (*range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
@@ -203,7 +203,7 @@ class ArrayEncoder:
         keys = mix(span_hashes(data, starts, ends, lower=False) + before)
         entry = self.table.find(keys)
         if (entry < 0).any():
-            if self.n > REMEMBERED:
+            if self.n > REMEMBERED or self.text_used + self.used * self.flat.itemsize > REMEMBERED_BYTES:
                 self._forget()
                 entry[:] = -1
             self._learn(data, starts, ends, before, keys, entry)
@@ -294,7 +294,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
         yield pa.RecordBatch.from_pydict({"part": [part], "attempt": [attempt], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("attempt", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id are spread by how their texts begin.
+    ordered = rows.repartitionByRange("doc_id", F.coalesce(F.substring("text", 1, 32), F.lit(""))).sortWithinPartitions("doc_id", "text")
     # One row for each range of doc_id, whatever the number of documents.
     totals = ordered.mapInArrow(write, "part int, attempt string, n_docs long, n_ids long").collect()
     done = sorted((r.part, r.attempt, r.n_docs, r.n_ids) for r in totals)

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow as pa
 from pyarrow import fs
 from hypothesis import given
@@ -27,8 +28,9 @@ def test_words_encode_as_whole_texts(texts):
     assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokenfiles, "REMEMBERED", 40)
+@pytest.mark.parametrize("bound", ["REMEMBERED", "REMEMBERED_BYTES"])
+def test_forgetting_changes_nothing(monkeypatch, bound):
+    monkeypatch.setattr(tokenfiles, bound, 40)
     own = tokenfiles.ArrayEncoder(encoder(FILE, None))
     texts = [" ".join(f"w{i}{'abc'[j % 3]}" for j in range(i % 7)) for i in range(300)]
     for i in range(0, 300, 30):
@@ -59,6 +61,27 @@ def test_files_round_trip(spark, tmp_path):
         assert len(offsets) == p["n_docs"] + 1 and offsets[0] == p["first_id"] and offsets[-1] == p["first_id"] + p["n_ids"]
 
 
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    """Long words count by their bytes, few as they are."""
+    monkeypatch.setattr(tokenfiles, "REMEMBERED_BYTES", 1 << 16)
+    own = tokenfiles.ArrayEncoder(encoder(FILE, None))
+    for i in range(60):
+        own.encode(pa.array([" ".join(chr(97 + (i + j) % 26) * 2000 + str(i) for j in range(4))]))
+        assert own.text_used + own.used * own.flat.itemsize < (1 << 16) + 40_000
+
+
+def test_a_repeated_id_is_spread(spark, tmp_path):
+    rows = [(7, f"{i:04d} text of its own") for i in range(2000)] + [(None, f"{i:04d}") for i in range(500)]
+    joins = "spark.sql.adaptive.coalescePartitions.enabled"  # else small partitions become one
+    spark.conf.set(joins, "false")
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), FILE, f"file://{tmp_path}/out", 2)
+    spark.conf.unset(joins)
+    assert sum(p["n_docs"] > 0 for p in manifest["parts"]) > 1 and max(p["n_docs"] for p in manifest["parts"]) < 1500
+    got = sorted((r.start, tuple(r.ids)) for r in read_token_files(spark, f"file://{tmp_path}/out").collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[1]))
+    assert [g[1] for g in got] == [(*library.encode(t, add_special_tokens=False).ids, 2) for _, t in want]
+
+
 def test_files_read_by_ranges(spark, tmp_path, monkeypatch):
     """A store that is not local is read range by range."""
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in range(40)] + [(None, None)], "doc_id long, text string")
