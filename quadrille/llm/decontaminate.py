@@ -11,7 +11,8 @@ the place.  Texts and items are compared lower-cased and with each run of
 white space as one space.
 
 Defined results: null or empty texts and items without visible characters hit
-nothing; an item id that repeats is one item for each of its texts; rows
+nothing; items under ten characters have no budget and are found letter by
+letter alone; an item id that repeats is one item for each of its texts; rows
 with a null doc_id are matched like others.  Each row of the documents gives
 one row for each item found in it, at its place of least distance (the first,
 of equals).  Extra columns of any name are not read.
@@ -38,11 +39,11 @@ _SPACES = re.compile(r"\s+")
 
 def folded(text: str) -> str:
     """Lower-cased character for character, runs of white space as one space, none at the ends."""
-    return " ".join(text.replace(*_LONGER).lower().split())
+    return " ".join(text.translate(_SIMPLE).lower().split())
 
 
-#: Fixed value: the one character whose lower case is longer than itself, and its simple lower case.
-_LONGER = "\u0130", "i"
+#: The character whose lower case is longer than itself, and the one whose lower case depends on what follows, with their simple lower case.
+_SIMPLE = {0x130: "i", 0x3A3: "\u03c3"}
 
 
 def runs_above(piece: int, count: int) -> list[tuple[int, int]]:
@@ -100,6 +101,15 @@ class Myers:
         return least, end
 
 
+def _automaton(places: dict[str, list]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for word, at in places.items():
+        made.add_word(word, tuple(at))
+    if places:
+        made.make_automaton()
+    return made
+
+
 class Matcher:
     """All items of a block, ready to be looked for."""
 
@@ -115,31 +125,49 @@ class Matcher:
             self.limits.append(k)
             for j, (at, part) in enumerate(parts):
                 found.setdefault(part, []).append((i, j, at + len(part)))
-        self.automaton = ahocorasick.Automaton()
-        for part, places in found.items():
-            self.automaton.add_word(part, tuple(places))
-        if found:
-            self.automaton.make_automaton()
+        self.runs: dict[str, Myers] = {}
+        self.automaton = _automaton(found)
+        same: dict[str, list[int]] = {}
+        for i, (_, text) in enumerate(self.items):
+            same.setdefault(text, []).append(i)
+        self.whole = _automaton(same)
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, edits, begin, end) in the folded text, for each item in it."""
         if not self.items or not text:
             return []
+        # Items that stand there letter by letter need no more, however many share their pieces.
+        exact: dict[int, int] = {}
+        for end, same in self.whole.iter(text):
+            for i in same:
+                exact.setdefault(i, end + 1)
+        out = [(i, 0, end - len(self.items[i][1]), end) for i, end in exact.items()]
         starts: dict[int, list[int]] = {}
+        known: dict[tuple[int, int, int], int] = {}
         for end, places in self.automaton.iter(text):
             for i, j, behind in places:
-                if self._stands(text, i, j, start := end + 1 - behind):
+                if i not in exact and self._stands(text, i, j, start := end + 1 - behind, known):
                     starts.setdefault(i, []).append(start)
-        return [hit for i, at in starts.items() if (hit := self._verified(text, i, at))]
+        return out + [hit for i, at in starts.items() if (hit := self._verified(text, i, at))]
 
-    def _stands(self, text: str, i: int, piece: int, start: int) -> bool:
-        """Whether every run of pieces above the piece has few enough edits, the item's start taken at `start`."""
+    def _stands(self, text: str, i: int, piece: int, start: int, known: dict[tuple[int, int, int], int]) -> bool:
+        """Whether every run of pieces above the piece has few enough edits, the item's start taken at `start`; `known`: edits of runs at places of this text, which items share."""
         above = self.above.get((i, piece))
         if above is None:
             item, count = self.items[i][1], self.limits[i] + 1
             spans = [(len(item) * a // count, len(item) * b // count, b - a - 1) for a, b in runs_above(piece, count)]
-            above = self.above[i, piece] = [(a - e, b + e, e, Myers.of(item[a:b])) for a, b, e in spans]
-        return all(run.best(text[max(0, start + a) : max(0, start + b)])[0] <= e for a, b, e, run in above)
+            above = self.above[i, piece] = [(a - e, b + e, e, self._run(item[a:b])) for a, b, e in spans]
+        for a, b, e, run in above:
+            place = (id(run), max(0, start + a), max(0, start + b))
+            if (edits := known.get(place)) is None:
+                edits = known[place] = run.best(text[place[1] : place[2]])[0]
+            if edits > e:
+                return False
+        return True
+
+    def _run(self, text: str) -> Myers:
+        """One object for each text."""
+        return self.runs.setdefault(text, Myers.of(text))
 
     def _verified(self, text: str, i: int, starts: list[int]) -> tuple[int, int, int, int] | None:
         k, size = self.limits[i], len(self.items[i][1])
@@ -204,8 +232,9 @@ def _matching(block: list[tuple[int, str]], rate: float, names: list[str]):
             row, found = [], []
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 text = text.as_py() or ""
-                for item, edits, begin, end in matcher.hits(folded(text)):
-                    origin = _origin(text)
+                hits = matcher.hits(folded(text))
+                origin = _origin(text) if hits else None
+                for item, edits, begin, end in hits:
                     row.append(i)
                     found.append((matcher.items[item][0], edits, int(origin[begin]), int(origin[end - 1]) + 1))
             columns = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
