@@ -70,7 +70,8 @@ def exact_groups(docs: DataFrame, chunking: Chunking = Chunking(), hashed: Calla
     recipes = recipes.withColumn("key", F.xxhash64("recipe", "numbers"))
     same = ["key", "recipe", "numbers"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = recipes.groupBy(*same).agg(first.alias("first"), F.count("*").alias("group_size"))
+    # Stored, so that the join deals both sides and can split a group that is hot.
+    groups = stored(recipes.groupBy(*same).agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
     return recipes.join(groups, same).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
