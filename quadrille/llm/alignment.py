@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.workspace import stored
+from quadrille.sources.shared import removed
 
 #: Bytes of text in a block of documents.
 BLOCK = 48 << 20
@@ -108,23 +109,23 @@ def spelling(byte_file: str, piece_file: str) -> Spelling:
     return Spelling(byte_file, piece_file)
 
 
-_TOKENS = "array<struct<id:int,len:int>>"
+_TOKENS = ", ".join(f"{side} array<int>, {side}_len array<int>" for side in "ab")
 
 
 def _encoder(byte_file: str, piece_file: str):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spelling(byte_file, piece_file)
 
-        def column(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
+        def columns(ids: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
             flat = np.fromiter((i for x in ids for i in x), np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], ["id", "len"]))
+            return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, sizes[flat])]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 rows = batch.slice(at, 2048)
                 a, b, ok = own.encode(rows.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(ok), column(a, own.size_a), column(b, own.size_b)], ["unit", "n", "whole", "ok", "a", "b"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(ok), *columns(a, own.size_a), *columns(b, own.size_b)], ["unit", "n", "whole", "ok", "a", "a_len", "b", "b_len"])
 
     return encoded
 
@@ -153,15 +154,17 @@ class Alignment:
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)))
         # Dealt by block first: the units of a block are told apart where its texts are.
         each = self.rows.filter("text <> ''").repartition("block").select("block", _units(F.col("text"), cut).alias("units"))
-        found = each.select("block", (F.size("units") == 1).alias("whole"), F.explode("units").alias("unit"))
+        found = each.select("block", (F.size("units") == 1).alias("whole"), F.explode_outer("units").alias("unit"))  # outer: else the texts are cut once more to look for empty ones
         self.by_block = _settled(found.groupBy("block", "unit").agg(F.count("*").alias("n"), F.min("whole").alias("whole")), "block-units")
         distinct = self.by_block.groupBy("unit").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"))
-        encoded = distinct.mapInArrow(_encoder(byte_file, piece_file), f"unit string, n long, whole boolean, ok boolean, a {_TOKENS}, b {_TOKENS}")
+        encoded = distinct.mapInArrow(_encoder(byte_file, piece_file), f"unit string, n long, whole boolean, ok boolean, {_TOKENS}")
         tokens = _settled(encoded.withColumn("unit_id", F.monotonically_increasing_id()), "unit-tokens")
         if cut and not tokens.filter("NOT ok AND NOT whole").isEmpty():
             self.__init__(docs, byte_file, piece_file, cut=False)
             return
         self.units = _settled(_aligned(tokens.filter("ok")), "units")
+        for file in tokens.inputFiles()[:1]:  # its folder isn't read again
+            removed(docs.sparkSession, file.rsplit("/", 1)[0])
         counts = self.units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
         # A B id has as many partners as A has ids at most.
         self.pairs = stored(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))), "pairs")
@@ -169,9 +172,9 @@ class Alignment:
     def documents(self) -> DataFrame:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
         few = self.pairs.count() <= PAIRS
-        links = self.units.select("unit_id", F.explode("links").alias("l")).select("unit_id", "l.*")
-        sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        known = self.units.join(sums, "unit_id").select("unit", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "n_best", "count_sum", "groups")
+        links = self.units.select("unit", F.explode_outer("links").alias("l")).select("unit", "l.*")
+        sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        known = self.units.join(sums, "unit").select("unit", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "n_best", "count_sum", "groups")
         by_block = self.by_block.select("block", "unit").join(known, "unit")
         return self.rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_assembled(self.cut), _RESULT)
 
@@ -179,9 +182,10 @@ class Alignment:
 def _aligned(tokens: DataFrame) -> DataFrame:
     """The units of encoded ones."""
     def sided(name: str) -> Column:
-        return F.transform(name, lambda t: F.struct(F.lit(name).alias("side"), t.id.alias("id"), t.len.alias("len")))
+        return F.zip_with(name, f"{name}_len", lambda i, n: F.struct(F.lit(name).alias("side"), i.alias("id"), n.alias("len")))
 
-    placed = tokens.select("unit_id", F.concat(sided("a"), sided("b")).alias("tokens")).repartition("unit_id").select("unit_id", F.posexplode("tokens").alias("pos", "token")).select("unit_id", "pos", "token.*")
+    dealt = tokens.select("unit_id", "a", "a_len", "b", "b_len").repartition("unit_id")
+    placed = dealt.select("unit_id", F.posexplode_outer(F.concat(sided("a"), sided("b"))).alias("pos", "token")).select("unit_id", "pos", "token.*")
     # Of each side in its order: a place of B lies behind all of A's.
     run = Window.partitionBy("unit_id", "side").orderBy("pos")
     ended = placed.select("unit_id", "side", "id", F.sum("len").over(run).alias("end"))
