@@ -43,6 +43,9 @@ CONTRACTS = {
     8: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     9: "pair_id chosen_id rejected_id n_common prompt chosen rejected",
     10: "doc_id start n_tokens ids_crc32",
+    11: "doc_id keep_id group_size kept text_sha256",
+    12: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    13: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -54,7 +57,7 @@ def test_columns_and_rows(spark, tables, n):
     assert df.columns[: len(wanted)] == wanted
     if n in (4, 9):
         return
-    table = "pages" if n in (6, 7) else "documents"
+    table = "pages" if n in (6, 7) else "(SELECT DISTINCT conv_id FROM conversations)" if n == 13 else "documents"
     assert df.count() == tables.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
 
 
