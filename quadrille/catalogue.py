@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.cells import GEOHASH, geohash_bounds, geohash_region
 from quadrille.functions.geometry import Geometry
+from quadrille.functions.hexagons import cell_region, h3_region
 from quadrille.functions.hilbert import hilbert_key
 from quadrille.operators import wide as W
 from quadrille.operators.extract import extract, in_box, projected, touches_box
@@ -194,6 +195,16 @@ def _(spark, sf):
     return extract(fx.points(spark, sf, wkb=True), geohash_region(parts)).select("id", "lon", "lat")
 
 
+#: Cells apart from one another: a pentagon, one of the coarsest level and one of the next.
+H3_CELLS = "8075fffffffffff,8029fffffffffff,8166bffffffffff"
+_IN_CELLS = " OR ".join(f"({_half_planes(cell_region(c).polygons[0][0][:-1].tolist())})" for c in H3_CELLS.split(","))
+
+
+@_register("h3_region", f"SELECT id, lon, lat FROM ({POINTS}) WHERE {_strict(h3_region(H3_CELLS).bounds)} AND ({_IN_CELLS})")
+def _(spark, sf):
+    return extract(fx.points(spark, sf, wkb=True), h3_region(H3_CELLS)).select("id", "lon", "lat")
+
+
 def _zigzag(teeth: int) -> list[tuple[float, float]]:
     """A saw of this many teeth above a straight base, by whole numbers."""
     top = [(60.0 - 120.0 * k / (2 * teeth), 40.0 if k % 2 else 10.0 + k % 5) for k in range(2 * teeth + 1)]

@@ -1,4 +1,4 @@
-"""Regions from grid cells: geohash and S2 cells; H3 needs a library that is not here."""
+"""Regions from grid cells: geohash and S2 cells."""
 
 from __future__ import annotations
 
@@ -68,12 +68,3 @@ def _lonlat(face: int, u: float, v: float) -> tuple[float, float]:
 def s2_region(tokens: str) -> Geometry:
     """The union of comma-separated S2 cells."""
     return union(s2_cell(t) for t in tokens.split(","))
-
-
-def h3_region(cells: str) -> Geometry:
-    """H3 cells need the h3 library or its DuckDB extension, neither of which is installed."""
-    try:
-        import h3
-    except ImportError as absent:
-        raise NotImplementedError("H3 cells need the h3 package") from absent
-    return union(Geometry.polygon([(lng, lat) for lat, lng in h3.cell_to_boundary(c.strip())]) for c in cells.split(","))

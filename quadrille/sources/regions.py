@@ -7,8 +7,9 @@ import json
 from pathlib import Path
 
 from quadrille.errors import BadParameter
-from quadrille.functions.cells import geohash_region, h3_region, s2_region
+from quadrille.functions.cells import geohash_region, s2_region
 from quadrille.functions.geometry import Geometry
+from quadrille.functions.hexagons import h3_region
 from quadrille.functions.overlay import dissolved, union
 
 

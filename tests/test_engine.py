@@ -254,12 +254,13 @@ def test_command_line(spark, lake, tmp_path, capsys):
     assert pq.read_metadata(path).num_rows == 3
     assert cli.main([*base, "--show-theme-type-pairs"], spark) == 0 and "base|water" in capsys.readouterr().out
     assert cli.main([*base, "--show-release-versions"], spark) == 0 and RELEASE in capsys.readouterr().out
+    assert cli.main(["base", "water", *base, "--geom-filter-index-h3", "8059fffffffffff"], spark) == 0 and capsys.readouterr().out
     box = ["--geom-filter-bbox", "1,1,2,2"]
     wrong = (
         ["base", "water", *base],
         ["base", "none", *base, *box],
         ["base", "water", *base, *box, "--geom-filter-wkt", "POINT (1 1)"],
-        ["base", "water", *base, "--geom-filter-index-h3", "8a3969a40ac7fff"],
+        ["base", "water", *base, "--geom-filter-index-h3", "8a3969a40ac7ff"],
         ["base", "water", *base, *box, "--silent", "--transient"],
         ["base", "water", *base, "--geom-filter-bbox", "x"],
         ["base", *base],

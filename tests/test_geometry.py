@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quadrille.functions.cells import geohash_bounds, geohash_region, h3_region, s2_cell
+from quadrille.functions.cells import geohash_bounds, geohash_region, s2_cell
 from quadrille.functions.geometry import Geometry
 from quadrille.functions.hilbert import curve_position
 from quadrille.functions.intersects import intersects, points_in
@@ -107,5 +107,3 @@ def test_cells():
     for bad in ("", "zz", "f", "0"):
         with pytest.raises(ValueError):
             s2_cell(bad)
-    with pytest.raises(NotImplementedError):
-        h3_region("8a3969a40ac7fff")
