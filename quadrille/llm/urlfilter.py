@@ -9,8 +9,10 @@ The bits are a literal in the scan's expressions, so judging needs no join.
 
 Keys are hosts; a url carries its host and every parent domain, and is listed
 if any of them is.  The bits' size is computed from counted keys before any
-is built; over MAX_BITS in all, which no plan should carry, the listed keys are
-joined by distinct host instead.
+is built.  A plan carries MAX_BITS at most: a longer list's keys are dealt to
+shares by a hash, each share gets a cascade of its own, and the urls are judged
+in one pass for each share, whose plan carries that share's bits alone.  Passes
+grow with the list (one for each 8 MB of bits); none of them joins.
 
 A rule's path is what stands behind its host, its `/` included, so `net/` fits
 `http://x.net/` and not `http://x.net`, whose path is empty.
@@ -24,6 +26,7 @@ one length the later by text wins; extra columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.workspace import stored
 
-#: Bits of all levels together that may go out with a plan: 8 MB.
-MAX_BITS = 1 << 26
+#: Bits of all levels together that may go out with a plan: 8 MB; a share isn't made for fewer than LEAST_BITS.
+MAX_BITS, LEAST_BITS = 1 << 26, 1 << 12
+#: Seeds the hash that deals keys to shares; levels' seeds are small.
+DEAL = 1 << 40
 #: Bits in one of Spark's bitmap chunks (a fixed value of bitmap_construct_agg).
 CHUNK = 32768
 
@@ -109,16 +114,70 @@ class TooLarge(ValueError):
     """The cascade would need more than the allowed bits."""
 
 
-def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
-    """The cascade over `universe` (key, listed): each key once, each with whether it is listed."""
+@dataclass(frozen=True)
+class Share:
+    """The keys whose hash leaves this remainder."""
+
+    modulus: int
+    remainder: int
+
+    def has(self, key: Column) -> Column:
+        return F.lit(True) if self.modulus == 1 else _dealt(key, self.modulus) == self.remainder
+
+    def halves(self) -> tuple[Share, Share]:
+        return Share(2 * self.modulus, self.remainder), Share(2 * self.modulus, self.remainder + self.modulus)
+
+
+def _dealt(key: Column, modulus: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(DEAL), key), F.lit(modulus))
+
+
+def shares(universe: DataFrame, max_bits: int = MAX_BITS) -> Iterator[tuple[Share, Cascade]]:
+    """Cascades of max_bits each, LEAST_BITS at least, that together cover `universe` (key, listed); one where that is enough.
+
+    They come one at a time, so the driver holds the bits of one.  A share that
+    turns out too large is split by the next bit of its keys' hash.
+    """
+    max_bits = max(max_bits, LEAST_BITS)
     known = stored(universe.select("key", "listed"), "key-universe")
+    sizes = known.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("other")).first()
+    modulus = max(1, math.ceil(expected_bits(sizes.listed, sizes.other) / max_bits))
+    if modulus > 1:  # in order of shares, so that a share's scan skips the row groups of others
+        dealt = known.withColumn("share", _dealt(F.col("key"), modulus))
+        known = stored(dealt.repartitionByRange("share", "key").sortWithinPartitions("share"), "key-shares")
+    left = [Share(modulus, r) for r in range(modulus)]
+    while left:
+        share = left.pop()
+        own = known.filter((F.col("share") == share.remainder % modulus) & share.has(F.col("key"))) if modulus > 1 else known.filter(share.has(F.col("key")))
+        try:
+            yield share, _built(own, max_bits)
+        except TooLarge:
+            left += share.halves()
+
+
+def _first_rate(listed: int, other: int) -> float:
+    return min(0.5, max(1e-6, listed * math.sqrt(0.5) / max(other, 1)))
+
+
+def expected_bits(listed: int, other: int) -> int:
+    """The bits that a cascade of this many keys is expected to need: each later level has half the keys of the one two before."""
+    rate = _first_rate(listed, other)
+    later = 2 * (other * rate + listed / 2) / math.log(2)
+    return math.ceil(sized(listed, rate)[0] + later) if listed else 0
+
+
+def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
+    """One cascade over `universe` (key, listed): each key once, each with whether it is listed."""
+    return _built(stored(universe.select("key", "listed"), "key-universe"), max_bits)
+
+
+def _built(known: DataFrame, max_bits: int) -> Cascade:
     sizes = known.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("other")).first()
     levels: list[Level] = []
     left, n, other = known.filter("listed"), sizes.listed, sizes.other
     used = 0
     while n:
-        rate = 0.5 if levels else min(0.5, max(1e-6, n * math.sqrt(0.5) / max(other, 1)))
-        bits, hashes = sized(n, rate)
+        bits, hashes = sized(n, 0.5 if levels else _first_rate(n, other))
         used += bits
         if used > max_bits:
             raise TooLarge(f"{used} bits for {sizes.listed} listed of {sizes.listed + sizes.other} keys")
@@ -172,22 +231,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], max_bits: int
     keys = rows.select(F.explode(domains(F.col("host"))).alias("key"), F.lit(False).alias("listed"))
     wanted = listed.filter(F.col("key").isNotNull()).select(F.translate(F.col("key").cast("string"), UPPER, LOWER).alias("key"))
     universe = keys.union(wanted.select("key", F.lit(True))).groupBy("key").agg(F.max("listed").alias("listed"))
-    try:
-        cascade = build_cascade(universe, max_bits)
-        found = rows.withColumn("listed", F.exists(domains(F.col("host")), cascade.holds))
-    except TooLarge:
-        found = _by_join(rows, wanted)
+    found = rows.withColumn("listed", F.lit(False))
+    for share, cascade in shares(universe, max_bits):
+        if cascade.levels:
+            found = found.withColumn("listed", F.col("listed") | F.exists(domains(F.col("host")), lambda k: share.has(k) & cascade.holds(k)))  # noqa: B023
+            if share.modulus > 1:
+                found = stored(found, "judged")  # the next plan doesn't carry these bits
     host, path = F.col("host"), F.col("path")
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):  # the longest is asked first
         rule, ruled = F.when(r.fits(host, path), r.text).otherwise(rule), F.when(r.fits(host, path), r.verdict).otherwise(ruled)
     verdict = F.coalesce(ruled, F.when(F.col("listed"), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
-
-
-def _by_join(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Membership for lists whose cascade is too large to send out: judged once for each distinct host."""
-    hosts = rows.select("host").distinct()
-    hit = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).join(wanted.distinct(), "key", "left_semi")
-    blocked = hit.select("host").distinct().withColumn("listed", F.lit(True))
-    return rows.join(blocked, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm.queries.op6 import LISTED, RULES
-from quadrille.llm.urlfilter import TooLarge, build_cascade, judge
+from quadrille.llm.urlfilter import TooLarge, build_cascade, expected_bits, judge, shares
 
 
 def brute(url, listed):
@@ -32,8 +32,8 @@ def test_verdicts_match_plain_rules(spark):
     listed = spark.createDataFrame([(k,) for k in LISTED] + [(None,)], "key string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, listed, RULES).collect()}
     assert got == {i: brute(u, set(LISTED)) for i, u in enumerate([*URLS, *URLS])}
-    by_join = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, listed, RULES, max_bits=1).collect()}
-    assert by_join == got
+    small = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, listed, RULES, max_bits=1).collect()}
+    assert small == got
     assert judge(pages.limit(0), listed, RULES).count() == 0
     assert {r.verdict for r in judge(pages.filter("page_id = 12"), listed.limit(0), RULES).collect()} == {"allow"}
 
@@ -60,3 +60,25 @@ def test_plan_is_native_and_holds_each_level_once(spark):
     level = build_cascade(universe).levels[0]
     shown = spark.range(1).select(level.passes(F.lit("x")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert shown.count("getbit") == 1 and level.hashes > 1
+
+
+def test_long_lists_are_judged_by_shares(spark):
+    keys = [f"host{i}.example" for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"http://www.{k}/") for i, k in enumerate(keys)] + [(None, None)], "page_id long, url string").repartition(3)
+    listed = spark.createDataFrame([(k,) for k in keys[::3]] + [("unseen.example",)], "key string")
+    found = judge(pages, listed, [], max_bits=1500 * 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Python" not in plan
+    assert {r.page_id: r.listed for r in found.collect()} == {i: i % 3 == 0 for i in range(3000)} | {None: False}
+    universe = pages.selectExpr("substring(split(url, '/')[2], 5) AS key", "page_id % 3 = 0 AS listed").filter("key IS NOT NULL")
+    made = list(shares(universe, 4096))
+    assert len(made) >= expected_bits(1000, 2000) // 4096 > 0 and sum(1 / s.modulus for s, _ in made) == 1
+    assert all(8 * sum(len(x.data) for x in c.levels) <= 4096 + 8 * len(c.levels) for _, c in made)
+    known = universe.select("key", "listed", *[s.has(F.col("key")).alias(f"in{i}") for i, (s, _) in enumerate(made)])
+    assert known.selectExpr("listed", " + ".join(f"int(in{i})" for i in range(len(made))) + " AS n").filter("n <> 1").count() == 0
+
+
+def test_expected_bits_are_near_those_used(spark):
+    universe = spark.range(40_000).selectExpr("concat('k', id) AS key", "id % 40 = 0 AS listed")
+    used = sum(x.bits for x in build_cascade(universe).levels)
+    assert 0.8 < used / expected_bits(1000, 39_000) < 1.3
