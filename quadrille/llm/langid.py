@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.arrays import byte_grams, chunks
-from quadrille.llm.learning import collected, drawn
+from quadrille.llm.learning import DRAW, collected, drawn
 
 #: Hash bits of an n-gram; the lengths of n-grams; texts in one matrix.
 BITS, LENGTHS, ROWS = 13, (1, 2, 3), 256
 UNKNOWN = "und"
+#: Landmarks, at least and at most, if their number isn't given; rows that are drawn of all languages together.
+LANDMARKS, SAMPLE_ROWS = (128, 1024), 25_600
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
@@ -76,13 +78,17 @@ class LanguageModel:
         return (x @ self.landmarks.T) / np.sqrt(sizes)[:, None] @ self.weights + self.bias
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-3) -> LanguageModel:
-    """Landmarks are the first texts of each language in turn."""
+def fit(texts: list[str], labels: list[str], landmarks: int | None = None, ridge: float = 1e-3) -> LanguageModel:
+    """Landmarks are the first texts of each language in turn; if not given, two of each language, LANDMARKS[0] at least and LANDMARKS[1] at most.
+
+    Every language of the texts is learned, however many there are.
+    """
     keep = lettered(pa.array(texts, pa.large_string()))
     texts, labels = [t for t, k in zip(texts, keep, strict=True) if k], [x for x, k in zip(labels, keep, strict=True) if k]
     names = tuple(sorted(set(labels)))
     if not names:
         return LanguageModel((), np.zeros((0, 1 << BITS), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    landmarks = landmarks or min(LANDMARKS[1], max(LANDMARKS[0], 2 * len(names)))
     seen: dict[str, int] = {}
     order = []
     for i, label in enumerate(labels):
@@ -96,7 +102,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     whiten = vectors[:, good] / np.sqrt(values[good])
     z = kernel @ whiten
     target = np.array([[x == name for name in names] for x in labels], float)
-    share = np.array([1 / labels.count(x) for x in labels])[:, None]  # languages weigh alike
+    share = np.array([1 / seen[x] for x in labels])[:, None]  # languages weigh alike
     share *= len(labels) / share.sum()
     mean_z, mean_y = (share * z).mean(0), (share * target).mean(0)
     zc, yc = z - mean_z, target - mean_y
@@ -104,11 +110,21 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     return LanguageModel(names, marks.astype(np.float32), (whiten @ beta).astype(np.float32), (mean_y - mean_z @ beta).astype(np.float32))
 
 
-def learn(docs: DataFrame, usable: Column, per_language: int = 400) -> LanguageModel:
-    """Fits on about `per_language` rows of each language among `usable` rows with a non-null lang, at most 64 languages' worth."""
+def learn(docs: DataFrame, usable: Column, per_language: int = 400, sample: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fits on about `per_language` rows of each language among `usable` rows with a non-null lang, on fewer of each where all would be over `sample`.
+
+    All languages are learned: each gives one row or more.
+    """
     rows = docs.filter(usable & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sample, counts = drawn(rows, "lang", F.col("doc_id"), per_language)
-    got = collected(sample, "doc_id", 2 * per_language * min(64, max(1, len(counts))))
+    some, counts = drawn(rows, "lang", F.col("doc_id"), per_language)
+    languages = max(1, len(counts))
+    if per_language * languages > sample:
+        per_language = max(1, sample // languages)
+        some, _ = drawn(rows, "lang", F.col("doc_id"), per_language)
+        # A draw by hash may leave out a language of which few rows are wanted: its first row is in, by the same hash.
+        first = rows.groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.xxhash64(F.lit(DRAW), "doc_id"), "text")).alias("r")).select("r.doc_id", "lang", "r.text")
+        some = some.unionByName(first)
+    got = collected(some, "doc_id", 2 * per_language * languages + languages)
     return fit([r.text or "" for r in got], [r.lang for r in got])
 
 

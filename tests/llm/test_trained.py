@@ -211,3 +211,14 @@ def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit", lambda texts, low, weight: texts)
     texts = quality.learn(docs, marks, F.lit(True), 150)
     assert len(set(texts)) == len(texts) <= 600 and {f"text {i}" for i in range(1, 200, 2)} <= set(texts)
+
+def test_a_hundred_languages(spark):
+    """All are learned, though the sample's bound leaves few rows of each."""
+    rng = random.Random(3)
+    own = {f"x{k:03d}": [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(12)] for k in range(100)}
+    rows = [(i, " ".join(rng.choice(own[f"x{i % 100:03d}"]) for _ in range(30)), f"x{i % 100:03d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, ~held_out(F.col("doc_id")), 400, 300)
+    assert model.languages == tuple(sorted(own))
+    held = langid.identify(docs.filter(held_out(F.col("doc_id"))), model, ("doc_id", "lang")).collect()
+    assert len(held) > 200 and np.mean([r.lang_pred == r.lang for r in held]) > 0.95
