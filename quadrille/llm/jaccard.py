@@ -34,8 +34,9 @@ Defined results: a text that is null or has no words has n_shingles 0, links
 to nothing and is its own component; with fewer words than a shingle, the
 whole sequence is one shingle.  A row whose doc_id is null keeps its
 n_shingles and has a null component.  Repeated rows are copies; extra columns
-of any name are not read.  Where a doc_id repeats with different
-texts, the smallest text stands for all its rows.
+of any name are not read.  Where a doc_id repeats, each row has the n_shingles
+of its own text, and the rows are one document: what any of them links to is
+linked with all of them.
 """
 
 from __future__ import annotations
@@ -509,14 +510,34 @@ def near_components(docs: DataFrame, join: JaccardJoin, hot: int = HOT) -> DataF
 
     `hot` steers only which shingles are dealt by document; results don't depend on it.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    nameless = None
-    if not repeated.isEmpty():
-        nameless = rows.filter(F.col("doc_id").isNull())
-        rows_of = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("times"))
-        rows = stored(rows_of, "single")
+    named = rows.filter(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _components_of(rows, join, hot)
+    # Numbers of the rows' own, kept in a table, so that a row that is read again has the same one.
+    numbered = stored(named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = _components_of(numbered.select(F.col("row").alias("doc_id"), "text"), join, hot).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part"))
+    found = stored(numbered.select("row", "doc_id").join(found, "row").select("doc_id", "n_shingles", "part"), "parts")
+    out = _with_names(found)
+    nameless = profiles(rows.filter(F.col("doc_id").isNull()), join).filter("n IS NOT NULL")
+    return out.unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def _with_names(found: DataFrame) -> DataFrame:
+    """Merges the parts (components of rows) that a doc_id's rows lie in, and names them by their smallest doc_id."""
+    held = stored(found.select("doc_id", "part").distinct(), "held")
+    first = held.groupBy("doc_id").agg(F.min("part").alias("a"))
+    merged = components(held.join(first, "doc_id").filter("part <> a").select("a", F.col("part").alias("b")).distinct())
+    placed = held.select("part", "doc_id").join(merged, held.part == merged.node, "left").select("part", "doc_id", F.coalesce("root", "part").alias("root"))
+    placed = stored(placed, "placed")
+    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = stored(placed.select("part", "root").distinct().join(names, "root").select("part", "component_id"), "names")
+    return found.join(of, "part").select("doc_id", "n_shingles", "component_id")
+
+
+def _components_of(rows: DataFrame, join: JaccardJoin, hot: int) -> DataFrame:
+    """The same for `rows` (doc_id, text) whose ids, null apart, are unique."""
+    spark = rows.sparkSession
     counted = stored(profiles(rows, join), "profiles")
     profile = counted.filter("n IS NOT NULL").drop("often")
     classes = stored(profile.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
@@ -539,8 +560,4 @@ def near_components(docs: DataFrame, join: JaccardJoin, hot: int = HOT) -> DataF
         roots = components(links.union(others))
     placed = classes.join(roots, classes.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     placed = stored(placed, "classes")
-    out = profile.join(placed, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"))
-    if nameless is not None:
-        times = rows.select("doc_id", F.explode(F.expr("sequence(1, times)")).alias("i")).drop("i")
-        out = times.join(out, "doc_id").unionByName(profiles(nameless, join).filter("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
-    return out
+    return profile.join(placed, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"))

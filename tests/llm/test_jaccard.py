@@ -104,6 +104,32 @@ def test_odd_rows(spark):
     assert near_components(docs.limit(0), join).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Every text of an id is compared, and an id's texts are one document."""
+    a, b = "a b c d e f g", "p q r s t u v"
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, "k l m n o"), (5, None), (5, "k l m n o"), (6, ""), (None, a)]
+    got = [tuple(r) for r in near_components(spark.createDataFrame(rows, "doc_id long, text string"), JaccardJoin(4, 85)).collect()]
+    want = [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 2, 4), (5, 0, 4), (5, 2, 4), (6, 0, 6), (None, 4, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_repeated_ids_match_brute_force(spark):
+    rng, join, rows = random.Random(9), JaccardJoin(4, 85), corpus(9)
+    rows = [(i % 60 if rng.random() < 0.3 else i, t) for i, t in rows]
+    sets = [(i, shingles(t, 4)) for i, t in rows]
+    links = [(i, j) for n, (i, x) in enumerate(sets) for j, y in sets[:n] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    root = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            least = min(root[i], root[j])
+            changed |= root[i] != root[j]
+            root[i] = root[j] = least
+    got = sorted(tuple(r) for r in near_components(spark.createDataFrame(rows, "doc_id long, text string"), join).collect())
+    assert len({i for i, _ in rows}) < len(rows) and got == sorted((i, len(x), root[i]) for i, x in sets)
+
+
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 @settings(max_examples=8, deadline=None)
 def test_components(spark, links):
