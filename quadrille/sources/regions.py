@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sqlite3
+import struct
 from pathlib import Path
 
 from quadrille.errors import BadParameter
@@ -11,6 +13,7 @@ from quadrille.functions.cells import geohash_region, s2_region
 from quadrille.functions.geometry import Geometry
 from quadrille.functions.hexagons import h3_region
 from quadrille.functions.overlay import dissolved, union
+from quadrille.sources import regionfiles
 
 
 def from_bbox(text: str) -> Geometry:
@@ -54,11 +57,16 @@ def from_h3(text: str) -> Geometry:
 
 
 def from_file(path: str) -> Geometry:
-    """A GeoJSON or WKT file; several features or WKT lines are one region, without borders between them."""
+    """A GeoJSON, WKT, GeoPackage, Shapefile or FlatGeobuf file; several features or WKT lines are one region, without borders between them."""
     try:
+        parts = regionfiles.parts(path)
+        if parts is not None:
+            return union(parts)
         text = Path(path).read_text()
     except OSError as e:
         raise BadParameter(f"Cannot read {path}") from e
+    except (ValueError, struct.error, sqlite3.Error) as e:
+        raise BadParameter(f"Cannot parse {path}: {e}") from e
     if text.lstrip().startswith("{"):
         return dissolved(from_geojson(text))
     return union(from_wkt(line) for line in text.splitlines() if line.strip())
