@@ -1,8 +1,9 @@
 """Registered queries that write a lake, its indexes and result files into the shared folder, and read them back.
 
-Orders, order lines and parts become features with a point each.  A table has a
-file for each quarter of longitudes, its rows in order of x, y and id, so that
-SQL can tell files and row groups.
+Orders, order lines and parts become features with a point each.  A table's rows
+are in order of x, y and id, a run of files for each quarter of longitudes: so
+SQL can tell quarters and their row groups, and no file or task holds more than
+PER_FILE row groups.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import contextlib
 import io
 import json
 import os
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -33,14 +36,16 @@ from quadrille.sources import index, names, regions
 from quadrille.sources.grouped import grouped_extract
 from quadrille.sources.lake import Lake
 from quadrille.sources.rowgroups import map_parquet_dataset, row_group_scan
-from quadrille.sources.shared import made_folder, shared_dir
-from quadrille.sources.sink import write_dataset
+from quadrille.sources.shared import made_folder, removed, shared_dir
+from quadrille.sources.sink import placed, write_dataset
 from quadrille.streaming.stateless import extract_stream, feature_stream
 
 RELEASE = "2024-09-18.0"
 WATER, LAND, PLACE = ("base", "water"), ("base", "land_use"), ("places", "place")
-#: Rows in a row group of the lake, and files of a table.
+#: Rows in a row group of the lake, and quarters of longitudes that a table's files are dealt by.
 GROUP, FILES = 2_000, 4
+#: Row groups in a file: a quarter has as many files as that takes.
+PER_FILE = 100
 
 
 def _sql_point(id_: str) -> str:
@@ -66,17 +71,58 @@ def _located(df: DataFrame) -> DataFrame:
     return df.withColumn("bbox", box).withColumn("geometry", fx.point_wkb(x, y))
 
 
-def _lake(spark: SparkSession, sf: str, *pairs: tuple[str, str]) -> Lake:
+#: The number of a file in its table.
+_NUMBER = r"part-(\d+)[^/]*$"
+
+
+@dataclass(frozen=True)
+class QuarterLake(Lake):
+    """A lake whose tables have a run of files for each quarter; `strides`: how many file numbers a quarter of a table has."""
+
+    strides: dict[tuple[str, str], int] = field(default_factory=dict, compare=False)
+
+    def numbered(self, rows: DataFrame, pair: tuple[str, str], filename: str = "filename") -> DataFrame:
+        """The quarter as column part, and row_group as the group's number among those of the quarter's files."""
+        number, stride = F.regexp_extract(filename, _NUMBER, 1).cast("int"), self.strides[pair]
+        place = F.col("row_group") + number % stride * PER_FILE
+        return rows.withColumns({"part": F.floor(number / stride).cast("int"), "row_group": place.cast("int")})
+
+
+def _lake(spark: SparkSession, sf: str, *pairs: tuple[str, str]) -> QuarterLake:
     """A lake of one release with these tables."""
-    lake = Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
+    lake = QuarterLake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
     source = {WATER: fx.order_features, LAND: fx.line_features, PLACE: fx.place_features}
     for pair in pairs:
-        rows = _located(source[pair](spark, sf)).repartitionById(FILES, F.floor((F.col("bbox.xmin") + 180) / (360 // FILES)).cast("int"))
-        write_dataset(rows.sortWithinPartitions("bbox.xmin", "bbox.ymin", "id"), lake.folder(*pair, RELEASE), sort=False, row_group_size=GROUP)
+        lake.strides[pair] = _written(spark, source[pair](spark, sf), lake.folder(*pair, RELEASE))
     return lake
 
 
-def _configured(spark: SparkSession, sf: str, *pairs: tuple[str, str], taxonomy: bool = False) -> Lake:
+def _written(spark: SparkSession, features: DataFrame, folder: str) -> int:
+    """Writes a table of the lake; how many file numbers a quarter has.
+
+    Tasks sort ranges of the order, whose files' lengths then place every row
+    among its quarter's; a task for each file takes its places.
+    """
+    rows = _located(features).drop("geometry")
+    quarter = F.floor((F.col("bbox.xmin") + 180) / (360 // FILES)).cast("int")
+    counts = {r.part: r.n for r in rows.groupBy(quarter.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each quarter
+    full, order = GROUP * PER_FILE, ("bbox.xmin", "bbox.ymin", "id")
+    ranges, stride = (max(1, -(-n // full)) for n in (sum(counts.values()), max(counts.values(), default=0)))
+    ordered = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.parquet(ordered)
+    written, place, _ = placed(spark, spark.read.schema(rows.schema).parquet(ordered), ordered)
+    before = F.lit(0)  # rows of the quarters before
+    for part in range(1, FILES):
+        before = F.when(quarter >= part, F.lit(sum(counts.get(p, 0) for p in range(part)))).otherwise(before)
+    number = quarter * stride + F.floor((F.col(place) - before) / full)
+    dealt = written.repartitionById(FILES * stride, number.cast("int")).sortWithinPartitions(place).select(*rows.columns)
+    # Points again from the box: so they are made once, not for each look at the order.
+    write_dataset(dealt.withColumn("geometry", fx.point_wkb(F.col("bbox.xmin"), F.col("bbox.ymin"))), folder, sort=False, row_group_size=GROUP)
+    removed(spark, ordered)
+    return stride
+
+
+def _configured(spark: SparkSession, sf: str, *pairs: tuple[str, str], taxonomy: bool = False) -> QuarterLake:
     """The lake, which api's calls then work on, with an index."""
     lake = _lake(spark, sf, *pairs)
     file = f"{lake.root}-taxonomy"
@@ -104,15 +150,15 @@ def _(spark, sf):
     lake = _lake(spark, sf, WATER)
     found = index.load_release_index(lake, f"{lake.root}-index", *WATER, RELEASE)
     rows = index.row_group_rows(spark, lake.files(*WATER, RELEASE))
-    return found.join(rows, ["filename", "row_group"]).select("row_group", F.col("rows").alias("n"), "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
+    return lake.numbered(found.join(rows, ["filename", "row_group"]), WATER).select("row_group", F.col("rows").alias("n"), "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
 
 
 @_register("index_in_order", f"SELECT (row_number() OVER (ORDER BY part, row_group) - 1)::INTEGER AS place, row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     """The index's rows as it gives them: by file and row group, though stored along the curve."""
     lake = _lake(spark, sf, LAND)
-    given = index.load_release_index(lake, f"{lake.root}-index", *LAND, RELEASE).collect()  # one row for each row group of a file
-    return spark.createDataFrame([(i, r.row_group) for i, r in enumerate(given)], "place int, row_group int")
+    given = lake.numbered(index.load_release_index(lake, f"{lake.root}-index", *LAND, RELEASE), LAND).select("row_group")
+    return spark.createDataFrame(given.rdd.zipWithIndex().map(lambda r: (r[1], r[0].row_group)), "place int, row_group int")
 
 
 _PRUNED = Geometry.box(-60, -30, 0, 30)
@@ -121,13 +167,15 @@ _PRUNED = Geometry.box(-60, -30, 0, 30)
 @_register("index_pruned_groups", f"SELECT row_group FROM ({_grouped(LINE_POINTS)}) GROUP BY part, row_group HAVING min(lon) <= 0 AND max(lon) >= -60 AND min(lat) <= 30 AND max(lat) >= -30")
 def _(spark, sf):
     lake = _lake(spark, sf, LAND)
-    return index.load_release_index(lake, f"{lake.root}-index", *LAND, RELEASE, _PRUNED).select("row_group")
+    return lake.numbered(index.load_release_index(lake, f"{lake.root}-index", *LAND, RELEASE, _PRUNED), LAND).select("row_group")
 
 
 @_register("index_of_several_tables", f"SELECT 'base' AS theme, 'water' AS type, row_group FROM ({_grouped(ORDER_POINTS)}) GROUP BY part, row_group UNION ALL SELECT 'places', 'place', row_group FROM ({_grouped(PLACE_POINTS)}) GROUP BY part, row_group")
 def _(spark, sf):
     lake = _lake(spark, sf, WATER, PLACE)
-    return index.load_release_indexes(lake, f"{lake.root}-index", [WATER, PLACE], RELEASE).select("theme", "type", "row_group")
+    found = index.load_release_indexes(lake, f"{lake.root}-index", [WATER, PLACE], RELEASE)
+    own = [lake.numbered(found.where((F.col("theme") == t) & (F.col("type") == u)), (t, u)) for t, u in (WATER, PLACE)]
+    return reduce(DataFrame.unionByName, own).select("theme", "type", "row_group")
 
 
 @_register("index_catalog", "SELECT * FROM (VALUES ('base', 'land_use', TRUE), ('base', 'water', TRUE)) AS v(theme, type, whole)")
@@ -161,7 +209,7 @@ def _(spark, sf):
     rows = grouped_extract(lake.read(*WATER, RELEASE).drop("geometry"), kept, box, [("subtype", "=", "F")], ["subtype"], trace=made_folder(spark, trace))
     rows.select("id").write.format("noop").mode("overwrite").save()
     told = spark.read.schema("file string, row_group int, columns array<string>, rows long").json(trace)
-    return told.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part"), "row_group", F.col("rows").alias("n"), F.array_join("columns", ",").alias("columns"))
+    return lake.numbered(told, WATER, "file").select("part", "row_group", F.col("rows").alias("n"), F.array_join("columns", ",").alias("columns"))
 
 
 @_register("lake_extract_polygon", f"SELECT id FROM ({LINE_POINTS}) WHERE {_strict(Geometry.polygon(TRIANGLE).bounds)} AND {_half_planes(TRIANGLE)}")
@@ -264,10 +312,12 @@ def _(spark, sf):
 def _(spark, sf):
     """A function over each row group."""
     lake = _lake(spark, sf, WATER)
+    stride, per_file = lake.strides[WATER], PER_FILE
 
-    def told(_file: str, group: int, table: pa.Table) -> pa.Table:
+    def told(file: str, group: int, table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
-        return pa.table({"row_group": pa.array([group], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "total": pa.array([int(ids.sum())], pa.int64())})
+        place = group + int(re.search(_NUMBER, file)[1]) % stride * per_file
+        return pa.table({"row_group": pa.array([place], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "total": pa.array([int(ids.sum())], pa.int64())})
 
     return map_parquet_dataset(spark, lake.files(*WATER, RELEASE), told, "row_group int, n long, total long", ["id"])
 

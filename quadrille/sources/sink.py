@@ -86,8 +86,8 @@ def _in_order(spark: SparkSession, folder: str) -> list[str]:
     return sorted(names, key=lambda n: int(n.split("-")[1]))
 
 
-def _in_groups(spark: SparkSession, written: DataFrame, folder: str, size: int) -> tuple[DataFrame, int]:
-    """The rows of ordered files with a partition for each row group, all full but the last; and how many rows there are."""
+def placed(spark: SparkSession, written: DataFrame, folder: str) -> tuple[DataFrame, str, int]:
+    """The rows of ordered files with their place among all as a further column; that column's name; how many rows there are."""
     names = _in_order(spark, folder)
     counted = {r.filename.rsplit("/", 1)[1]: r.rows for r in row_group_rows(spark, [f"{folder}/{n}" for n in names]).groupBy("filename").agg(F.sum("rows").alias("rows")).collect()}  # a row for each file
     before, total = [], 0
@@ -97,9 +97,14 @@ def _in_groups(spark: SparkSession, written: DataFrame, folder: str, size: int)
     name, place = (f"{k}-{uuid.uuid4().hex}" for k in ("name", "place"))
     bases = spark.createDataFrame(before, T.StructType([T.StructField(name, T.StringType()), T.StructField(place, T.LongType())]))
     rows = written.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias("row-" + place))
-    placed = rows.join(F.broadcast(bases), name).withColumn(place, F.col(place) + F.col("row-" + place))
+    return rows.join(F.broadcast(bases), name).withColumn(place, F.col(place) + F.col("row-" + place)), place, total
+
+
+def _in_groups(spark: SparkSession, written: DataFrame, folder: str, size: int) -> tuple[DataFrame, int]:
+    """The rows of ordered files with a partition for each row group, all full but the last; and how many rows there are."""
+    rows, place, total = placed(spark, written, folder)
     groups = max(1, -(-total // size))
-    dealt = placed.repartitionById(groups, F.floor(F.col(place) / F.lit(size)).cast("int")).sortWithinPartitions(place)
+    dealt = rows.repartitionById(groups, F.floor(F.col(place) / F.lit(size)).cast("int")).sortWithinPartitions(place)
     return dealt.select(*[f"`{c}`" for c in written.columns]), total
 
 
