@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from quadrille.llm.workspace import stored
 from quadrille.sources.shared import removed
 
 #: Bytes of text in a block of documents.
-BLOCK = 48 << 20
+BLOCK = 32 << 20
 #: Rows of the table of id pairs up to which it is broadcast: at 32 bytes a row, 16 MB.
 PAIRS = 1 << 19
 #: White space by any version of Unicode, and what stands near it, as code points.
@@ -136,13 +137,19 @@ def _units(text: Column, cut: bool) -> Column:
 
 def _settled(df: DataFrame, name: str) -> DataFrame:
     """Stored, with the shuffle files behind it let go: a step's files and the next one's don't add up."""
-    out = stored(df, name)
+    out = stored(df, name, "zstd")
     del df
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def _dropped(df: DataFrame) -> None:
+    """Removes the folder of a stored table that isn't read again."""
+    for file in df.inputFiles()[:1]:
+        removed(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 class Alignment:
     """`units`: unit, n (occurrences), n_a, n_b, groups (`a1,a2|b1;...`), links (array of ids a, b); `pairs`: a, b, count, best."""
 
@@ -163,20 +170,27 @@ class Alignment:
             self.__init__(docs, byte_file, piece_file, cut=False)
             return
         self.units = _settled(_aligned(tokens.filter("ok")), "units")
-        for file in tokens.inputFiles()[:1]:  # its folder isn't read again
-            removed(docs.sparkSession, file.rsplit("/", 1)[0])
+        _dropped(tokens)
         counts = self.units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
         # A B id has as many partners as A has ids at most.
         self.pairs = stored(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))), "pairs")
+        self.known: DataFrame | None = None
 
     def documents(self) -> DataFrame:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
+        if self.known is None:
+            # Settled before texts move again, and what it was made of let go: else all of it lies beside the texts' shuffle.
+            self.known = _settled(self._known(), "block-groups")
+            _dropped(self.by_block)
+        return self.rows.groupBy("block").cogroup(self.known.groupBy("block")).applyInArrow(_assembled(self.cut), _RESULT)
+
+    def _known(self) -> DataFrame:
+        """block, unit, n_a, n_best, count_sum, groups: each block's units; their other numbers can be told from `groups`."""
         few = self.pairs.count() <= PAIRS
         links = self.units.select("unit", F.explode_outer("links").alias("l")).select("unit", "l.*")
         sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        known = self.units.join(sums, "unit").select("unit", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "n_best", "count_sum", "groups")
-        by_block = self.by_block.select("block", "unit").join(known, "unit")
-        return self.rows.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_assembled(self.cut), _RESULT)
+        known = self.units.join(sums, "unit").select("unit", "n_a", "n_best", "count_sum", "groups")
+        return self.by_block.select("block", "unit").join(known, "unit")
 
 
 def _aligned(tokens: DataFrame) -> DataFrame:
@@ -214,21 +228,24 @@ def _assembled(cut: bool):
 
     def assemble(docs: pa.Table, units: pa.Table) -> pa.Table:
         index = {u: i for i, u in enumerate(units.column("unit").to_pylist())}
-        groups = units.column("groups").to_pylist()
-        numbers = [units.column("n_links" if n == "n_groups" else n).to_numpy() for n in _NUMBERS]
+        shown = units.column("groups").combine_chunks()  # not as a list: a block has a million
+        own = {n: units.column(n).to_numpy() for n in ("n_a", "n_best", "count_sum")}
+        # A group ends in a link, and has a comma less than ids on either side.
+        own["n_groups"] = own["n_links"] = pc.count_substring(shown, "|").to_numpy().astype(np.int64)
+        own["n_b"] = pc.count_substring(shown, ",").to_numpy() + 2 * own["n_groups"] - own["n_a"]
+        numbers = [own[n] for n in _NUMBERS]
         sums, shas = np.zeros((len(_NUMBERS), docs.num_rows), np.int64), []
         row = 0
         for batch in docs.column("text").chunks:
             for text in batch:
                 text = text.as_py()
-                own = ([text] if _SPACE_PIECE in text else split(text)) if text else []
-                at = [index.get(u, -1) for u in own]
+                at = [index.get(u, -1) for u in (([text] if _SPACE_PIECE in text else split(text)) if text else [])]
                 if not at or -1 in at:  # none, or not spelt
                     shas.append("")
                 else:
                     for k, values in enumerate(numbers):
                         sums[k, row] = values[at].sum()
-                    shas.append(hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest())
+                    shas.append(hashlib.sha256(";".join(shown.take(pa.array(at)).to_pylist()).encode()).hexdigest())
                 row += 1
         return pa.table([docs.column("doc_id"), *map(pa.array, sums), pa.array(shas, pa.string())], names=["doc_id", *_NUMBERS, "groups_sha256"])
 

@@ -87,6 +87,15 @@ def test_units_that_are_not_spelt(spark, monkeypatch):
     assert got(found.documents()) == brute(rows)
 
 
+def test_block_units_are_settled_before_texts_move(spark):
+    """The last step moves texts and settled units alone: no join's files lie beside them."""
+    rows = list(enumerate(ODD))
+    found = Alignment(spark.createDataFrame(rows, "doc_id long, text string"), *FILES)
+    documents = found.documents()
+    assert "Join" not in documents._jdf.queryExecution().executedPlan().toString()
+    assert got(documents) == got(found.documents()) == brute(rows)
+
+
 def test_empty_table(spark):
     assert Alignment(spark.createDataFrame([], "doc_id long, text string"), *FILES).documents().collect() == []
 
