@@ -9,13 +9,17 @@ Texts are aligned by units: neither tokenizer has a token across a single space
 between two visible characters, so a text is a sequence of units, each such
 space with what follows it, and equal units align alike.  (A text's first unit
 has the space that both tokenizers put in front.)  Every distinct unit, written
-without its space, is encoded and aligned once, with the number of its occurrences, and id pairs are
+without its space, is encoded once, with the number of its occurrences, and id pairs are
 counted over all of them.  A text with U+2581, which B takes for a space, is one
 unit; so is every text if the tokenizers give a unit that they don't spell.
+Where tokens end together depends on their lengths alone, so each distinct
+shape (the lengths in A and in B) is aligned once, and units take its cuts.
 
 Documents then get their units back by blocks of BLOCK bytes: a block's
-documents and its distinct units meet in one task.  The table of id pairs is
-broadcast where it has PAIRS rows at most, and joined by shuffle beyond.
+documents and its distinct units meet in one task.  A unit remembers the blocks
+that hold it, and goes to each packed: many units of a block as one Arrow
+stream, compressed.  The tables of id pairs and of shapes are
+broadcast where they have PAIRS or SHAPES rows at most, and joined by shuffle beyond.
 
 Defined results: null and empty texts have no tokens, nor have texts whose
 tokens in A or B don't spell a space and the text; they get zeros and an empty
@@ -47,6 +51,10 @@ from quadrille.sources.shared import removed
 BLOCK = 32 << 20
 #: Rows of the table of id pairs up to which it is broadcast: at 32 bytes a row, 16 MB.
 PAIRS = 1 << 19
+#: Tokens in all distinct shapes up to which these are broadcast.
+SHAPES = 1 << 20
+#: Units of all blocks that a task packs at a time.
+PACKED = 1 << 18
 #: White space by any version of Unicode, and what stands near it, as code points.
 _BLANK = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _VISIBLE = "[^" + "".join(f"\\u{c:04x}" for c in _BLANK) + "]"
@@ -126,7 +134,7 @@ def _encoder(byte_file: str, piece_file: str):
             for at in range(0, batch.num_rows, 2048):
                 rows = batch.slice(at, 2048)
                 a, b, ok = own.encode(rows.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(ok), *columns(a, own.size_a), *columns(b, own.size_b)], ["unit", "n", "whole", "ok", "a", "a_len", "b", "b_len"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ok), *columns(a, own.size_a), *columns(b, own.size_b)], ["unit", "n", "whole", "blocks", "ok", "a", "a_len", "b", "b_len"])
 
     return encoded
 
@@ -151,25 +159,27 @@ def _dropped(df: DataFrame) -> None:
 
 
 class Alignment:
-    """`units`: unit, n (occurrences), n_a, n_b, groups (`a1,a2|b1;...`), links (array of ids a, b); `pairs`: a, b, count, best."""
+    """`units`: unit_id, unit, n (occurrences), blocks that hold it, n_a, groups (`a1,a2|b1;...;`), links (array of ids a, b); `pairs`: a, b, count, best."""
 
     def __init__(self, docs: DataFrame, byte_file: str, piece_file: str, cut: bool = True) -> None:
         self.cut = cut = cut and spelling(byte_file, piece_file).separable()
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # Rows of one doc_id and text are in one block; what else repeats is spread.
-        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)))
+        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)).cast("int"))
         # Dealt by block first: the units of a block are told apart where its texts are.
         each = self.rows.filter("text <> ''").repartition("block").select("block", _units(F.col("text"), cut).alias("units"))
         found = each.select("block", (F.size("units") == 1).alias("whole"), F.explode_outer("units").alias("unit"))  # outer: else the texts are cut once more to look for empty ones
-        self.by_block = _settled(found.groupBy("block", "unit").agg(F.count("*").alias("n"), F.min("whole").alias("whole")), "block-units")
-        distinct = self.by_block.groupBy("unit").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"))
-        encoded = distinct.mapInArrow(_encoder(byte_file, piece_file), f"unit string, n long, whole boolean, ok boolean, {_TOKENS}")
+        by_block = found.groupBy("block", "unit").agg(F.count("*").alias("n"), F.min("whole").alias("whole"))
+        # A unit has a row for each block that holds it: its list is as long as there are blocks at most.
+        distinct = by_block.groupBy("unit").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.collect_list("block").alias("blocks"))
+        encoded = distinct.mapInArrow(_encoder(byte_file, piece_file), f"unit string, n long, whole boolean, blocks array<int>, ok boolean, {_TOKENS}")
         tokens = _settled(encoded.withColumn("unit_id", F.monotonically_increasing_id()), "unit-tokens")
         if cut and not tokens.filter("NOT ok AND NOT whole").isEmpty():
+            _dropped(tokens)
             self.__init__(docs, byte_file, piece_file, cut=False)
             return
-        self.units = _settled(_aligned(tokens.filter("ok")), "units")
+        self.units = _settled(_grouped(tokens.filter("ok")), "units")
         _dropped(tokens)
         counts = self.units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
         # A B id has as many partners as A has ids at most.
@@ -180,42 +190,91 @@ class Alignment:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
         if self.known is None:
             # Settled before texts move again, and what it was made of let go: else all of it lies beside the texts' shuffle.
-            self.known = _settled(self._known(), "block-groups")
-            _dropped(self.by_block)
+            self.known = _settled(self._known().mapInArrow(_packed, "block int, packed binary"), "block-groups")
+            _dropped(self.units)
         return self.rows.groupBy("block").cogroup(self.known.groupBy("block")).applyInArrow(_assembled(self.cut), _RESULT)
 
     def _known(self) -> DataFrame:
-        """block, unit, n_a, n_best, count_sum, groups: each block's units; their other numbers can be told from `groups`."""
+        """blocks, unit, n_a, n_best, count_sum, groups: the units with what documents add up; their other numbers can be told from `groups`."""
         few = self.pairs.count() <= PAIRS
-        links = self.units.select("unit", F.explode_outer("links").alias("l")).select("unit", "l.*")
-        sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        known = self.units.join(sums, "unit").select("unit", "n_a", "n_best", "count_sum", "groups")
-        return self.by_block.select("block", "unit").join(known, "unit")
+        dealt = self.units.select("unit_id", "blocks", "unit", "n_a", "groups", "links").repartition("unit_id")
+        links = dealt.select("unit_id", F.explode("links").alias("l")).select("unit_id", "l.*")
+        sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        return dealt.join(sums, "unit_id").select("blocks", "unit", "n_a", "n_best", "count_sum", "groups")
 
 
-def _aligned(tokens: DataFrame) -> DataFrame:
-    """The units of encoded ones."""
-    def sided(name: str) -> Column:
-        return F.zip_with(name, f"{name}_len", lambda i, n: F.struct(F.lit(name).alias("side"), i.alias("id"), n.alias("len")))
+def _grouped(tokens: DataFrame) -> DataFrame:
+    """The units of encoded ones: each takes the cuts of its shape."""
+    shapes = stored(tokens.select("a_len", "b_len").distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    few = (shapes.agg(F.sum(F.size("a_len") + F.size("b_len"))).first()[0] or 0) <= SHAPES
+    cuts = shapes.join(_aligned(shapes), "shape").select("a_len", "b_len", "cuts")
+    # Many units have a short word's shape: beyond a broadcast, adaptive execution splits their part of the join.
+    found = tokens.join(F.broadcast(cuts) if few else cuts, ["a_len", "b_len"])
 
-    dealt = tokens.select("unit_id", "a", "a_len", "b", "b_len").repartition("unit_id")
-    placed = dealt.select("unit_id", F.posexplode_outer(F.concat(sided("a"), sided("b"))).alias("pos", "token")).select("unit_id", "pos", "token.*")
-    # Of each side in its order: a place of B lies behind all of A's.
-    run = Window.partitionBy("unit_id", "side").orderBy("pos")
-    ended = placed.select("unit_id", "side", "id", F.sum("len").over(run).alias("end"))
-    both = ended.groupBy("unit_id", "end").agg(*[F.max(F.when(F.col("side") == name, F.col("id"))).alias(name) for name in ("a", "b")])
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    before = Window.partitionBy("unit_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = both.withColumns({"cut": cut, "group": F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0))})
+    def ids(name: str, c: Column) -> Column:
+        return F.array_join(F.slice(F.col(name).cast("array<string>"), c[f"{name}_end"] - c[f"n_{name}"] + 1, c[f"n_{name}"]), ",")
+
+    groups = F.array_join(F.transform("cuts", lambda c: F.concat(ids("a", c), F.lit("|"), ids("b", c), F.lit(";"))), "")
+    links = F.transform("cuts", lambda c: F.struct(F.get("a", c["a_end"] - 1).alias("a"), F.get("b", c["b_end"] - 1).alias("b")))
+    return found.select("unit_id", "unit", "n", "blocks", F.size("a").alias("n_a"), groups.alias("groups"), links.alias("links"))
 
-    def ids(name: str) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", name))))
-        return F.array_join(F.transform(own, lambda x: x[name].cast("string")), ",")
 
-    groups = grouped.groupBy("unit_id", "group").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.max(F.when(F.col("cut"), F.struct("a", "b"))).alias("link"))
-    lists = groups.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("group", "text", "link"))).alias("g"))
-    shown = lists.select("unit_id", F.array_join(F.col("g.text"), ";").alias("groups"), F.col("g.link").alias("links"))
-    return tokens.select("unit_id", "unit", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).join(shown, "unit_id")
+def _aligned(shapes: DataFrame) -> DataFrame:
+    """shape, cuts: for each group of a shape in order, how many tokens of A and B it has and the place of its last ones."""
+    def sided(name: str) -> Column:
+        return F.transform(f"{name}_len", lambda n: F.struct(F.lit(name).alias("side"), n.alias("len")))
+
+    dealt = shapes.repartition("shape")
+    placed = dealt.select("shape", F.posexplode_outer(F.concat(sided("a"), sided("b"))).alias("pos", "token")).select("shape", "pos", "token.*")
+    # Of each side in its order: a place of B lies behind all of A's.
+    run = Window.partitionBy("shape", "side").orderBy("pos")
+    ended = placed.select("shape", "side", F.sum("len").over(run).alias("end"))
+    both = ended.groupBy("shape", "end").agg(*[F.sum((F.col("side") == name).cast("int")).alias(name) for name in ("a", "b")])
+    cut = (F.col("a") > 0) & (F.col("b") > 0)
+    before = Window.partitionBy("shape").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = both.withColumn("group", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)))
+    groups = grouped.groupBy("shape", "group").agg(*[F.sum(name).cast("int").alias(f"n_{name}") for name in ("a", "b")])
+    upto = Window.partitionBy("shape").orderBy("group")
+    counted = groups.withColumns({f"{name}_end": F.sum(f"n_{name}").over(upto).cast("int") for name in ("a", "b")})
+    return counted.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("group", "n_a", "n_b", "a_end", "b_end"))).alias("cuts"))
+
+
+_WRITTEN = pa.ipc.IpcWriteOptions(compression="zstd")
+_UNITS = pa.schema({"unit": pa.string(), "n_a": pa.int32(), "n_best": pa.int64(), "count_sum": pa.int64(), "groups": pa.string()})
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, packed: for each block that holds some of about PACKED units, these as a compressed Arrow stream."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(0).flatten())
+        if size >= PACKED:
+            yield _blobs(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield _blobs(pa.Table.from_batches(held))
+
+
+def _blobs(rows: pa.Table) -> pa.RecordBatch:
+    lists = rows.column("blocks").combine_chunks()
+    units = rows.select(_UNITS.names).cast(_UNITS).combine_chunks()
+    blocks = lists.flatten().to_numpy()
+    order = blocks.argsort(kind="stable")
+    at = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy())[order]
+    names, starts = np.unique(blocks[order], return_index=True)
+    blobs = []
+    for start, end in zip(starts, [*starts[1:], len(at)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _UNITS, options=_WRITTEN) as out:
+            out.write_table(units.take(pa.array(at[start:end])))
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["block", "packed"])
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> pa.Table:
+    read = [pa.ipc.open_stream(b.as_buffer()).read_all() for c in blobs.chunks for b in c]
+    return pa.concat_tables(read) if read else _UNITS.empty_table()
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -226,14 +285,18 @@ def _assembled(cut: bool):
     """Documents of a block from the units of it."""
     split = re.compile(CUT).split if cut else lambda text: [text]
 
-    def assemble(docs: pa.Table, units: pa.Table) -> pa.Table:
-        index = {u: i for i, u in enumerate(units.column("unit").to_pylist())}
-        shown = units.column("groups").combine_chunks()  # not as a list: a block has a million
-        own = {n: units.column(n).to_numpy() for n in ("n_a", "n_best", "count_sum")}
+    def assemble(docs: pa.Table, packed: pa.Table) -> pa.Table:
+        units = _unpacked(packed.column("packed"))
+        index: dict[str, int] = {}
+        for chunk in units.column("unit").chunks:
+            index.update(zip(chunk.to_pylist(), range(len(index), len(index) + len(chunk)), strict=True))
+        shown = units.column("groups").cast(pa.large_string()).combine_chunks()  # not as a list: a block has a million
+        own = {n: units.column(n).to_numpy().astype(np.int64) for n in ("n_a", "n_best", "count_sum")}
+        del units
         # A group ends in a link, and has a comma less than ids on either side.
         own["n_groups"] = own["n_links"] = pc.count_substring(shown, "|").to_numpy().astype(np.int64)
-        own["n_b"] = pc.count_substring(shown, ",").to_numpy() + 2 * own["n_groups"] - own["n_a"]
-        numbers = [own[n] for n in _NUMBERS]
+        own["n_b"] = pc.count_substring(shown, ",").to_numpy().astype(np.int64) + 2 * own["n_groups"] - own["n_a"]
+        numbers, sizes = [own[n] for n in _NUMBERS], pc.binary_length(shown).to_numpy()
         sums, shas = np.zeros((len(_NUMBERS), docs.num_rows), np.int64), []
         row = 0
         for batch in docs.column("text").chunks:
@@ -243,9 +306,12 @@ def _assembled(cut: bool):
                 if not at or -1 in at:  # none, or not spelt
                     shas.append("")
                 else:
+                    at = np.array(at)
                     for k, values in enumerate(numbers):
                         sums[k, row] = values[at].sum()
-                    shas.append(hashlib.sha256(";".join(shown.take(pa.array(at)).to_pylist()).encode()).hexdigest())
+                    # Taken, they lie one behind the other; the last one's semicolon isn't part of the text.
+                    said = shown.take(pa.array(at)).buffers()[2]
+                    shas.append(hashlib.sha256(memoryview(said)[: int(sizes[at].sum()) - 1]).hexdigest())
                 row += 1
         return pa.table([docs.column("doc_id"), *map(pa.array, sums), pa.array(shas, pa.string())], names=["doc_id", *_NUMBERS, "groups_sha256"])
 

@@ -96,6 +96,20 @@ def test_block_units_are_settled_before_texts_move(spark):
     assert got(documents) == got(found.documents()) == brute(rows)
 
 
+@pytest.mark.parametrize("shapes", [0, 1 << 20])
+def test_units_move_packed(spark, monkeypatch, shapes):
+    """A block gets many units in a row, not a row for each; shapes that units share are joined by shuffle or broadcast."""
+    monkeypatch.setattr(alignment, "BLOCK", 4000)
+    monkeypatch.setattr(alignment, "PACKED", 100)
+    monkeypatch.setattr(alignment, "SHAPES", shapes)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(40))) for i in range(100)] + list(enumerate(ODD))
+    found = Alignment(spark.createDataFrame(rows, "doc_id long, text string"), *FILES)
+    assert got(found.documents()) == brute(rows)
+    assert "groups" not in found.known.columns
+    assert found.known.count() < sum(len(set(t.split(" "))) for _, t in rows[:100]) / 4
+
+
 def test_empty_table(spark):
     assert Alignment(spark.createDataFrame([], "doc_id long, text string"), *FILES).documents().collect() == []
 
