@@ -82,7 +82,7 @@ class Spelling:
         entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.bytes_a = [bytes(byte_of[c] for c in e) if all(c in byte_of for c in e) else e.encode() for e in entries]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int32) for y in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int16) for y in (self.bytes_a, self.bytes_b))
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -118,7 +118,7 @@ def spelling(byte_file: str, piece_file: str) -> Spelling:
     return Spelling(byte_file, piece_file)
 
 
-_TOKENS = ", ".join(f"{side} array<int>, {side}_len array<int>" for side in "ab")
+_TOKENS = ", ".join(f"{side} array<int>, {side}_len array<smallint>" for side in "ab")
 
 
 def _encoder(byte_file: str, piece_file: str):
@@ -147,8 +147,9 @@ def _settled(df: DataFrame, name: str) -> DataFrame:
     """Stored, with the shuffle files behind it let go: a step's files and the next one's don't add up."""
     out = stored(df, name, "zstd")
     del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass lets go of may hold more
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
@@ -159,7 +160,7 @@ def _dropped(df: DataFrame) -> None:
 
 
 class Alignment:
-    """`units`: unit_id, unit, n (occurrences), blocks that hold it, n_a, groups (`a1,a2|b1;...;`), links (array of ids a, b); `pairs`: a, b, count, best."""
+    """`units`: unit_id, unit, n (occurrences), blocks that hold it, n_a, groups (`a1,a2|b1;...;`), links (ids a << 32 | b); `pairs`: a, b, count, best."""
 
     def __init__(self, docs: DataFrame, byte_file: str, piece_file: str, cut: bool = True) -> None:
         self.cut = cut = cut and spelling(byte_file, piece_file).separable()
@@ -181,7 +182,8 @@ class Alignment:
             return
         self.units = _settled(_grouped(tokens.filter("ok")), "units")
         _dropped(tokens)
-        counts = self.units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"))
+        counts = self.units.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+        counts = counts.select(F.shiftright("link", 32).alias("a"), F.col("link").bitwiseAND((1 << 32) - 1).alias("b"), "count")
         # A B id has as many partners as A has ids at most.
         self.pairs = stored(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))), "pairs")
         self.known: DataFrame | None = None
@@ -197,10 +199,14 @@ class Alignment:
     def _known(self) -> DataFrame:
         """blocks, unit, n_a, n_best, count_sum, groups: the units with what documents add up; their other numbers can be told from `groups`."""
         few = self.pairs.count() <= PAIRS
-        dealt = self.units.select("unit_id", "blocks", "unit", "n_a", "groups", "links").repartition("unit_id")
-        links = dealt.select("unit_id", F.explode("links").alias("l")).select("unit_id", "l.*")
-        sums = links.join(F.broadcast(self.pairs) if few else self.pairs, ["a", "b"]).groupBy("unit_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        return dealt.join(sums, "unit_id").select("blocks", "unit", "n_a", "n_best", "count_sum", "groups")
+        pairs = self.pairs.select(_link(F.col("a"), F.col("b")).alias("link"), "count", "best")
+        links = self.units.select("unit_id", F.explode("links").alias("link"))
+        sums = links.join(F.broadcast(pairs) if few else pairs, "link").groupBy("unit_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        return self.units.select("unit_id", "blocks", "unit", "n_a", "groups").join(sums, "unit_id").select("blocks", "unit", "n_a", "n_best", "count_sum", "groups")
+
+
+def _link(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
 def _grouped(tokens: DataFrame) -> DataFrame:
@@ -215,7 +221,7 @@ def _grouped(tokens: DataFrame) -> DataFrame:
         return F.array_join(F.slice(F.col(name).cast("array<string>"), c[f"{name}_end"] - c[f"n_{name}"] + 1, c[f"n_{name}"]), ",")
 
     groups = F.array_join(F.transform("cuts", lambda c: F.concat(ids("a", c), F.lit("|"), ids("b", c), F.lit(";"))), "")
-    links = F.transform("cuts", lambda c: F.struct(F.get("a", c["a_end"] - 1).alias("a"), F.get("b", c["b_end"] - 1).alias("b")))
+    links = F.transform("cuts", lambda c: _link(F.get("a", c["a_end"] - 1), F.get("b", c["b_end"] - 1)))
     return found.select("unit_id", "unit", "n", "blocks", F.size("a").alias("n_a"), groups.alias("groups"), links.alias("links"))
 
 
@@ -257,6 +263,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blobs(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.sort_by("unit")  # neighbours in this order compress well
     lists = rows.column("blocks").combine_chunks()
     units = rows.select(_UNITS.names).cast(_UNITS).combine_chunks()
     blocks = lists.flatten().to_numpy()
