@@ -4,7 +4,8 @@
 
 Every stage works on all rows that its predecessor kept.  All but the last
 return the columns of `documents`; the last returns the token ids with the
-byte span of each.
+byte span of each.  Ids may be of any type that has an order; texts and
+numbers beyond 64 bits stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from quadrille.llm.decontaminate import item_count
 from quadrille.llm.jaccard import JaccardJoin, near_components
 from quadrille.llm.learning import held_out
 from quadrille.llm.pieces import encode_documents
-from quadrille.llm.workspace import modest_batches, stored
+from quadrille.llm.workspace import modest_batches, stored, whole_ids
 
 #: Near duplicates share 80 of 100 of their five-word shingles.
 NEAR = JaccardJoin(width=5, percent=80)
@@ -41,7 +42,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id; rows without doc_id stay."""
     modest_batches(spark)
-    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not whole_ids(docs) or not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return _one_each(docs)
     found = near_components(docs, NEAR)
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
@@ -49,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
-    """The same where a doc_id repeats: rows are told apart by an id of their own, so texts are compared whatever their doc_id."""
+    """The same where a doc_id repeats or is no whole number: rows are told apart by an id of their own, so texts are compared whatever their doc_id."""
     # Stored, as the numbers hold for one reading only.
     rows = stored(docs.filter("doc_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = near_components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from quadrille.llm.workspace import whole_ids
+
 SPACE_MARK = "▁".encode()
 _BYTE, _DEFINED, _CONTROL = 6, 4, 3
 
@@ -183,7 +185,10 @@ def codec(model_file: str) -> OffsetCodec:
 
 
 def encode_documents(docs: DataFrame, model_file: str, end_id: bool = True) -> DataFrame:
-    """doc_id, ids, begins, ends: token ids with the byte span each covers; the end id spans nothing at the end."""
+    """doc_id, ids, begins, ends: token ids with the byte span each covers; the end id spans nothing at the end.
+
+    Ids that are no whole numbers keep their type; the others are long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
@@ -201,8 +206,9 @@ def encode_documents(docs: DataFrame, model_file: str, end_id: bool = True) -> D
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x in (ids, begins, ends))], ["doc_id", "ids", "begins", "ends"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
+    name = F.col("doc_id").cast("long").alias("doc_id") if whole_ids(docs) else F.col("doc_id")
+    chosen = docs.select(name, F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, ids array<int>, begins array<int>, ends array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -214,7 +220,7 @@ def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [own.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encoding_digests(docs: DataFrame, model_file: str) -> DataFrame:

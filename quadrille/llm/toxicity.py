@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.arrays import ALNUM, SMALL_CHUNK, chunks, mix, span_hashes, words
 from quadrille.llm.learning import Sparse, calibrated, drawn, each_once, logistic, sigmoid
-from quadrille.llm.workspace import stored
+from quadrille.llm.workspace import stored, whole_ids
 
 THRESHOLD = 0.3
 #: Lengths in bytes of the runs inside a word, edges included, that count as features.
@@ -520,13 +520,19 @@ def _holdings(sample: DataFrame, names: np.ndarray) -> pa.Table:
 
 
 def drawn_rows(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int) -> tuple[DataFrame, dict]:
-    """doc_id, toxic, held, text and number of about `per_class` rows of each label, and the count of all labelled rows by label."""
+    """doc_id, toxic, held, text and number of about `per_class` rows of each label, and the count of all labelled rows by label.
+
+    Ids that are no whole numbers, such as texts, have a 64-bit hash as doc_id.
+    """
+    own = F.col("doc_id").cast("long").alias("doc_id") if whole_ids(docs) and whole_ids(labels) else F.col("doc_id")
     marked = labels.filter(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
+    marked = marked.groupBy(own).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     chosen, counts = drawn(marked, "toxic", F.col("doc_id"), per_class)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(own, F.col("text").cast("string").alias("text"))
     # The drawn ids number about 2 * per_class, whatever the tables; their rows do too, as ids may repeat.
     rows = each_once(rows.join(F.broadcast(chosen), "doc_id"), "toxic", per_class).withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 4)
+    if not whole_ids(rows):
+        rows = rows.withColumn("doc_id", F.xxhash64("doc_id"))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "drawn"), counts
 
 

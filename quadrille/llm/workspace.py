@@ -1,10 +1,11 @@
-"""Where operators cut lineage: the shared folder the session names."""
+"""What operators share: cuts of lineage in the folder the session names, batches, kinds of ids."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 from quadrille.sources.shared import shared_dir
 
@@ -26,3 +27,8 @@ def modest_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name).rstrip("b")  # Spark has a default for it
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def whole_ids(rows: DataFrame) -> bool:
+    """Whether doc_id is a whole number of 64 bits or fewer; other ids (text, larger numbers) don't fit a long."""
+    return isinstance(rows.schema["doc_id"].dataType, IntegralType)

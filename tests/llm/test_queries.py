@@ -1,7 +1,9 @@
 """The registered queries on the smallest tables: against SQL, plain Python or their own contract."""
 
+import random
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import public_tokenizers
@@ -145,6 +147,30 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()} == {i: [*sp.encode(t), 2] for i, t in kept.items()}
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)"])
+def test_pipeline_with_other_ids(spark, tmp_path, kind):
+    """Ids that don't fit a long: each stage keeps rows as for numbers, with the ids as they are."""
+    rng, words = random.Random(6), [a + b + c for a in "klmn" for b in "aeiou" for c in "rstv"]
+    new = (lambda i: f"doc-{i:03d}") if kind == "string" else (lambda i: Decimal(2**63 + i))
+    docs, labels = [], []
+    for i in range(160):
+        toxic = rng.random() < 0.4
+        text = " ".join(["idiot moron"] * toxic + rng.choices(words, k=70))
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(i, f"{docs[i - 160][1]} again", "en", "s", 1) for i in range(160, 180)]
+    made = _small_tables(spark, f"file://{tmp_path}/made", docs, labels, [(1, "no such item anywhere here")])
+    schema = DOCUMENTS.replace("doc_id long", f"doc_id {kind}")
+    spark.createDataFrame([(new(i), *rest) for i, *rest in docs], schema).write.parquet(f"file://{tmp_path}/other/documents.parquet")
+    spark.createDataFrame([(new(i), *rest) for i, *rest in labels], f"doc_id {kind}, quality int, toxic int").write.parquet(f"file://{tmp_path}/other/labels.parquet")
+    spark.read.parquet(f"{made}/benchmark.parquet").write.parquet(f"file://{tmp_path}/other/benchmark.parquet")
+    clean = {i: text for i, text, *_ in docs[:160] if "idiot" not in text}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expected = {i: [*sp.encode(t), 2] for i, t in clean.items()}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, made).collect()} == expected
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, f"file://{tmp_path}/other").collect()} == {new(i): ids for i, ids in expected.items()}
+
+
 def test_one_document_of_each_group(spark):
     words = [f"w{i}" for i in range(60)]
     texts = {5: " ".join(words), 3: " ".join([*words[:-1], "x"]), 9: " ".join(reversed(words)), 7: " ".join(words), None: " ".join(words)}
